@@ -27,14 +27,13 @@ def _flag(side: str, column: str) -> Column:
     return F.col(f"{side}.{column}")
 
 
-def audit_products(old: DataFrame, new: DataFrame) -> DataFrame:
-    """INSERT, UPDATE and DELETE rows between two product snapshots. The texts.
+def audit_product_images(images: DataFrame, *keep: str) -> DataFrame:
+    """One audit row per pair of product images ``o`` and ``n``. The texts.
 
     A changed category shows as an UPDATE whose texts are equal, because the
-    texts leave the category out.
+    texts leave the category out. ``keep`` names columns to carry along.
     """
     added, gone = F.col("o").isNull(), F.col("n").isNull()
-    watched = [c for c in old.columns if c != "ProductID"]
 
     def values(side: str, *tail) -> Column:
         return text("Name=", _flag(side, "Name"), " Price=", number_text(f"{side}.Unit_Price"), *tail)
@@ -42,11 +41,11 @@ def audit_products(old: DataFrame, new: DataFrame) -> DataFrame:
     def active(side: str) -> tuple:
         return (" Active=", _flag(side, "Is_Active"))
 
-    pairs = _sides(old, new, "ProductID", "full_outer").filter(added | gone | _differs(watched))
-    return pairs.select(
+    return images.select(
+        *keep,
         F.lit("PRODUCTS").alias("Table_Name"),
         F.when(added, "INSERT").when(gone, "DELETE").otherwise("UPDATE").alias("Operation"),
-        F.col("_k").alias("Record_ID"),
+        F.coalesce("n.ProductID", "o.ProductID").alias("Record_ID"),
         F.when(added, None).when(gone, values("o")).otherwise(values("o", *active("o"))).alias("Old_Value"),
         F.when(added, values("n", " CatID=", _flag("n", "CategoryID"), *active("n")))
         .when(gone, None).otherwise(values("n", *active("n"))).alias("New_Value"),
@@ -54,6 +53,13 @@ def audit_products(old: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
+def audit_products(old: DataFrame, new: DataFrame) -> DataFrame:
+    """INSERT, UPDATE and DELETE rows between two product snapshots."""
+    watched = [c for c in old.columns if c != "ProductID"]
+    changed = F.col("o").isNull() | F.col("n").isNull() | _differs(watched)
+    return audit_product_images(_sides(old, new, "ProductID", "full_outer").filter(changed))
+
+
 def audit_category(old: DataFrame, new: DataFrame) -> DataFrame:
     """UPDATE rows between two category snapshots. The texts."""
     was, now, name = _flag("o", "IS_ACTIVE"), _flag("n", "IS_ACTIVE"), _flag("n", "Name")
@@ -78,22 +84,28 @@ def audit_category(old: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
-def audit_stock(old: DataFrame, new: DataFrame, products: DataFrame) -> DataFrame:
-    """UPDATE rows with the signed change of each product's quantity. The texts.
+def audit_stock_images(images: DataFrame, products: DataFrame, *keep: str) -> DataFrame:
+    """One audit row per pair of stock images with the signed change. The texts.
 
     Only products that exist are logged, as the name is looked up.
     """
     was, now = _flag("o", "Quantity"), _flag("n", "Quantity")
     delta = F.when(now > was, text("+", now - was)).otherwise(text("-", was - now))
-    names = products.select(F.col("ProductID").alias("_k"), F.col("Name").alias("product_name"))
-    changed = _sides(old, new, "ProductID", "inner").filter(_differs(["Quantity"]))
-    return changed.join(names, "_k").select(
+    names = products.select(F.col("ProductID").alias("_product"), F.col("Name").alias("product_name"))
+    return images.join(names, F.col("n.ProductID") == F.col("_product")).select(
+        *keep,
         F.lit("STOCK_MANAGEMENT").alias("Table_Name"), F.lit("UPDATE").alias("Operation"),
-        F.col("_k").alias("Record_ID"), text("Qty=", was).alias("Old_Value"), text("Qty=", now).alias("New_Value"),
+        F.col("_product").alias("Record_ID"), text("Qty=", was).alias("Old_Value"),
+        text("Qty=", now).alias("New_Value"),
         text('Stock change for "', F.col("product_name"), '" | Delta: ', delta).alias("Description"),
     )
 
 
+def audit_stock(old: DataFrame, new: DataFrame, products: DataFrame) -> DataFrame:
+    """UPDATE rows for every product whose quantity differs between two stock snapshots."""
+    return audit_stock_images(_sides(old, new, "ProductID", "inner").filter(_differs(["Quantity"])), products)
+
+
 @dataclass(frozen=True)
 class Screened:
     allowed: DataFrame

@@ -13,10 +13,14 @@ from shelfwise.model import RULES, SCHEMAS
 from shelfwise.session import cut_lineage
 from shelfwise.sources.tables import Tables, apply_defaults, assign_keys, next_key
 
-LONG_AGO = F.lit("0001-01-01 00:00:00").cast("timestamp_ntz")
 CHANGE_ORDER = ("event_ts", "change_id")
 
 
+def long_ago() -> Column:
+    """The position of state that was there before any change."""
+    return F.lit("0001-01-01 00:00:00").cast("timestamp_ntz")
+
+
 @dataclass(frozen=True)
 class Applied:
     """New table state, what became of each input row, and the audit rows (without LogID)."""
@@ -63,7 +67,7 @@ def affected_products(changes: DataFrame, products: DataFrame) -> DataFrame:
 def category_history(changes: DataFrame, category: DataFrame, blocks: int | None = None) -> DataFrame:
     """Each change with the flag before it, its ``status`` and, for an unknown category, a code."""
     initial = category.select(
-        "CategoryID", LONG_AGO.alias("event_ts"), F.lit(-1).cast("long").alias("change_id"),
+        "CategoryID", long_ago().alias("event_ts"), F.lit(-1).cast("long").alias("change_id"),
         F.col("IS_ACTIVE").alias("flag_before"),
     )
     later = changes.select("CategoryID", *CHANGE_ORDER, F.col("IS_ACTIVE").alias("flag_before"))

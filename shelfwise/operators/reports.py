@@ -18,7 +18,8 @@ from shelfwise.functions.dialect import (
 from shelfwise.model import TOTAL
 from shelfwise.sources.tables import Tables
 
-ONE = F.lit(1)
+def row_count():
+    return F.count(F.lit(1))
 
 
 def down(column: str):
@@ -164,7 +165,7 @@ def user_directory(t: Tables) -> DataFrame:
 
 def supplier_price_range(t: Tables) -> DataFrame:
     per_id = t["products"].groupBy("SupplierID").agg(
-        F.count(ONE).alias("n"), F.min("Unit_Price").alias("low"), F.max("Unit_Price").alias("high"),
+        row_count().alias("n"), F.min("Unit_Price").alias("low"), F.max("Unit_Price").alias("high"),
         F.sum("Unit_Price").alias("amount"),
     )
     return (
@@ -203,7 +204,7 @@ def category_revenue(t: Tables) -> DataFrame:
     )
     return (
         visits.groupBy("Category")
-        .agg(F.count(ONE).alias("Total_Transactions"), total("amount").alias("Total_Revenue"))
+        .agg(row_count().alias("Total_Transactions"), total("amount").alias("Total_Revenue"))
         .orderBy(down("Total_Revenue"), "Category")
     )
 
@@ -258,7 +259,7 @@ def user_volume(t: Tables) -> DataFrame:
 def monthly_summary(t: Tables) -> DataFrame:
     return (
         t["transactions"].groupBy(month_text("Trans_Date").alias("Month"), "Trans_Type")
-        .agg(F.count(ONE).alias("Transaction_Count"), total("Total_Amount").alias("Total_Amount"))
+        .agg(row_count().alias("Transaction_Count"), total("Total_Amount").alias("Total_Amount"))
         .orderBy("Month", "Trans_Type")
     )
 
@@ -314,7 +315,7 @@ def health_metrics(t: Tables) -> DataFrame:
         pairs = ", ".join(f"'{LABELS[name]}', {name}" for name in metrics)
         return one.selectExpr(f"stack({len(metrics)}, {pairs}) AS (Metric, Value)")
 
-    everything, active = F.count(ONE).cast("string"), F.count_if(F.col("IS_ACTIVE") == 1).cast("string")
+    everything, active = row_count().cast("string"), F.count_if(F.col("IS_ACTIVE") == 1).cast("string")
 
     def amount(kind: str):
         return number_text(F.sum(F.when(F.col("Trans_Type") == kind, F.col("Total_Amount"))))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from shelfwise.functions.dialect import nvl
 from shelfwise.functions.scan import as_of
 from shelfwise.model import INT, LONG, PRICE, TEXT, TIME
-from shelfwise.operators.changes import LONG_AGO, first_holders
+from shelfwise.operators.changes import first_holders, long_ago
 from shelfwise.operators.ledger import Ledger, as_ledger, attach_facts, decide, judge
 from shelfwise.session import cut_lineage
 from shelfwise.sources.tables import Tables, apply_defaults
@@ -31,7 +31,6 @@ LOG_SCHEMA = T.StructType(
         }.items()
     ]
 )
-LEDGER_TYPES = ("SALE", "RETURN", "RESTOCK")
 AT = ("event_ts", "cmd_id")
 
 
@@ -51,7 +50,7 @@ def _outcome(df: DataFrame, code, status=None) -> DataFrame:
 
 def _initially(df: DataFrame, *columns) -> DataFrame:
     """State before the log begins."""
-    return df.select(LONG_AGO.alias("event_ts"), F.lit(-1).cast("long").alias("cmd_id"), *columns)
+    return df.select(long_ago().alias("event_ts"), F.lit(-1).cast("long").alias("cmd_id"), *columns)
 
 
 def replay(log: DataFrame, t: Tables, rules: str = "package", blocks: int | None = None) -> Replay:

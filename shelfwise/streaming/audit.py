@@ -15,7 +15,11 @@ from shelfwise.operators.audit import audit_product_images, audit_stock_images
 def audit_batch(changes: DataFrame, batch: int, kind: str, base: str, products: DataFrame | None = None) -> None:
     """Store the audit rows of one micro-batch in its own folder; a retry overwrites it."""
     images = changes.select("seq", F.col("before").alias("o"), F.col("after").alias("n"))
-    rows = audit_product_images(images) if kind == "products" else audit_stock_images(images, products)
+    if kind == "products":
+        rows = audit_product_images(images, "seq")
+    else:
+        updates = images.filter(F.col("o").isNotNull() & F.col("n").isNotNull())
+        rows = audit_stock_images(updates, products, "seq")
     rows.write.mode("overwrite").parquet(f"{base}/{kind}/batch={batch}")
 
 

@@ -12,12 +12,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from shelfwise.functions.dialect import nvl
-from shelfwise.operators.audit import audit_products, audit_stock
 from shelfwise.operators.ledger import attach_facts, decide, judge
 from shelfwise.sources.tables import Tables
 
 STATE = "ProductID bigint, Quantity bigint, last_ts timestamp_ntz, batch bigint"
-LATEST = "_latest"
 
 
 def _folder(base: str, batch: int) -> str:
