@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -29,17 +29,46 @@ BAD_TYPE, BAD_QUANTITY, UNKNOWN_USER = "-20004", "CHK_QTY", "FK_USER"
 RULE_SETS = {"package": PACKAGE, "procedure": PROCEDURE}
 
 
-@dataclass(frozen=True)
 class Ledger:
-    """Result of a batch. ``decided`` holds every command once, in one frame."""
+    """Result of a batch. ``decided`` holds every command once, in one frame.
 
-    decided: DataFrame
-    accepted: DataFrame
-    rejected: DataFrame
-    stock: DataFrame
-    transactions: DataFrame
-    items: DataFrame
-    audit: DataFrame
+    Keys are only assigned when headers, items or audit rows are asked for.
+    """
+
+    def __init__(self, decided: DataFrame, t: Tables, rules: str = "package"):
+        self.decided = decided
+        self.tables = t
+        self.rules = rules
+
+    @property
+    def accepted(self) -> DataFrame:
+        return self.decided.filter("accepted")
+
+    @property
+    def rejected(self) -> DataFrame:
+        return self.decided.filter("NOT accepted").select(
+            "cmd_id", "event_ts", "user_id", "product_id", "quantity", "cmd_type", "code", "message"
+        )
+
+    @cached_property
+    def stock(self) -> DataFrame:
+        return stock_after(self.decided, self.tables["stock_management"])
+
+    @cached_property
+    def _rows(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        return ledger_rows(self.accepted, self.tables, self.rules)
+
+    @property
+    def transactions(self) -> DataFrame:
+        return self._rows[0]
+
+    @property
+    def items(self) -> DataFrame:
+        return self._rows[1]
+
+    @property
+    def audit(self) -> DataFrame:
+        return self._rows[2]
 
 
 def attach_facts(cmds: DataFrame, t: Tables) -> DataFrame:
@@ -243,22 +272,11 @@ def stock_after(decided: DataFrame, stock: DataFrame) -> DataFrame:
     )
 
 
-def as_ledger(decided: DataFrame, t: Tables, rules: str = "package") -> Ledger:
-    accepted = decided.filter("accepted")
-    rejected = decided.filter("NOT accepted").select(
-        "cmd_id", "event_ts", "user_id", "product_id", "quantity", "cmd_type", "code", "message"
-    )
-    headers, items, audit = ledger_rows(accepted, t, rules)
-    return Ledger(
-        decided, accepted, rejected, stock_after(decided, t["stock_management"]), headers, items, audit
-    )
-
-
 def apply_stock_commands(
     cmds: DataFrame, t: Tables, rules: str = "package", blocks: int | None = None
 ) -> Ledger:
     """Apply a batch of commands to the stock, in (event_ts, cmd_id) order per product."""
-    return as_ledger(decide(screen_commands(cmds, t, rules), rules, blocks), t, rules)
+    return Ledger(decide(screen_commands(cmds, t, rules), rules, blocks), t, rules)
 
 
 # ---- stock from item rows --------------------------------------------------

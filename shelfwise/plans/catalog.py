@@ -393,11 +393,11 @@ _on_tables(
     "r3_category_health",
     reports.category_health,
     sql(
-        f"""SELECT c.Name AS Category, IS_ACTIVE, count(p.ProductID) AS Products,
+        f"""SELECT c.Name AS Category, c.IS_ACTIVE, count(p.ProductID) AS Products,
                    CAST(sum(Quantity) AS BIGINT) AS Total_Stock,
-                   CASE IS_ACTIVE WHEN 1 THEN '{reports.SELL_AND_RESTOCK}' ELSE '{reports.SELL_ONLY}' END AS Policy
+                   CASE c.IS_ACTIVE WHEN 1 THEN '{reports.SELL_AND_RESTOCK}' ELSE '{reports.SELL_ONLY}' END AS Policy
             FROM category c LEFT JOIN products p USING (CategoryID) LEFT JOIN stock USING (ProductID)
-            GROUP BY c.Name, IS_ACTIVE""",
+            GROUP BY c.Name, c.IS_ACTIVE""",
         "category", "products", "stock",
     ),
 )
@@ -957,7 +957,7 @@ NEW_PRODUCTS = f"""
         FROM part),
     verdicts AS (
         SELECT a.*, c.Name AS category_name,
-               CASE WHEN c.CategoryID IS NULL THEN '-20020' WHEN IS_ACTIVE = 0 THEN '-20021'
+               CASE WHEN c.CategoryID IS NULL THEN '-20020' WHEN c.IS_ACTIVE = 0 THEN '-20021'
                     WHEN coalesce(s.Is_Active, 0) = 0 THEN '-20022' WHEN Unit_Price <= 0 THEN 'CHK_PRICE' END AS code
         FROM asked a LEFT JOIN category c USING (CategoryID) LEFT JOIN suppliers s USING (SupplierID)),
     good AS (SELECT *, row_number() OVER (ORDER BY row_id) AS n FROM verdicts WHERE code IS NULL)"""
@@ -1156,7 +1156,7 @@ def _day_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     prices = _read(spark, sf_dir, "orders").selectExpr(
         "o_orderkey AS cmd_id", "o_orderdate AS event_ts", "'SET_PRICE' AS cmd_type",
-        "o_orderkey * 13 % 2100 AS product_id", "CAST(o_totalprice / 64 AS decimal(10,2)) AS unit_price",
+        "o_orderkey * 13 % 2100 AS product_id", "CAST(o_totalprice AS decimal(10,2)) AS unit_price",
     )
     log = cmds.unionByName(turns, allowMissingColumns=True).unionByName(prices, allowMissingColumns=True)
     missing = [F.lit(None).alias(f.name) for f in LOG_SCHEMA if f.name not in log.columns]
@@ -1168,7 +1168,7 @@ DAY = TURNS + """,
     valid AS (SELECT CategoryID, event_ts, change_id, flag FROM outcomes WHERE status <> 'rejected'
               UNION ALL SELECT CategoryID, TIMESTAMP '0001-01-01', -1, IS_ACTIVE FROM category),
     prices AS (SELECT o_orderkey * 13 % 2100 AS ProductID, o_orderdate AS event_ts, o_orderkey AS cmd_id,
-                      CAST(o_totalprice / 64 AS DECIMAL(10,2)) AS price FROM orders
+                      CAST(o_totalprice AS DECIMAL(10,2)) AS price FROM orders
                UNION ALL SELECT ProductID, TIMESTAMP '0001-01-01', -1, Unit_Price FROM products),
     day AS (
         SELECT f.* EXCLUDE (flag, Unit_Price), c.flag, p.price AS Unit_Price
@@ -1207,10 +1207,10 @@ _add(
            UNION ALL
            SELECT o_orderkey, o_orderdate, 'SET_PRICE',
                   CASE WHEN o_orderkey * 13 % 2100 IN (SELECT ProductID FROM products)
-                       THEN CASE WHEN CAST(o_totalprice / 64 AS DECIMAL(10,2)) > 0 THEN 'applied' ELSE 'rejected' END
+                       THEN CASE WHEN CAST(o_totalprice AS DECIMAL(10,2)) > 0 THEN 'applied' ELSE 'rejected' END
                        ELSE 'no-op' END,
                   CASE WHEN o_orderkey * 13 % 2100 IN (SELECT ProductID FROM products)
-                            AND CAST(o_totalprice / 64 AS DECIMAL(10,2)) <= 0 THEN 'CHK_PRICE' END
+                            AND CAST(o_totalprice AS DECIMAL(10,2)) <= 0 THEN 'CHK_PRICE' END
            FROM orders""",
         "facts", extra=DAY, recursive=True,
     ),

@@ -7,6 +7,7 @@ sees the category status, the price and the products as of its own position.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -14,7 +15,7 @@ from shelfwise.functions.dialect import nvl
 from shelfwise.functions.scan import as_of
 from shelfwise.model import INT, LONG, PRICE, TEXT, TIME
 from shelfwise.operators.changes import first_holders, long_ago
-from shelfwise.operators.ledger import Ledger, as_ledger, attach_facts, decide, judge
+from shelfwise.operators.ledger import Ledger, attach_facts, decide, judge
 from shelfwise.session import cut_lineage
 from shelfwise.sources.tables import Tables, apply_defaults
 
@@ -39,8 +40,20 @@ class Replay:
     """``outcomes``: (cmd_id, event_ts, cmd_type, status, code) of every command."""
 
     outcomes: DataFrame
-    tables: Tables
     ledger: Ledger
+    dimensions: Tables
+
+    @cached_property
+    def tables(self) -> Tables:
+        """All tables as they stand after the log."""
+        old = self.dimensions
+        return {
+            **old,
+            "stock_management": self.ledger.stock,
+            "transactions": old["transactions"].unionByName(self.ledger.transactions),
+            "transaction_items": old["transaction_items"].unionByName(self.ledger.items),
+            "audit_log": old["audit_log"].unionByName(self.ledger.audit),
+        }
 
 
 def _outcome(df: DataFrame, code, status=None) -> DataFrame:
@@ -196,11 +209,7 @@ def replay(log: DataFrame, t: Tables, rules: str = "package", blocks: int | None
     decided = decide(judge(facts, rules), rules, blocks)
 
     tables = {**t, "category": category, "suppliers": suppliers, "products": products}
-    ledger = as_ledger(decided, {**tables, "stock_management": opening}, rules)
-    tables["stock_management"] = ledger.stock
-    tables["transactions"] = t["transactions"].unionByName(ledger.transactions)
-    tables["transaction_items"] = t["transaction_items"].unionByName(ledger.items)
-    tables["audit_log"] = t["audit_log"].unionByName(ledger.audit)
+    ledger = Ledger(decided, {**tables, "stock_management": opening}, rules)
 
     def refused(all_rows: DataFrame, kept: DataFrame, code: str) -> DataFrame:
         marked = all_rows.join(kept.select(F.col("cmd_id").alias("_in")), F.col("cmd_id") == F.col("_in"), "left")
@@ -214,4 +223,4 @@ def replay(log: DataFrame, t: Tables, rules: str = "package", blocks: int | None
         .unionByName(turn_outcomes)
         .unionByName(price_outcomes)
     )
-    return Replay(outcomes, tables, ledger)
+    return Replay(outcomes, ledger, tables)

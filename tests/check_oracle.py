@@ -31,11 +31,12 @@ def normal(table: pa.Table) -> tuple[list, list]:
 
 def compare(spark, con, name, query, oracle, sf_dir) -> str | None:
     got = normal(query(spark, sf_dir).toArrow())
-    want = normal(con.execute(oracle).to_arrow_table())
+    want = normal(con.sql(oracle).to_arrow_table())
     if got[0] != want[0]:
         return f"schema {[p for p in zip(got[0], want[0]) if p[0] != p[1]] or (got[0], want[0])}"
     if got[1] != want[1]:
-        only = [r for r in got[1] if r not in set(want[1])][:2], [r for r in want[1] if r not in set(got[1])][:2]
+        ours, theirs = set(got[1]), set(want[1])
+        only = sorted(ours - theirs, key=repr)[:2], sorted(theirs - ours, key=repr)[:2]
         return f"rows {len(got[1])} / {len(want[1])}, e.g. {only}"
     return None if got[1] else "empty"
 
