@@ -213,12 +213,14 @@ def add_suppliers(rows: DataFrame, suppliers: DataFrame) -> Added:
     complete = rows.filter(F.col("Name").isNotNull() & F.col("Contact").isNotNull())
     taken = first_holders(complete, suppliers, ("Name", "Email"), "row_id")
     keyed = assign_keys(taken, "SupplierID", next_key(suppliers, "SupplierID"), ["row_id"])
-    names = suppliers.select(F.col("Name").alias("_held")).unionByName(taken.select(F.col("Name").alias("_held"))).distinct()
+    stored = suppliers.select(F.col("Name").alias("_held"), F.lit(None).cast("long").alias("_by")).distinct()
+    names = stored.unionByName(taken.select(F.col("Name").alias("_held"), F.col("row_id").alias("_by")))
     refused = rows.join(taken.select("row_id"), "row_id", "left_anti").join(
         names, F.col("Name") == F.col("_held"), "left"
     )
+    earlier = F.col("_held").isNotNull() & nvl(F.col("_by") < F.col("row_id"), True)
     code = (
-        F.when(F.col("_held").isNotNull(), "-20023")
+        F.when(earlier, "-20023")
         .when(F.col("Name").isNull() | F.col("Contact").isNull(), "NOT_NULL").otherwise("UNIQUE_EMAIL")
     )
     rejected = refused.withColumn("code", code).withColumn(
@@ -226,7 +228,7 @@ def add_suppliers(rows: DataFrame, suppliers: DataFrame) -> Added:
         F.when(F.col("code") == "-20023", text('ERROR: Supplier "', F.col("Name"), '" already exists.')).otherwise(
             "table constraint violated"
         ),
-    ).drop("_held")
+    ).drop("_held", "_by")
     audit = _audit(
         keyed, "SUPPLIERS", "INSERT", "SupplierID", F.lit(None), text("Name=", F.col("Name")),
         F.lit("New supplier added via PKG_ADMIN_OPS.Add_Supplier"),

@@ -15,19 +15,33 @@ Tables = dict[str, DataFrame]
 
 
 def load_tables(
-    spark: SparkSession, path: str, fmt: str = "parquet", names: Iterable[str] = tuple(SCHEMAS), **options
+    spark: SparkSession,
+    path: str,
+    fmt: str = "parquet",
+    names: Iterable[str] = tuple(SCHEMAS),
+    months: tuple[str, str] | None = None,
+    blanks: bool | None = None,
+    **options,
 ) -> Tables:
     """Read the tables below ``path`` with their fixed schemas.
 
-    The schemas hold no password column, so it is never read. Text sources turn
-    empty strings to NULL, as the source database does.
+    The schemas hold no password column, so it is never read. ``months``, first
+    and last as ``2026-01``, reads only those folders of the transactions that
+    ``save_tables`` wrote. Empty strings become NULL, as the source database
+    stores them; by default only from text formats, because the expression would
+    keep filters from reaching a parquet scan.
     """
     tables = {}
     for name in names:
         reader = spark.read.schema(_stored(name)).format(fmt).options(**options)
         if fmt == "csv":
             reader = reader.option("header", options.get("header", "true"))
-        df = _blanks_to_null(reader.load(f"{path}/{name}"))
+        df = reader.load(f"{path}/{name}")
+        if name == "transactions" and months:
+            df = df.filter(F.col("Month").between(*months))
+        df = df.select(*[f.name for f in _stored(name)])
+        if blanks if blanks is not None else fmt in ("csv", "json", "text"):
+            df = _blanks_to_null(df)
         tables[name] = with_subtotal(df) if name == "transaction_items" else df
     return tables
 
