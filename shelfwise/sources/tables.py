@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -11,7 +11,7 @@ from shelfwise.functions.dialect import blank_to_null
 from shelfwise.functions.scan import number_rows
 from shelfwise.model import DEFAULTS, NOW, SCHEMAS, WHO
 
-Tables = dict[str, DataFrame]
+Tables = Mapping[str, DataFrame]
 
 
 def load_tables(
