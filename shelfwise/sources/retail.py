@@ -148,10 +148,17 @@ def retail_tables(spark: SparkSession, sf_dir: str) -> Tables:
 
 
 def retail_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One ledger command per order line, some with an unknown product, user, type or quantity."""
-    lines = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
-    orders = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    return lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).selectExpr(
+    return commands_from(_read(spark, sf_dir, "lineitem"), _read(spark, sf_dir, "orders"))
+
+
+def commands_from(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
+    """One ledger command per order line, some with an unknown product, user, type or quantity.
+
+    The lines may be a stream.
+    """
+    lines = lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    heads = orders.select("o_orderkey", "o_custkey", "o_orderdate")
+    return lines.join(heads, F.col("l_orderkey") == F.col("o_orderkey")).selectExpr(
         "l_orderkey * 8 + l_linenumber AS cmd_id",
         "o_orderdate AS event_ts",
         "IF(l_orderkey % 97 = 3, -1, o_custkey) AS user_id",
