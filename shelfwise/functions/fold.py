@@ -25,11 +25,13 @@ from collections.abc import Iterable, Iterator
 from functools import partial
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from shelfwise.functions.scan import BLOCK
 
 TRIAL = "block int, key long, start long, entry long, left long, need long, net long"
+MISSING = -(2**63)  # stands for NULL in the loops; rows with it have no effect
 MAX_GUESSES = 64  # extra guesses per round; the entries a walk needs are never cut
 
 
@@ -38,16 +40,27 @@ def step(balance: int, effect: int) -> int:
     return balance + effect if effect > 0 or balance + effect >= 0 else balance
 
 
-def _columns(batch: pa.RecordBatch, names: Iterable[str]) -> zip:
-    return zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names))
+def _events(batch: pa.RecordBatch, names: list[str]) -> tuple[int, zip]:
+    """The batch's block and its (key, effect, start) as plain integers, NULL as ``MISSING``."""
+    at = [batch.schema.get_field_index(n) for n in names]
+    lists = []
+    for i in at[1:]:
+        column = batch.column(i)
+        if column.null_count:
+            column = pc.fill_null(column, MISSING)
+        lists.append(column.to_numpy(zero_copy_only=False).tolist())
+    return batch.column(at[0])[0].as_py(), zip(*lists)
 
 
 def _run(names: list[str], entries: dict[int, tuple[int, int]], batches: Iterator[pa.RecordBatch]):
     """Append the balance before each event."""
-    current, balance = object(), None
+    current, balance = object(), MISSING
     for batch in batches:
+        if not batch.num_rows:
+            continue
         before = []
-        for block, key, effect, start in _columns(batch, names):
+        block, events = _events(batch, names)
+        for key, effect, start in events:
             if key != current:
                 current = key
                 carried_key, carried = entries.get(block, (None, None))
@@ -55,9 +68,9 @@ def _run(names: list[str], entries: dict[int, tuple[int, int]], batches: Iterato
             before.append(balance)
             if effect > 0 or (effect < 0 and balance + effect >= 0):  # ``step``, inlined
                 balance += effect
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns, pa.array(before, pa.int64())], names=[*batch.schema.names, "balance_before"]
-        )
+        column = pa.array(before, pa.int64())
+        known = pc.if_else(pc.equal(column, MISSING), pa.scalar(None, pa.int64()), column)
+        yield pa.RecordBatch.from_arrays([*batch.columns, known], names=[*batch.schema.names, "balance_before"])
 
 
 class _Trial:
@@ -93,7 +106,10 @@ class _Trial:
 def _try(names: list[str], wanted: dict[tuple[int, int], list[int]], batches: Iterator[pa.RecordBatch]):
     trial, rows = None, []
     for batch in batches:
-        for block, key, effect, start in _columns(batch, names):
+        if not batch.num_rows:
+            continue
+        block, events = _events(batch, names)
+        for key, effect, start in events:
             if trial is None or trial.key != key:
                 rows += trial.rows() if trial else []
                 trial = _Trial(block, key, start, wanted.get((block, key), ()))
