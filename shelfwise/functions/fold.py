@@ -12,17 +12,21 @@ in many blocks. Those blocks run in parallel too:
   entries, all at once.
 * Walking a key's blocks from its opening balance tells which entries occur. An
   entry not tried yet makes another parallel round over that key's blocks, with
-  the entries seen so far as candidates. Different entries soon lead to the same
-  balance, so a few rounds are enough; each round settles at least one more
-  block, so the walk always ends with exact entries.
+  the entries seen most often as candidates. In a block of thousands of events
+  different entries nearly always end in the same balance, so two to five rounds
+  are usual. Balances that never meet (very unequal quantities, short blocks)
+  take more; each round settles at least one more block, so the walk always ends
+  with exact entries.
 
 The driver handles one row per block and tried entry, never events.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import partial
+from itertools import islice
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -32,7 +36,7 @@ from shelfwise.functions.scan import BLOCK
 
 TRIAL = "block int, key long, start long, entry long, left long, need long, net long"
 MISSING = -(2**63)  # stands for NULL in the loops; rows with it have no effect
-MAX_GUESSES = 64  # extra guesses per round; the entries a walk needs are never cut
+MAX_GUESSES = 8  # extra guesses per round; the entries a walk needs are never cut
 
 
 def step(balance: int, effect: int) -> int:
@@ -173,10 +177,12 @@ class _Walk:
                     wanted.setdefault(at, set()).add(balance)
                     balance = tried[min(tried, key=lambda e: abs(e - balance))]
             if not exact:
+                common = [entry for entry, _ in Counter(path).most_common()]
                 for block in blocks[1:]:
                     at = (block, key)
-                    fresh = [e for e in set(path) if e < self.limit[at][0] and e not in self.left[at]]
-                    wanted.setdefault(at, set()).update(sorted(fresh)[:MAX_GUESSES])
+                    need, tried = self.limit[at][0], self.left[at]
+                    fresh = (e for e in common if e < need and e not in tried)
+                    wanted.setdefault(at, set()).update(islice(fresh, MAX_GUESSES))
         return {at: sorted(entries) for at, entries in wanted.items() if entries}
 
 

@@ -197,10 +197,9 @@ def _product_category(t: Tables) -> DataFrame:
 
 
 def category_revenue(t: Tables) -> DataFrame:
-    # one row per product and transaction before products are joined in
-    pairs = _sales(t).groupBy("TransactionID", "ProductID").agg(F.sum("Subtotal").alias("amount"))
-    visits = pairs.join(_product_category(t), "ProductID").groupBy("Category", "TransactionID").agg(
-        F.sum("amount").alias("amount")
+    # one row per category and transaction: the distinct count becomes a plain one
+    visits = _sales(t).join(_product_category(t), "ProductID").groupBy("Category", "TransactionID").agg(
+        F.sum("Subtotal").alias("amount")
     )
     return (
         visits.groupBy("Category")

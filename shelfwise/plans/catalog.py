@@ -1375,7 +1375,7 @@ _on_tables(
 
 def _feed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     # the pattern matches a file or a folder of that name; a plain path would have to be a folder
-    schema = _file_schema(f"{sf_dir}/{name}.parquet")
+    schema = _file_schema(spark, f"{sf_dir}/{name}.parquet")
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 

@@ -56,7 +56,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def tune(spark: SparkSession) -> None:
     """Run-time settings for skewed keys, for sessions built elsewhere."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     # split a hot join key even where the aggregate above then needs a shuffle of its own

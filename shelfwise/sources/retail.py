@@ -8,7 +8,7 @@ never sold); every input row is kept.
 from __future__ import annotations
 
 from collections.abc import Mapping
-from functools import cache, partial
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -19,15 +19,19 @@ EPOCH = "timestamp_ntz'1995-01-01 00:00:00'"
 TYPE_OF = "CASE {key} % 5 WHEN 0 THEN 'RESTOCK' WHEN 1 THEN 'RETURN' ELSE 'SALE' END"
 
 
-@cache
-def _file_schema(path: str) -> T.StructType:
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
+def _file_schema(spark: SparkSession, path: str) -> T.StructType:
     """The file's schema, read from its footer once per process: inference is a job of its own."""
-    return SparkSession.getActiveSession().read.parquet(path).schema
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return _SCHEMAS[path]
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     path = f"{sf_dir}/{name}.parquet"
-    return spark.read.schema(_file_schema(path)).parquet(path)
+    return spark.read.schema(_file_schema(spark, path)).parquet(path)
 
 
 def _typed(df: DataFrame, table: str) -> DataFrame:
@@ -67,7 +71,7 @@ class RetailTables(Mapping):
         brands = self._source("part").select(F.col("p_brand").alias("Name")).distinct().selectExpr(
             "CAST(substring(Name, 7) AS bigint) AS CategoryID", "Name"
         )
-        unused = self._spark.range(99, 100).selectExpr("id AS CategoryID", "concat('Brand#', id) AS Name")
+        unused = self._spark.range(99, 100, 1, 1).selectExpr("id AS CategoryID", "concat('Brand#', id) AS Name")
         return brands.unionByName(unused).selectExpr(
             "CategoryID", "Name", "CAST(NULL AS string) AS Description",
             "IF(CategoryID % 5 = 0, 0, 1) AS IS_ACTIVE", f"{EPOCH} AS Created_At",
