@@ -38,8 +38,10 @@ def check_rows(df: DataFrame, table: str, rules: Rules | None = None) -> DataFra
     found = F.array(
         *[F.when(bad, F.struct(F.lit(name).alias("rule"), value.alias("value"))) for name, bad, value in checks]
     )
+    broken = reduce(lambda a, b: a | b, [F.coalesce(bad, F.lit(False)) for _, bad, _ in checks])
     return (
-        df.select(F.col(KEYS[table]).alias("record_id"), F.explode(F.array_compact(found)).alias("v"))
+        df.filter(broken)
+        .select(F.col(KEYS[table]).alias("record_id"), F.explode(F.array_compact(found)).alias("v"))
         .select(F.lit(table).alias("table_name"), "record_id", "v.rule", "v.value")
     )
 

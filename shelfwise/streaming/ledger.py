@@ -32,6 +32,12 @@ def _saved(spark: SparkSession, base: str, before: int, schema: str) -> DataFram
     return spark.read.schema(schema).parquet(base).filter(F.col("batch") < before)
 
 
+def _latest(state: DataFrame) -> DataFrame:
+    return state.groupBy(F.col("ProductID").alias("_moved")).agg(
+        F.max_by("Quantity", "batch").alias("_now"), F.max_by("last_ts", "batch").alias("_at")
+    )
+
+
 def current_stock(spark: SparkSession, base: str, stock: DataFrame, before: int, compact: int) -> DataFrame:
     """(ProductID, Quantity, last_ts) after the batches before ``before``.
 
@@ -40,11 +46,8 @@ def current_stock(spark: SparkSession, base: str, stock: DataFrame, before: int,
     """
     full = (before - 1) // compact * compact if before > 0 else 0
     moved = _saved(spark, f"{base}/state", before, STATE).filter(F.col("batch") >= full)
-    latest = moved.groupBy(F.col("ProductID").alias("_moved")).agg(
-        F.max_by(F.struct(F.col("Quantity").alias("q"), F.col("last_ts").alias("at")), "batch").alias("_s")
-    )
-    return stock.join(latest, F.col("ProductID") == F.col("_moved"), "left").select(
-        "ProductID", nvl("_s.q", F.col("Quantity")).alias("Quantity"), F.col("_s.at").alias("last_ts")
+    return stock.join(_latest(moved), F.col("ProductID") == F.col("_moved"), "left").select(
+        "ProductID", nvl("_now", F.col("Quantity")).alias("Quantity"), F.col("_at").alias("last_ts")
     )
 
 
@@ -90,10 +93,7 @@ def stream_ledger(
 def stream_stock(spark: SparkSession, base: str, stock: DataFrame) -> DataFrame:
     """The stock after everything the stream has applied so far."""
     moved = _saved(spark, f"{base}/state", 2**62, STATE)
-    latest = moved.groupBy(F.col("ProductID").alias("_moved")).agg(
-        F.max_by(F.struct("Quantity", "last_ts"), "batch").alias("_s")
-    )
-    return stock.join(latest, F.col("ProductID") == F.col("_moved"), "left").select(
-        "StockID", "ProductID", nvl("_s.Quantity", F.col("Quantity")).alias("Quantity"), "Restock_Level",
-        F.coalesce("_s.last_ts", "Last_Updated").alias("Last_Updated"),
+    return stock.join(_latest(moved), F.col("ProductID") == F.col("_moved"), "left").select(
+        "StockID", "ProductID", nvl("_now", F.col("Quantity")).alias("Quantity"), "Restock_Level",
+        F.coalesce("_at", "Last_Updated").alias("Last_Updated"),
     )

@@ -82,6 +82,29 @@ def test_lookup(spark):
     assert [(r.name, r.parents) for r in out.ambiguous.collect()] == [("TechSource Pvt Ltd", 2)]
 
 
+def test_headers_and_items_by_name(spark):
+    """Headers find their user by name, items their header by its note and their product by name."""
+    t = seed.seed_tables(spark)
+    wanted = spark.createDataFrame(
+        [("staff_arjun", "SALE", "Sale of 2x Wireless Mouse"), ("staff_meera", "RETURN", "Return of 1x A4 Notebook")],
+        "username string, Trans_Type string, Notes string",
+    )
+    found = ingest_by_lookup(wanted, [Lookup(t["users"], "UserID", "Username", "username", "UserID")]).rows
+    headers = src.assign_keys(found, "TransactionID", src.next_key(t["transactions"], "TransactionID"), ["Notes"])
+    assert sorted((r.TransactionID, r.UserID) for r in headers.collect()) == [(5, seed.MEERA), (6, seed.ARJUN)]
+    lines = spark.createDataFrame(
+        [("Sale of 2x Wireless Mouse", "Wireless Mouse", 2), ("Return of 1x A4 Notebook", "A4 Notebook", 1)],
+        "note string, product string, Quantity long",
+    )
+    items = ingest_by_lookup(lines, [
+        Lookup(headers, "TransactionID", "Notes", "note", "TransactionID"),
+        Lookup(t["products"], "ProductID", "Name", "product", "ProductID"),
+    ]).rows
+    assert sorted((r.TransactionID, r.ProductID, r.Quantity) for r in items.collect()) == [
+        (5, seed.NOTEBOOK, 1), (6, seed.MOUSE, 2)
+    ]
+
+
 def test_keys_follow_the_current_maximum(spark):
     t = seed.seed_tables(spark)
     new = spark.createDataFrame([("b",), ("a",)], "Name string")
