@@ -13,14 +13,14 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfwise.functions import dialect as d
-from shelfwise.model import RULES
+from shelfwise.model import RULES, SCHEMAS
 from shelfwise.operators import audit, changes, ledger, lookups, quality, report_lines, reports
 from shelfwise.plans.oracle import START, fold, mean, number, sql
 from shelfwise.plans.replay import LOG_SCHEMA, replay
 from shelfwise.session import shared_dir, tune
 from shelfwise.sources.lookup import Lookup, ingest_by_lookup
 from shelfwise.sources.retail import EPOCH, _file_schema, _read, commands_from, retail_commands, retail_tables
-from shelfwise.sources.tables import Tables, apply_defaults, assign_keys, with_subtotal
+from shelfwise.sources.tables import Tables, append_rows, apply_defaults, assign_keys, with_subtotal
 from shelfwise.streaming.audit import stream_audit
 from shelfwise.streaming.ledger import stream_ledger, stream_stock
 
@@ -242,6 +242,18 @@ _on_tables(
     ),
 )
 
+
+
+def _appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit log, appended to a store in two batches and read back."""
+    log, store = retail_tables(spark, sf_dir)["audit_log"], f"{_fresh_folder(spark)}/audit"
+    append_rows(log.filter("Old_Value IS NULL"), store, by="Table_Name")
+    append_rows(log.filter("Old_Value IS NOT NULL"), store, by="Table_Name")
+    return spark.read.schema(SCHEMAS["audit_log"]).parquet(store).select(*log.columns)
+
+
+_add("i11_append_rows", _appended, sql("SELECT * FROM audit_log", "audit_log"))
+
 # ---- joins, filters, projections -------------------------------------------
 
 ALERT = "FROM shelf WHERE low AND Cat_Active = 1"

@@ -22,14 +22,24 @@ def _folder(base: str, batch: int) -> str:
     return f"{base}/batch={batch}"
 
 
-def _saved(spark: SparkSession, base: str, before: int, schema: str) -> DataFrame:
-    """Folders of the batches before ``before``; the partition filter prunes the others."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(base)
-    exists = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-    if not exists:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(base).filter(F.col("batch") < before)
+def _batches(spark: SparkSession, base: str) -> list[int]:
+    """The batches that have a folder below ``base``."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return []
+    names = [entry.getPath().getName() for entry in files.listStatus(path)]
+    return sorted(int(name.removeprefix("batch=")) for name in names if name.startswith("batch="))
+
+
+def _state(spark: SparkSession, base: str, before: int, compact: int) -> DataFrame:
+    """Saved state since the last full one, as of the batches before ``before``."""
+    done = [b for b in _batches(spark, f"{base}/state") if b < before]
+    if not done:
+        return spark.createDataFrame([], STATE)
+    full = max((b for b in done if b % compact == 0), default=done[0])
+    paths = [_folder(f"{base}/state", b) for b in done if b >= full]
+    return spark.read.schema(STATE).option("basePath", f"{base}/state").parquet(*paths)
 
 
 def _latest(state: DataFrame) -> DataFrame:
@@ -42,11 +52,10 @@ def current_stock(spark: SparkSession, base: str, stock: DataFrame, before: int,
     """(ProductID, Quantity, last_ts) after the batches before ``before``.
 
     A batch writes the products it moved; every ``compact``-th one writes all
-    products it knows of, so a read reaches back over at most that many folders.
+    products moved so far, so at most ``compact`` folders are read.
     """
-    full = (before - 1) // compact * compact if before > 0 else 0
-    moved = _saved(spark, f"{base}/state", before, STATE).filter(F.col("batch") >= full)
-    return stock.join(_latest(moved), F.col("ProductID") == F.col("_moved"), "left").select(
+    latest = _latest(_state(spark, base, before, compact))
+    return stock.join(latest, F.col("ProductID") == F.col("_moved"), "left").select(
         "ProductID", nvl("_now", F.col("Quantity")).alias("Quantity"), F.col("_at").alias("last_ts")
     )
 
@@ -90,10 +99,10 @@ def stream_ledger(
     )
 
 
-def stream_stock(spark: SparkSession, base: str, stock: DataFrame) -> DataFrame:
+def stream_stock(spark: SparkSession, base: str, stock: DataFrame, compact: int = 20) -> DataFrame:
     """The stock after everything the stream has applied so far."""
-    moved = _saved(spark, f"{base}/state", 2**62, STATE)
-    return stock.join(_latest(moved), F.col("ProductID") == F.col("_moved"), "left").select(
+    latest = _latest(_state(spark, base, 2**62, compact))
+    return stock.join(latest, F.col("ProductID") == F.col("_moved"), "left").select(
         "StockID", "ProductID", nvl("_now", F.col("Quantity")).alias("Quantity"), "Restock_Level",
         F.coalesce("_at", "Last_Updated").alias("Last_Updated"),
     )
