@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from shelfwise.operators.audit import audit_product_images, audit_stock_images
+from shelfwise.session import tune
 
 
 def audit_batch(changes: DataFrame, batch: int, kind: str, base: str, products: DataFrame | None = None) -> None:
     """Store the audit rows of one micro-batch in its own folder; a retry overwrites it."""
+    tune(changes.sparkSession)  # a stream runs in a session of its own
     images = changes.select("seq", F.col("before").alias("o"), F.col("after").alias("n"))
     if kind == "products":
         rows = audit_product_images(images, "seq")

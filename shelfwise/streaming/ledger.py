@@ -13,6 +13,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from shelfwise.functions.dialect import nvl
 from shelfwise.operators.ledger import attach_facts, decide, judge
+from shelfwise.session import tune
 from shelfwise.sources.tables import Tables
 
 STATE = "ProductID bigint, Quantity bigint, last_ts timestamp_ntz, batch bigint"
@@ -65,6 +66,7 @@ def ledger_batch(
 ) -> None:
     """Decide one micro-batch and store its results and the stock it leaves."""
     spark = cmds.sparkSession
+    tune(spark)  # a stream runs in a session of its own
     state = current_stock(spark, base, t["stock_management"], batch, compact)
     facts = attach_facts(cmds, {**t, "stock_management": state})
     last = state.select(F.col("ProductID").alias("_seen"), "last_ts")
