@@ -172,7 +172,10 @@ def decide(judged: DataFrame, rules: str = "package", blocks: int | None = None)
     codes = RULE_SETS[rules]
     signed = F.when(F.col("cmd_type") == "SALE", -F.col("quantity")).otherwise(F.col("quantity"))
     live = F.col("code").isNull() & F.col("late_code").isNull() & F.col("stock_start").isNotNull()
-    placed = range_blocks(judged.withColumn("effect", F.when(live, signed).otherwise(0)), ["product_id"], ORDER, blocks)
+    moves = judged.withColumn("effect", F.when(live, signed).otherwise(0)).drop(
+        "product_active", "category_active", "user_known"  # settled; not worth shuffling
+    )
+    placed = range_blocks(moves, ["product_id"], ORDER, blocks)
     folded = balance_before(placed, "product_id", "effect", "stock_start").withColumnRenamed(
         "balance_before", "stock_before"
     )

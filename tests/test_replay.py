@@ -62,6 +62,51 @@ def test_events(spark, upto, blocks):
         assert users["staff_arjun"] == D("34155.00") and users["staff_meera"] == D("10468.00")
 
 
+def test_state_holds_from_its_place_in_the_log(spark, monkeypatch):
+    events = {
+        1: dict(cmd_type="SALE", user_id=ARJUN, product_id=50, quantity=1),  # not added yet
+        2: dict(cmd_type="CATEGORY_OFF", category_id=7),  # not added yet
+        3: dict(cmd_type="SET_PRICE", product_id=50, unit_price=D("1.00")),  # touches no row
+        4: dict(cmd_type="ADD_CATEGORY", category_id=7, name="Toys"),
+        5: dict(cmd_type="ADD_CATEGORY", category_id=8, name="Toys"),
+        6: dict(cmd_type="ADD_PRODUCT", product_id=51, category_id=7, supplier_id=9, name="Kite", unit_price=D("5.00")),
+        7: dict(cmd_type="ADD_SUPPLIER", supplier_id=9, name="ToyHouse", contact="1"),
+        8: dict(cmd_type="ADD_SUPPLIER", supplier_id=10, name="ToyHouse", contact="1"),
+        9: dict(
+            cmd_type="ADD_PRODUCT", product_id=50, category_id=7, supplier_id=9, name="Ball", unit_price=D("5.00"), quantity=4
+        ),
+        10: dict(cmd_type="SALE", user_id=ARJUN, product_id=50, quantity=2),
+        11: dict(cmd_type="SET_PRICE", product_id=50, unit_price=D("6.00")),
+        12: dict(cmd_type="SALE", user_id=ARJUN, product_id=50, quantity=1),
+        13: dict(cmd_type="CATEGORY_OFF", category_id=7),
+        14: dict(cmd_type="RESTOCK", user_id=PRIYA, product_id=50, quantity=9),
+        15: dict(cmd_type="CATEGORY_ON", category_id=7),
+        16: dict(cmd_type="RESTOCK", user_id=PRIYA, product_id=50, quantity=9),
+        17: dict(cmd_type="ADD_PRODUCT", product_id=52, category_id=77, supplier_id=9, name="Top", unit_price=D("5.00")),
+        18: dict(cmd_type="DANCE", user_id=PRIYA, product_id=50, quantity=9),
+        19: dict(cmd_type="SET_PRICE", product_id=50, unit_price=D("-6.00")),
+    }
+    monkeypatch.setattr(seed, "EVENTS", events)
+    out = replay(seed.event_log(spark, events), seed.seed_tables(spark), blocks=4)
+    got = {r.cmd_id: (r.status, r.code) for r in out.outcomes.collect()}
+    applied, idle = ("applied", None), ("no-op", None)
+
+    def no(code):
+        return ("rejected", code)
+
+    assert got == {
+        1: no("-20030"), 2: no("-20026"), 3: idle, 4: applied, 5: no("UNIQUE_NAME"), 6: no("-20022"), 7: applied,
+        8: no("-20023"), 9: applied, 10: applied, 11: applied, 12: applied, 13: applied, 14: no("-20025"), 15: applied,
+        16: applied, 17: no("-20020"), 18: no("-20004"), 19: no("CHK_PRICE"),
+    }
+    new = out.ledger.transactions.orderBy("TransactionID").collect()
+    assert [(r.TransactionID, r.Trans_Type, r.Total_Amount) for r in new] == [
+        (5, "SALE", D("10.00")), (6, "SALE", D("6.00")), (7, "RESTOCK", D("0.00"))
+    ]
+    assert seed.stock_of(out.tables)[50] == 10 and seed.active_of(out.tables)["Toys"] == 1
+    assert out.tables["products"].filter("ProductID = 50").first().Unit_Price == D("6.00")
+
+
 def commands(spark, rows):
     """rows: (minute, user, product, quantity, type)"""
     return spark.createDataFrame(
