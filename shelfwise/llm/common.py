@@ -32,6 +32,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """``base`` or a variant of it that no column of ``df`` has."""
+    taken = {name.lower() for name in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
+def pick_rows(docs: DataFrame, chosen: DataFrame, digest: Column) -> DataFrame:
+    """The rows of ``docs``, all columns, that ``chosen (doc_id, h, n)`` names, one for each of its rows.
+
+    ``digest`` is the hash of a row that ``h`` holds; ``n`` is the number of rows
+    with that doc_id and hash. Only rows that repeat both are compared further.
+    """
+    h, doc_id = free_name(docs, "_h"), free_name(docs, "_id")
+    keyed = docs.withColumn(h, digest)
+    named = chosen.select(F.col("doc_id").alias(doc_id), F.col("h").alias(f"{h}_"), "n")
+    on = keyed["doc_id"].eqNullSafe(named[doc_id]) & (keyed[h] == named[f"{h}_"])
+    out = keyed.join(named.where("n = 1"), on, "left_semi")
+    repeated = named.where("n > 1")
+    if not repeated.isEmpty():
+        out = out.union(keyed.join(repeated, on, "left_semi").dropDuplicates(["doc_id", h]))
+    return out.drop(h)
+
+
 def held_out(doc_id: str | Column = "doc_id") -> Column:
     """True for the fold that no model may learn from; a null id is in no fold."""
     text = (F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string")
@@ -49,7 +74,7 @@ def ascii_lower(text: Column) -> Column:
 
 
 def arrow_schema(ddl: str) -> pa.Schema:
-    kinds = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64())}
     return pa.schema([(name, kinds[kind]) for name, kind in (part.split() for part in ddl.split(", "))])
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import ascii_lower, settle, shared_path, table
+from shelfwise.llm.common import ascii_lower, pick_rows, settle, shared_path, table
 
 #: Most index entries of a bucket before it is split.
 CAPACITY = 50_000
@@ -64,12 +64,8 @@ def build_index(entries: DataFrame, path: str, capacity: int = CAPACITY, max_dep
     return entries.sparkSession.read.schema(placed.schema).parquet(path)
 
 
-def duplicates(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
-
-    Null counts as empty. Of equal texts the row with the largest doc_id stays (a
-    null id is smaller than any; of rows that repeat an id, exactly one stays).
-    Other columns are ignored; an empty table gives an empty result.
+def _groups(docs: DataFrame, capacity: int, max_depth: int) -> tuple[DataFrame, DataFrame]:
+    """Narrow rows ``(doc_id, row, h, sha)``, and ``(h, sha, keep, group_size)`` of each text that has copies.
 
     A first scan writes narrow rows (hash, digest, id). Grouped by hash and digest
     before any of them moves, they are the entries of the index, so a text with
@@ -105,6 +101,17 @@ def duplicates(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_D
         F.when((F.col("texts") == 1) & (F.col("copies") == F.col("n")), F.col("n"))
         .otherwise(F.raise_error(F.lit("different texts under one digest"))).alias("group_size"),
     )
+    return rows, chains
+
+
+def duplicates(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
+
+    Null counts as empty. Of equal texts the row with the largest doc_id stays (a
+    null id is smaller than any; of rows that repeat an id, exactly one stays).
+    Other columns are ignored; an empty table gives an empty result.
+    """
+    rows, chains = _groups(docs, capacity, max_depth)
     return rows.join(chains, ["h", "sha"], "left").select(
         "doc_id", F.when(F.col("keep").isNull(), F.col("doc_id")).otherwise(F.col("keep.doc_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("bigint").alias("group_size"),
@@ -112,6 +119,15 @@ def duplicates(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_D
     )
 
 
+def drop_duplicates(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """The rows of ``docs``, all columns, that ``duplicates`` keeps."""
+    rows, chains = _groups(docs, capacity, max_depth)
+    copies = rows.join(chains, ["h", "sha"])  # only texts with copies can name a row that goes or repeats
+    same = copies.where(F.col("doc_id").eqNullSafe(F.col("keep.doc_id"))).groupBy("doc_id", "h").agg(F.count("*").alias("n"))
+    alone = rows.join(chains, ["h", "sha"], "left_anti").select("doc_id", "h", F.lit(1).cast("bigint").alias("n"))
+    return pick_rows(docs, alone.union(same), F.xxhash64(normal(F.col("text"))))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which row of each group of equal texts stays."""
     return duplicates(table(spark, sf_dir, "documents"))

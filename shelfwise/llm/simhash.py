@@ -7,7 +7,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import map_slices, settle, table
+from shelfwise.llm.common import map_slices, pick_rows, settle, table
 from shelfwise.llm.components import components
 
 SHINGLE = 3
@@ -39,11 +39,13 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``(doc_id, fp)``, one row for each row of ``docs``."""
+    """``(doc_id, h, fp)``, one row for each row of ``docs``; h is a hash of the text."""
     return map_slices(
-        docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")),
-        lambda part: [part.column(0), [fingerprint(t, shingle) for t in part.column(1).to_pylist()]],
-        "doc_id bigint, fp bigint",
+        docs.select(
+            F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("h"), F.col("text").cast("string").alias("text")
+        ),
+        lambda part: [part.column(0), part.column(1), [fingerprint(t, shingle) for t in part.column(2).to_pylist()]],
+        "doc_id bigint, h bigint, fp bigint",
     )
 
 
@@ -102,6 +104,13 @@ def links(fps: DataFrame, paired: int = PAIRED) -> DataFrame:
     return near.union(_cliques(across.union(within)))
 
 
+def _linked(docs: DataFrame, shingle: int) -> DataFrame:
+    """``(doc_id, h, fp, root)``, one row for each row of ``docs``; rows with one root are one component."""
+    prints = settle(fingerprints(docs, shingle), "simhash")
+    roots = settle(components(links(prints.select("fp").distinct())), "simhash-roots").withColumnRenamed("node", "fp")
+    return prints.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``(doc_id, fp, component_id)``, one row for each row of ``docs``.
 
@@ -112,14 +121,19 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     gives an empty result. Distinct fingerprints are linked, so any number of
     copies costs one row.
     """
-    prints = settle(fingerprints(docs, shingle), "simhash")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = settle(components(links(distinct.select("fp"))), "simhash-roots")
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp").select("fp", "root", "least")
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root")
-    named = named.select("fp", "component_id")
-    alone = distinct.join(roots.select(F.col("node").alias("fp")), "fp", "left_anti")
-    return prints.join(named.union(alone.select("fp", "least")), "fp").select("doc_id", "fp", "component_id")
+    rows = _linked(docs, shingle).drop("h")
+    named = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(named, "root").select("doc_id", "fp", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """The rows of ``docs``, all columns, with the smallest doc_id of their component: one for each component.
+
+    Rows without an id stay only where no row of the component has one.
+    """
+    seen = _linked(docs, shingle).groupBy("root", "doc_id", "h").agg(F.count("*").alias("n"))
+    first = seen.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h", "n")).alias("first"))
+    return pick_rows(docs, settle(first.select("first.doc_id", "first.h", "first.n"), "simhash-kept"), F.xxhash64("text"))
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
