@@ -1,10 +1,13 @@
 """The registered queries of this folder and their SQL for DuckDB, where SQL can say it."""
 
-from shelfwise.llm import exact_dedup, packing, simhash
+from shelfwise.llm import decontaminate, exact_dedup, language_id, packing, quality, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_quality": quality.op3_quality,
+    "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op9_language_id": language_id.op9_language_id,
     "op10_packing": packing.op10_packing,
 }
 

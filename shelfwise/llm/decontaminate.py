@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import map_slices, table
+from shelfwise.llm.common import free_name, map_slices, table
 
 #: Items with fewer words than this are too short to tell from chance.
 MIN_WORDS = 5
@@ -19,14 +19,14 @@ SIMILAR, PARAPHRASED = 0.8, 0.6
 #: Fewest words of an answer: sentences from the end of an item until there are so many.
 ANSWER_WORDS = 3
 #: Least cosine of a candidate window in latent space.
-COSINE = 0.35
+COSINE = 0.4
 RANK, OVERSAMPLED = 256, 8
 #: Words of a block; windows are runs of blocks.
-BLOCK = 16
+BLOCK = 32
 #: Items longer than this are retrieved by passages of this many words.
 PASSAGE = 128
 #: Terms in more than this share of documents count only for items that have little else.
-COMMON = 0.2
+COMMON = 0.1
 #: Passages whose vectors are made and sent together, and in one scan of the documents.
 TOGETHER, IN_SCAN = 256, 4096
 #: Words of a document that are looked at together.
@@ -146,6 +146,12 @@ class Item:
         self.masks: dict[int, int] = {}
         for k, word in enumerate(ids):
             self.masks[word] = self.masks.get(word, 0) | 1 << k
+        self.times = {word: mask.bit_count() for word, mask in self.masks.items()}
+        self.words = frozenset(self.masks)
+
+    def may_be_in(self, present: set[int]) -> bool:
+        """False if too few of the item's words are present at all, in whatever order."""
+        return sum(map(self.times.__getitem__, self.words & present)) >= PARAPHRASED * self.size
 
     def similarity(self, ids: list[int]) -> float:
         """Share of the item found in ``ids``; 0 if that is too little."""
@@ -163,34 +169,49 @@ class Searcher:
 
     def __init__(self, passages: list[tuple[Item, list[int]]], weights: np.ndarray, basis: np.ndarray):
         self.items = [item for item, _ in passages]
-        latent = weights[:, None] * basis
-        vectors = np.array([latent[ids].sum(axis=0) for _, ids in passages])
-        vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-        self.table = np.hstack((latent @ vectors.T, latent)).astype(np.float32)
+        self.latent = (weights[:, None] * basis).astype(np.float32)
+        vectors = np.array([self.latent[ids].sum(axis=0) for _, ids in passages])
+        self.lengths = np.maximum(np.linalg.norm(vectors, axis=1), 1e-6)
+        self.table = np.ascontiguousarray(self.latent @ (vectors / self.lengths[:, None]).T)
         spans = np.array([-(-(len(ids) + len(ids) // 4 - 1) // BLOCK) + 1 for _, ids in passages])
         self.spans = [(int(w), np.flatnonzero(spans == w)) for w in np.unique(spans)]
 
     def search(self, ids: np.ndarray, positions: np.ndarray, found: dict[int, float]) -> None:
-        """Put the items that ``ids`` holds into ``found``, by place in ``items``; ``positions`` are those of weighted terms."""
-        blocks = positions // BLOCK
+        """Put the items that ``ids`` holds into ``found``, by place in ``items``; ``positions`` are those of weighted terms.
+
+        Products with the passages add up over words, so windows are sums of
+        blocks. The length of a window's latent vector, and so the cosine, is
+        worked out where the product reaches COSINE times the passage's own length.
+        """
+        blocks, terms = positions // BLOCK, ids[positions]
         first = np.flatnonzero(np.diff(blocks, prepend=-1))
-        sums = np.zeros((len(ids) // BLOCK + 1, self.table.shape[1]), np.float32)
-        sums[blocks[first]] = np.add.reduceat(self.table[ids[positions]], first, axis=0)
-        n, window, width = len(self.items), sums.copy(), 1
+        window, width = np.zeros((len(ids) // BLOCK + 1, len(self.items)), np.float32), 1
+        window[blocks[first]] = np.add.reduceat(self.table[terms], first, axis=0)
+        sums = window.copy()
         for span, which in self.spans:
             for k in range(width, min(span, len(sums))):  # a window that reaches beyond the end is a shorter one
                 window[:len(sums) - k] += sums[k:]
-            width = span
-            norm = np.linalg.norm(window[:, n:], axis=1, keepdims=True)
-            for at, k in zip(*np.nonzero(window[:, which] > COSINE * np.maximum(norm, 1e-6))):
-                item = which[k]
-                if found.get(int(item), 0.0) < 1.0:
-                    size = self.items[item].size
-                    reach = max(span * BLOCK, size + size // 4 + BLOCK)  # a passage of a long item: look around it
-                    a = max(0, at * BLOCK - reach + span * BLOCK)
-                    share = self.items[item].similarity(ids[a:at * BLOCK + reach].tolist())
-                    if share > found.get(int(item), 0.0):
-                        found[int(item)] = share
+            width, last = span, -1
+            part = window[:, which] if len(which) < len(self.items) else window
+            for at, k in np.argwhere(part > COSINE * self.lengths[which]).tolist():
+                if at != last:
+                    last = at
+                    a, b = np.searchsorted(blocks, (at, at + span))
+                    norm = float(np.linalg.norm(self.latent[terms[a:b]].sum(axis=0)))
+                    around: dict[int, tuple[list[int], set[int]]] = {}
+                item = int(which[k])
+                best, size = found.get(item, 0.0), self.items[item].size
+                if best >= 1.0 or part[at, k] < COSINE * norm:
+                    continue
+                reach = max(span * BLOCK, size + size // 4 + BLOCK)  # a passage of a long item: look around it
+                if reach not in around:
+                    near = ids[max(0, at * BLOCK - reach + span * BLOCK):at * BLOCK + reach].tolist()
+                    around[reach] = near, set(near)
+                near, present = around[reach]
+                if self.items[item].may_be_in(present):
+                    share = self.items[item].similarity(near)
+                    if share > best:
+                        found[item] = share
 
 
 def searchers(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> tuple[list[str], np.ndarray, list[Searcher]]:
@@ -263,7 +284,7 @@ def with_items(docs: DataFrame, benchmark: DataFrame, items: str = "item_ids", s
                 rows.append((sorted(hits, key=lambda i: (i is None, i)), max(hits.values(), default=0.0)))
             return list(zip(*rows)) or [[], []]
 
-        names.append((f"{items}_{k}", f"{similarity}_{k}"))
+        names.append((free_name(out, f"{items}_{k}"), free_name(out, f"{similarity}_{k}")))
         out = map_slices(out, work, f"{names[-1][0]} array<bigint>, {names[-1][1]} double", keep=True)
     joined = F.array_sort(F.array_distinct(F.concat(*[F.col(a) for a, _ in names])))
     best = F.greatest(*[F.col(b) for _, b in names]) if len(names) > 1 else F.col(names[0][1])
@@ -279,7 +300,8 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no benchmark item."""
-    return with_items(docs, benchmark, "_items", "_similarity").where(F.size("_items") == 0).drop("_items", "_similarity")
+    items, similarity = free_name(docs, "_items"), free_name(docs, "_similarity")
+    return with_items(docs, benchmark, items, similarity).where(F.size(items) == 0).drop(items, similarity)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
