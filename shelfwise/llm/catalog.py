@@ -1,16 +1,24 @@
 """The registered queries of this folder and their SQL for DuckDB, where SQL can say it."""
 
-from shelfwise.llm import decontaminate, exact_dedup, language_id, packing, quality, simhash
+from shelfwise.llm import (
+    decontaminate, exact_dedup, html_text, language_id, packing, quality, sharding, simhash, url_filter, warc,
+)
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_quality": quality.op3_quality,
     "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op5_warc": warc.op5_warc,
+    "op6_sharding": sharding.op6_sharding,
+    "op7_url_filter": url_filter.op7_url_filter,
+    "op8_html_text": html_text.op8_html_text,
     "op9_language_id": language_id.op9_language_id,
     "op10_packing": packing.op10_packing,
 }
 
 ORACLE = {
     "op2_exact_dedup": exact_dedup.ORACLE,
+    "op5_warc": warc.ORACLE,
+    "op7_url_filter": url_filter.ORACLE,
 }
