@@ -9,14 +9,18 @@ in many blocks. Those blocks run in parallel too:
 * A block maps the balance it is entered with to the balance it leaves. Entered
   with at least ``need`` (the deepest dip of the plain running sum) it accepts
   everything and leaves ``entry + net``. Below that it is tried with candidate
-  entries, all at once.
+  entries, all at once. A block without effect on the key leaves what it is
+  entered with.
 * Walking a key's blocks from its opening balance tells which entries occur. An
   entry not tried yet makes another parallel round over that key's blocks, with
   the entries seen most often as candidates. In a block of thousands of events
-  different entries nearly always end in the same balance, so two to five rounds
-  are usual. Balances that never meet (very unequal quantities, short blocks)
-  take more; each round settles at least one more block, so the walk always ends
-  with exact entries.
+  different entries nearly always end in the same balance, so GUESSED rounds are
+  usually enough.
+* Balances that never meet (very unequal quantities, short blocks) would need a
+  round for every block. A key that is not settled by then gallops: one task
+  walks its next 2, 4, 8, ... blocks from the exact balance reached so far, in
+  constant memory, while other keys go on beside it. So there are at most
+  GUESSED + log2(blocks) + 1 rounds, and galloping visits each event about once.
 
 The driver handles one row per block and tried entry, never events.
 """
@@ -28,6 +32,7 @@ from collections.abc import Iterable, Iterator
 from functools import partial
 from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -37,6 +42,10 @@ from shelfwise.functions.scan import BLOCK
 TRIAL = "block int, key long, start long, entry long, left long, need long, net long"
 MISSING = -(2**63)  # stands for NULL in the loops; rows with it have no effect
 MAX_GUESSES = 8  # extra guesses per round; the entries a walk needs are never cut
+GUESSED = 2  # rounds of guesses before a key gallops
+STRIDE = 4096  # events taken at once while none is refused
+POSITION = "_position"
+LEFT = "block int, key long, entry long, left long"
 
 
 def step(balance: int, effect: int) -> int:
@@ -44,16 +53,46 @@ def step(balance: int, effect: int) -> int:
     return balance + effect if effect > 0 or balance + effect >= 0 else balance
 
 
+def _columns(batch: pa.RecordBatch, names: list[str]) -> list[np.ndarray]:
+    """The batch's named columns as plain integers, NULL as ``MISSING``."""
+    out = []
+    for name in names:
+        column = batch.column(batch.schema.get_field_index(name))
+        out.append((pc.fill_null(column, MISSING) if column.null_count else column).to_numpy(zero_copy_only=False))
+    return out
+
+
 def _events(batch: pa.RecordBatch, names: list[str]) -> tuple[int, zip]:
-    """The batch's block and its (key, effect, start) as plain integers, NULL as ``MISSING``."""
-    at = [batch.schema.get_field_index(n) for n in names]
-    lists = []
-    for i in at[1:]:
-        column = batch.column(i)
-        if column.null_count:
-            column = pc.fill_null(column, MISSING)
-        lists.append(column.to_numpy(zero_copy_only=False).tolist())
-    return batch.column(at[0])[0].as_py(), zip(*lists)
+    """The batch's block and its (key, effect, start)."""
+    block, *columns = _columns(batch, names)
+    return int(block[0]), zip(*[c.tolist() for c in columns])
+
+
+def balances(effects: np.ndarray, balance: int) -> tuple[np.ndarray, int]:
+    """The balance before each event of one key, and after the last.
+
+    Events up to the first refusal follow the plain running sum; behind it the sum
+    starts anew. Python steps count refusals, not events, and where refusals come
+    thick, events are taken one by one for a while.
+    """
+    before, at, stride = np.empty(len(effects), np.int64), 0, STRIDE
+    while at < len(effects):
+        part = effects[at:at + stride]
+        after = balance + np.cumsum(part)
+        refused = np.flatnonzero((after < 0) & (part < 0))
+        end = int(refused[0]) if len(refused) else len(part)
+        before[at:at + end] = after[:end] - part[:end]
+        balance = int(after[end - 1]) if end else balance
+        at += end
+        if not len(refused):
+            stride = min(STRIDE, 2 * stride)
+            continue
+        before[at], at, stride = balance, at + 1, max(64, stride // 2)
+        if end < 16:
+            for k in range(at, min(at + 64, len(effects))):
+                before[k], at = balance, k + 1
+                balance = step(balance, int(effects[k]))
+    return before, balance
 
 
 def _run(names: list[str], entries: dict[int, tuple[int, int]], batches: Iterator[pa.RecordBatch]):
@@ -62,17 +101,18 @@ def _run(names: list[str], entries: dict[int, tuple[int, int]], batches: Iterato
     for batch in batches:
         if not batch.num_rows:
             continue
-        before = []
-        block, events = _events(batch, names)
-        for key, effect, start in events:
-            if key != current:
-                current = key
-                carried_key, carried = entries.get(block, (None, None))
-                balance = carried if carried_key == key else start
-            before.append(balance)
-            if effect > 0 or (effect < 0 and balance + effect >= 0):  # ``step``, inlined
-                balance += effect
-        column = pa.array(before, pa.int64())
+        block, keys, effects, starts = _columns(batch, names)
+        before = np.empty(len(keys), np.int64)
+        ends = [*(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+        at = 0
+        for end in ends:
+            if keys[at] != current:
+                current = keys[at]
+                carried_key, carried = entries.get(int(block[0]), (None, None))
+                balance = carried if carried_key == current else int(starts[at])
+            before[at:end], balance = balances(effects[at:end], balance)
+            at = end
+        column = pa.array(before)
         known = pc.if_else(pc.equal(column, MISSING), pa.scalar(None, pa.int64()), column)
         yield pa.RecordBatch.from_arrays([*batch.columns, known], names=[*batch.schema.names, "balance_before"])
 
@@ -127,10 +167,32 @@ def _try(names: list[str], wanted: dict[tuple[int, int], list[int]], batches: It
         yield pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in TRIAL.split(", ")])
 
 
-def _chains(placed: DataFrame, key: str, effect: str) -> dict[int, list[int]]:
-    """Keys that lie in several blocks, with their blocks in order."""
+def _gallop(names: list[str], runs: dict[int, tuple[int, int, int]], batches: Iterator[pa.RecordBatch]):
+    """Walk several blocks of a key from an exact entry; rows come sorted by key and position."""
+    state: dict[int, int] = {}
+    reached: dict[tuple[int, int], list[int]] = {}
+    for batch in batches:
+        block, keys, effects = _columns(batch, names[:3])
+        ends = [*(np.flatnonzero((np.diff(keys) != 0) | (np.diff(block) != 0)) + 1).tolist(), len(keys)]
+        at = 0
+        for end in ends if len(keys) else ():
+            key, here = int(keys[at]), int(block[at])
+            if key in runs and runs[key][0] <= here <= runs[key][1]:
+                entry = state.get(key, runs[key][2])
+                state[key] = balances(effects[at:end], entry)[1]
+                reached.setdefault((here, key), [entry, 0])[1] = state[key]
+            at = end
+    if reached:
+        rows = [(block, key, entry, left) for (block, key), (entry, left) in reached.items()]
+        kinds = [pa.int32()] + [pa.int64()] * 3
+        arrays = [pa.array(column, kind) for column, kind in zip(zip(*rows), kinds)]
+        yield pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in LEFT.split(", ")])
+
+
+def _chains(placed: DataFrame, key: str) -> dict[int, list[int]]:
+    """Keys that lie in several blocks, with their blocks in order; rows without effect count, too."""
     ends = (
-        placed.filter(F.col(effect) != 0).groupBy(BLOCK)
+        placed.filter(F.col(key).isNotNull()).groupBy(BLOCK)
         .agg(F.min(key).alias("first"), F.max(key).alias("last")).collect()  # one row per partition
     )
     blocks: dict[int, list[int]] = {}
@@ -149,22 +211,35 @@ class _Walk:
         self.limit: dict[tuple[int, int], tuple[int, int]] = {}
         self.start: dict[int, int] = {}
         self.entries: dict[int, tuple[int, int]] = {}
+        self.rounds: Counter[int] = Counter()
+        self.open = list(chains)
 
     def learn(self, row) -> None:
         at = (row["block"], row["key"])
         self.left.setdefault(at, {})[row["entry"]] = row["left"]
-        self.limit[at] = (row["need"], row["net"])
-        self.start[row["key"]] = row["start"]
+        if "need" in row:
+            self.limit[at] = (row["need"], row["net"])
+            self.start[row["key"]] = row["start"]
+
+    def missing(self) -> tuple[dict[tuple[int, int], list[int]], dict[int, tuple[int, int, int]]]:
+        """Walk every open chain; return the entries to try next and the runs to gallop (first, last block, entry).
 
-    def missing(self) -> dict[tuple[int, int], list[int]]:
-        """Walk every chain; return the entries to try next, empty when all are exact."""
+        Both are empty when all entries are exact.
+        """
         wanted: dict[tuple[int, int], set[int]] = {}
-        for key, blocks in self.chains.items():
-            balance, path, exact = self.start[key], [], True
-            for block in blocks:
+        runs: dict[int, tuple[int, int, int]] = {}
+        still_open = []
+        for key in self.open:
+            if key not in self.start:  # no block has an effect on it: every block starts it from its own rows
+                continue
+            blocks, path, unknown = self.chains[key], [], []
+            balance = self.start[key]
+            for place, block in enumerate(blocks):
                 at = (block, key)
-                if block != blocks[0]:
+                if place:
                     self.entries[block] = (key, balance)
+                if at not in self.limit:
+                    continue
                 path.append(balance)
                 need, net = self.limit[at]
                 tried = self.left[at]
@@ -173,33 +248,53 @@ class _Walk:
                 elif balance in tried:
                     balance = tried[balance]
                 else:
-                    exact = False
-                    wanted.setdefault(at, set()).add(balance)
+                    unknown.append((place, balance))
                     balance = tried[min(tried, key=lambda e: abs(e - balance))]
-            if not exact:
-                common = [entry for entry, _ in Counter(path).most_common()]
-                for block in blocks[1:]:
-                    at = (block, key)
+            if not unknown:
+                continue
+            still_open.append(key)
+            self.rounds[key] += 1
+            ahead = self.rounds[key] - GUESSED
+            if ahead > 0:
+                place, balance = unknown[0]  # the first one is exact
+                runs[key] = (blocks[place], blocks[min(place + 2**ahead, len(blocks)) - 1], balance)
+                continue
+            for place, entry in unknown:
+                wanted.setdefault((blocks[place], key), set()).add(entry)
+            common = [entry for entry, _ in Counter(path).most_common()]
+            for block in blocks[1:]:
+                at = (block, key)
+                if at in self.limit:
                     need, tried = self.limit[at][0], self.left[at]
                     fresh = (e for e in common if e < need and e not in tried)
                     wanted.setdefault(at, set()).update(islice(fresh, MAX_GUESSES))
-        return {at: sorted(entries) for at, entries in wanted.items() if entries}
-
-
-def _entries(placed: DataFrame, names: list[str]) -> dict[int, tuple[int, int]]:
-    _, key, effect, _ = names
-    walk = _Walk(_chains(placed, key, effect))
-    wanted = {(b, k): [0] for k, blocks in walk.chains.items() for b in blocks}
-    while wanted:
-        part = placed.filter(
-            (F.col(effect) != 0)
-            & F.col(BLOCK).isin(sorted({b for b, _ in wanted}))
-            & F.col(key).isin(sorted({k for _, k in wanted}))
-        ).select(*names)
-        for row in part.mapInArrow(partial(_try, names, wanted), TRIAL).collect():
-            if (row["block"], row["key"]) in wanted:
+        self.open = still_open
+        return {at: sorted(entries) for at, entries in wanted.items() if entries}, runs
+
+
+def _entries(placed: DataFrame, names: list[str], rounds: list[int] | None = None) -> dict[int, tuple[int, int]]:
+    """The exact entry of each block that a key enters from an earlier one; ``rounds`` gets a number a round."""
+    block, key, effect, _ = names
+    walk = _Walk(_chains(placed, key))
+    moving = placed.select(*names, F.monotonically_increasing_id().alias(POSITION)).filter(F.col(effect) != 0)
+    wanted, runs = {(b, k): [0] for k, blocks in walk.chains.items() for b in blocks}, {}
+    while wanted or runs:
+        if rounds is not None:
+            rounds.append(len(wanted) + len(runs))
+        if wanted:
+            part = moving.filter(
+                F.col(block).isin(sorted({b for b, _ in wanted})) & F.col(key).isin(sorted({k for _, k in wanted}))
+            ).select(*names)
+            for row in part.mapInArrow(partial(_try, names, wanted), TRIAL).collect():
+                if (row["block"], row["key"]) in wanted:
+                    walk.learn(row)
+        if runs:
+            ahead = sorted({b for k, (a, z, _) in runs.items() for b in walk.chains[k] if a <= b <= z})
+            part = moving.filter(F.col(block).isin(ahead) & F.col(key).isin(sorted(runs)))
+            one_task_a_key = part.repartition(len(runs), key).sortWithinPartitions(key, POSITION).select(*names)
+            for row in one_task_a_key.mapInArrow(partial(_gallop, names, runs), LEFT).collect():
                 walk.learn(row)
-        wanted = walk.missing()
+        wanted, runs = walk.missing()
     return walk.entries
 
 
@@ -207,7 +302,8 @@ def balance_before(placed: DataFrame, key: str, effect: str, start: str) -> Data
     """Add ``balance_before`` to events placed by ``range_blocks`` on (key, order).
 
     ``effect`` is the signed quantity, 0 for rows that change nothing; ``start``
-    the key's opening balance, the same on all of its rows.
+    the key's opening balance, the same on all of its rows. The result does not
+    depend on how the events lie in blocks.
     """
     names = [BLOCK, key, effect, start]
     schema = T.StructType([*placed.schema.fields, T.StructField("balance_before", T.LongType())])

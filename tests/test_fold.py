@@ -1,8 +1,11 @@
 """The ledger fold against a plain loop, over many block layouts."""
 
+import math
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from shelfwise.functions import fold, scan
 
@@ -13,7 +16,7 @@ def loop(events):
     for key, pos, effect, start in events:
         b = balance.get(key, start)
         out[key, pos] = b
-        balance[key] = fold.step(b, effect)
+        balance[key] = fold.step(b, effect) if b is not None else None
     return out
 
 
@@ -42,6 +45,43 @@ def test_fold_equals_loop(spark, seed, n, keys, hot, parity, blocks):
     assert got == loop(rows)
 
 
+@pytest.mark.parametrize("blocks", [1, 4, 9, 64])
+def test_blocks_without_effect_pass_the_balance_on(spark, blocks):
+    rows = [(1, 0, -8, 10)] + [(1, pos, 0, 10) for pos in range(1, 400)] + [(1, 400, -5, 10), (1, 401, 9, 10)]
+    rows += [(2, pos, 0, 3) for pos in range(300)] + [(None, pos, 0, None) for pos in range(50)]
+    rows += [(3, pos, 0, None) for pos in range(200)]
+    df = spark.createDataFrame(rows, "k long, pos long, effect long, start long")
+    got = {(r.k, r.pos): r.balance_before for r in fold.balance_before(scan.range_blocks(df, ["k"], ["pos"], blocks), "k", "effect", "start").collect()}
+    assert got == loop(sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1])))
+
+
+@pytest.mark.parametrize("kind", ["log", "power"])
+def test_rounds_are_bounded_for_unequal_quantities(spark, kind):
+    rng = random.Random(8)
+    sizes = (lambda: int(10 ** rng.uniform(0, 6))) if kind == "log" else (lambda: 2 ** rng.randrange(30))
+    rows = [(7, pos, rng.choice((-1, 1)) * sizes(), 100) for pos in range(2000)]
+    placed = scan.range_blocks(spark.createDataFrame(rows, "k long, pos long, effect long, start long"), ["k"], ["pos"], 32)
+    blocks, rounds = placed.select(scan.BLOCK).distinct().count(), []
+    names = [scan.BLOCK, "k", "effect", "start"]
+    entries = fold._entries(placed, names, rounds)
+    assert len(rounds) <= 2 * math.log2(blocks) + 6
+    firsts = {r[scan.BLOCK]: r["pos"] for r in placed.groupBy(scan.BLOCK).agg(F.min("pos").alias("pos")).collect()}
+    want = loop(rows)
+    assert entries == {b: (7, want[7, pos]) for b, pos in firsts.items() if pos}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_balances_equal_the_plain_loop(seed):
+    rng = np.random.default_rng(seed)
+    effects = rng.integers(-40, 35 if seed % 2 else 12, 20_000) * (rng.random(20_000) < 0.9)
+    want, balance = [], 17
+    for e in effects.tolist():
+        want.append(balance)
+        balance = fold.step(balance, e)
+    before, left = fold.balances(effects, 17)
+    assert before.tolist() == want and left == balance
+
+
 def test_hot_key_lies_in_many_blocks(spark):
     rows = events_of(5, 1000, 4, 0.8)
     placed = scan.range_blocks(
