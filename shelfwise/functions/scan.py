@@ -2,15 +2,20 @@
 
 A window over ``partitionBy(key)`` puts all rows of a key in one task. Here the
 rows are range-partitioned on (key, order) first, so a hot key covers many
-partitions ("blocks"). Each block is computed on its own, and what the earlier
-blocks of the same key pass on is a summary with one row per block and key.
+partitions ("blocks"). Each block is one pass in order, and what the earlier
+blocks of the same key pass on is one value, as only the first key of a block can
+have begun before it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import partial
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from shelfwise.session import cut_lineage
 
@@ -31,65 +36,127 @@ def range_blocks(
     return cut_lineage(spread.sortWithinPartitions(*columns).withColumn(BLOCK, F.spark_partition_id()))
 
 
-def _carry_over(df: DataFrame, key: str, summary: Column, carry: Column) -> DataFrame:
-    """What earlier blocks of a key hand to a later one.
-
-    Only the first key of a block can have begun in an earlier one, so the
-    result has at most one row per block whatever the data.
+def _run_starts(keys: pa.Array) -> np.ndarray:
+    """Where another key begins than the one before; NULLs are one key."""
+    if len(keys) < 2:
+        return np.zeros(len(keys), np.int64)
+    one, two = keys[:-1], keys[1:]
+    other = pc.fill_null(pc.not_equal(one, two), False).to_numpy(zero_copy_only=False)
+    other |= pc.is_null(one).to_numpy(zero_copy_only=False) != pc.is_null(two).to_numpy(zero_copy_only=False)
+    return np.concatenate(([0], np.flatnonzero(other) + 1))
+
+
+class _Sum:
+    """Running sum of a whole number; NULL counts as 0."""
+
+    def __init__(self):
+        self.state = 0
+
+    def over(self, values: pa.Array, starts: np.ndarray, goes_on: bool) -> pa.Array:
+        v = pc.fill_null(values, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        sums = np.cumsum(v)
+        before = np.where(starts > 0, sums[starts - 1], 0)
+        if goes_on:
+            before[0] -= self.state
+        sums -= np.repeat(before, np.diff(starts, append=len(v)))
+        self.state = int(sums[-1])
+        return pa.array(sums)
+
+    @staticmethod
+    def joined(earlier, later):
+        return later if earlier is None else earlier + later
+
+
+class _Last:
+    """The latest value that is not NULL, of any type."""
+
+    def __init__(self):
+        self.state = None
+
+    def over(self, values: pa.Array, starts: np.ndarray, goes_on: bool) -> pa.Array:
+        n = len(values)
+        known = np.where(pc.is_valid(values).to_numpy(zero_copy_only=False), np.arange(n), -1)
+        known = np.maximum.accumulate(known)
+        first = np.repeat(starts, np.diff(starts, append=n))
+        carried = self.state if goes_on and self.state is not None else None
+        at = np.where(known >= first, known + 1, 0)
+        missing = (at == 0) & ((first > 0) | (carried is None))
+        pool = pa.concat_arrays([pa.array([carried], values.type), values])
+        out = pool.take(pa.array(at, mask=missing))
+        self.state = out[-1].as_py()
+        return out
+
+    @staticmethod
+    def joined(earlier, later):
+        return earlier if later is None else later
+
+
+def _pass(kind: type, names: list[str], carry: dict[int, tuple] | None, batches: Iterator[pa.RecordBatch]):
+    """One pass over a block: appends the running value, or without ``carry`` yields that of its first and last key."""
+    work, before, runs, first, last = kind(), (), 0, None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        block, keys, values = (batch.column(batch.schema.get_field_index(n)) for n in names)
+        starts, key = _run_starts(keys), keys[0].as_py()
+        goes_on = before == (key,)
+        if not before and carry is not None:
+            of, value = carry.get(block[0].as_py(), (None, None))
+            if block[0].as_py() in carry and of == key:
+                work.state, goes_on = value, True
+        out = work.over(values, starts, goes_on)
+        before = (keys[-1].as_py(),)
+        if carry is not None:
+            yield pa.RecordBatch.from_arrays([*batch.columns, out], names=[*batch.schema.names, "_run"])
+            continue
+        if runs == 0 or (runs == 1 and goes_on):
+            end = int(starts[1]) - 1 if len(starts) > 1 else len(keys) - 1
+            first = block.slice(0, 1), keys.slice(0, 1), out.slice(end, 1)
+        runs += len(starts) - goes_on
+        if runs > 1:
+            last = block.slice(0, 1), keys.slice(len(keys) - 1, 1), out.slice(len(keys) - 1, 1)
+    for end in (first, last):
+        if end is not None:
+            yield pa.RecordBatch.from_arrays(list(end), names=["block", "key", "value"])
+
+
+def _running(placed: DataFrame, kind: type, key: str, value: str, out: str) -> DataFrame:
+    """``placed`` (by ``range_blocks``) with the running ``value`` of each key, without another shuffle.
+
+    Only the first key of a block can have begun in an earlier one, so blocks tell
+    the driver about their first and last key, two rows each, and get back at
+    most one value.
     """
-    per_block = df.groupBy(key, BLOCK).agg(summary.alias("_part"))
-    return (
-        per_block.withColumn("_carry", carry)
-        .filter(F.col("_carry").isNotNull())
-        .select(F.col(key).alias("_key"), F.col(BLOCK).alias("_at"), "_carry")
-    )
-
-
-def _earlier(key: str):
-    return Window.partitionBy(key).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-
-
-def _within(key: str, order: Sequence[str]):
-    return (
-        Window.partitionBy(BLOCK, key)
-        .orderBy(*[F.col(c).asc_nulls_last() for c in order])
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-
-
-def _join_carry(local: DataFrame, carry: DataFrame, key: str) -> DataFrame:
-    # at most one row per block: bounded by the partition count, not by the data
-    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col(BLOCK) == F.col("_at"))
-    return local.join(F.broadcast(carry), same, "left")
+    fields = {f.name: f.dataType for f in placed.schema.fields}
+    made = T.LongType() if kind is _Sum else fields[value]
+    names = [BLOCK, key, value]
+    told = T.StructType([T.StructField("block", fields[BLOCK]), T.StructField("key", fields[key]), T.StructField("value", made)])
+    ends = placed.select(*names).mapInArrow(partial(_pass, kind, names, None), told).toArrow().to_pylist()
+    carry: dict[int, tuple] = {}
+    known: tuple | None = None
+    for row in sorted(ends, key=lambda r: r["block"]):  # stable: the first key of a block comes first
+        if known is not None and known[0] == row["key"]:
+            if known[2] != row["block"]:
+                carry[row["block"]] = known[:2]
+            known = (row["key"], kind.joined(known[1], row["value"]), row["block"])
+        else:
+            known = (row["key"], row["value"], row["block"])
+    schema = T.StructType([*placed.schema.fields, T.StructField("_run", made)])
+    return placed.mapInArrow(partial(_pass, kind, names, carry), schema).drop(BLOCK).withColumnRenamed("_run", out)
 
 
 def running_sum(
     df: DataFrame, key: str, order: Sequence[str], value: str, out: str, blocks: int | None = None
 ) -> DataFrame:
-    """``sum(value)`` from the key's first row up to the current one."""
-    placed = range_blocks(df, [key], order, blocks)
-    carry = _carry_over(placed, key, F.sum(value), F.sum("_part").over(_earlier(key)))
-    local = placed.withColumn("_run", F.sum(value).over(_within(key, order)))
-    return (
-        _join_carry(local, carry, key)
-        .withColumn(out, F.col("_run") + F.coalesce("_carry", F.lit(0)))
-        .drop("_run", "_carry", "_key", "_at", BLOCK)
-    )
+    """``sum(value)``, a whole number, from the key's first row up to the current one."""
+    return _running(range_blocks(df, [key], order, blocks), _Sum, key, value, out)
 
 
 def last_known(
     df: DataFrame, key: str, order: Sequence[str], value: str, out: str, blocks: int | None = None
 ) -> DataFrame:
     """The latest non-null ``value`` of the key up to and including the row."""
-    placed = range_blocks(df, [key], order, blocks)
-    latest = F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order)))
-    carry = _carry_over(placed, key, latest, F.last("_part", ignorenulls=True).over(_earlier(key)))
-    local = placed.withColumn("_run", F.last(value, ignorenulls=True).over(_within(key, order)))
-    return (
-        _join_carry(local, carry, key)
-        .withColumn(out, F.coalesce("_run", "_carry"))
-        .drop("_run", "_carry", "_key", "_at", BLOCK)
-    )
+    return _running(range_blocks(df, [key], order, blocks), _Last, key, value, out)
 
 
 def as_of(

@@ -200,7 +200,11 @@ def ledger_rows(accepted: DataFrame, t: Tables, rules: str = "package") -> tuple
     One numbering serves the three keys: each command has one header, one item
     and one audit row.
     """
-    numbered = assign_keys(accepted, "_n", 0, ["event_ts", "cmd_id", "product_id", "quantity"])
+    used = accepted.select(  # what the three outputs show; texts of refusals stay behind
+        "cmd_id", "event_ts", "user_id", "product_id", "quantity", "cmd_type", "notes", "actor", "product_name",
+        "Unit_Price", "stock_before", "stock_after",
+    )
+    numbered = assign_keys(used, "_n", 0, ["event_ts", "cmd_id", "product_id", "quantity"])
     restock = F.col("cmd_type") == "RESTOCK"
     price = F.when(restock, F.lit(0)).otherwise(F.col("Unit_Price")).cast("decimal(10,2)")
     amount = (price * F.col("quantity")).cast("decimal(12,2)")

@@ -102,6 +102,32 @@ def test_running_sum(spark, blocks):
     assert got == want
 
 
+@pytest.mark.parametrize("blocks", [1, 3, 20])
+def test_values_cross_blocks_batches_and_null_keys(spark, blocks):
+    rng = random.Random(9)
+    rows = [(rng.choice((None, 1, 2, 2, 2, 2, 3)), pos, rng.choice((None, None, 1, 5))) for pos in range(400)]
+    df = spark.createDataFrame(rows, "k long, pos long, v long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        sums = {r.pos: r.s for r in scan.running_sum(df, "k", ["pos"], "v", "s", blocks).collect()}
+        structs = df.selectExpr("k", "pos", "IF(v IS NULL, NULL, struct(v, CAST(v AS decimal(10,2)) AS d)) AS v")
+        last = {r.pos: r.s for r in scan.last_known(structs, "k", ["pos"], "v", "s", blocks).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    total, latest = {}, {}
+    for k, pos, v in rows:
+        total[k] = total.get(k, 0) + (v or 0)
+        latest[k] = v if v is not None else latest.get(k)
+        assert sums[pos] == total[k]
+        assert (last[pos].v if last[pos] else None) == latest[k]
+
+
+def test_one_shuffle(spark):
+    df = spark.range(1000).selectExpr("id % 3 AS k", "id AS pos", "id AS v")
+    out = scan.running_sum(df, "k", ["pos"], "v", "s", 4)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()  # behind the checkpoint
+
+
 @pytest.mark.parametrize("blocks,strict", [(1, False), (6, False), (6, True)])
 def test_as_of(spark, blocks, strict):
     rng = random.Random(7)
