@@ -131,7 +131,7 @@ def _running(placed: DataFrame, kind: type, key: str, value: str, out: str) -> D
     made = T.LongType() if kind is _Sum else fields[value]
     names = [BLOCK, key, value]
     told = T.StructType([T.StructField("block", fields[BLOCK]), T.StructField("key", fields[key]), T.StructField("value", made)])
-    ends = placed.select(*names).mapInArrow(partial(_pass, kind, names, None), told).toArrow().to_pylist()
+    ends = [r.asDict(recursive=True) for r in placed.select(*names).mapInArrow(partial(_pass, kind, names, None), told).collect()]
     carry: dict[int, tuple] = {}
     known: tuple | None = None
     for row in sorted(ends, key=lambda r: r["block"]):  # stable: the first key of a block comes first

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfwise.functions.dialect import number_text, nvl, text
 from shelfwise.functions.scan import as_of
 from shelfwise.model import RULES, SCHEMAS
+from shelfwise.operators.quality import constraint_code
 from shelfwise.session import cut_lineage
 from shelfwise.sources.tables import Tables, apply_defaults, assign_keys, next_key
 
@@ -21,13 +23,35 @@ def long_ago() -> Column:
     return F.lit("0001-01-01 00:00:00").cast("timestamp_ntz")
 
 
-@dataclass(frozen=True)
 class Applied:
-    """New table state, what became of each input row, and the audit rows (without LogID)."""
+    """New table state, what became of each input row, and the audit rows (without LogID).
+
+    The history behind outcomes and audit is only computed when one of them is asked for.
+    """
+
+    def __init__(self, changes: DataFrame, category: DataFrame, products: DataFrame, blocks: int | None):
+        self._changes, self._category, self._products, self._blocks = changes, category, products, blocks
+
+    @cached_property
+    def outcomes(self) -> DataFrame:
+        return category_history(self._changes, self._category, self._blocks)
 
-    table: DataFrame
-    outcomes: DataFrame
-    audit: DataFrame
+    @cached_property
+    def table(self) -> DataFrame:
+        category = self._category
+        final = self._changes.groupBy(F.col("CategoryID").alias("_changed")).agg(
+            F.max_by("IS_ACTIVE", F.struct(*CHANGE_ORDER)).alias("_flag")
+        )
+        return category.join(final, F.col("CategoryID") == F.col("_changed"), "left").select(
+            *[nvl("_flag", F.col("IS_ACTIVE")).alias("IS_ACTIVE") if c == "IS_ACTIVE" else c for c in category.columns]
+        )
+
+    @cached_property
+    def audit(self) -> DataFrame:
+        deleted = self.outcomes.filter("status = 'applied' AND IS_ACTIVE = 0").join(
+            affected_products(self._changes, self._products), "CategoryID", "left"
+        )
+        return soft_delete_audit(deleted)
 
 
 @dataclass(frozen=True)
@@ -80,7 +104,7 @@ def category_history(changes: DataFrame, category: DataFrame, blocks: int | None
     return (
         before.withColumn("status", F.when(missing, "rejected").when(same, "no-op").otherwise("applied"))
         .withColumn("code", F.when(missing, "-20026"))
-        .withColumn(
+        .withColumn(  # fixed value: the text
             "message", F.when(missing, text("ERROR: Category ID ", F.col("CategoryID"), " does not exist."))
         )
         .drop("_known")
@@ -95,24 +119,42 @@ def apply_category_status(
     ``changes`` holds (change_id, event_ts, CategoryID, IS_ACTIVE, actor). A
     soft delete of an inactive category does nothing and leaves no audit row.
     """
-    outcomes = category_history(changes, category, blocks)
-    final = changes.groupBy(F.col("CategoryID").alias("_changed")).agg(
-        F.max_by("IS_ACTIVE", F.struct(*CHANGE_ORDER)).alias("_flag")
-    )
-    table = category.join(final, F.col("CategoryID") == F.col("_changed"), "left").select(
-        *[nvl("_flag", F.col("IS_ACTIVE")).alias("IS_ACTIVE") if c == "IS_ACTIVE" else c for c in category.columns]
-    )
-    deleted = outcomes.filter("status = 'applied' AND IS_ACTIVE = 0").join(
-        affected_products(changes, products), "CategoryID", "left"
-    )
-    audit = _audit(
+    return Applied(changes, category, products, blocks)
+
+
+def soft_delete_audit(deleted: DataFrame) -> DataFrame:
+    """Audit rows of soft deletes ``(CategoryID, category_name, affected, …)``. The texts."""
+    return _audit(
         deleted, "CATEGORY", "UPDATE", "CategoryID", F.lit("IS_ACTIVE=1"), F.lit("IS_ACTIVE=0"),
         text(
             'Soft delete via PKG_ADMIN_OPS: "', F.col("category_name"), '" | ', nvl("affected", 0),
             " product(s) affected",
         ),
     )
-    return Applied(table, outcomes, audit)
+
+
+def product_audit(rows: DataFrame) -> DataFrame:
+    """Audit rows of added products ``(ProductID, Name, Unit_Price, …)``. The texts."""
+    return _audit(
+        rows, "PRODUCTS", "INSERT", "ProductID", F.lit(None),
+        text("Name=", F.col("Name"), " Price=", number_text("Unit_Price")),
+        F.lit("New product added via PKG_ADMIN_OPS.Add_Product"),
+    )
+
+
+def supplier_audit(rows: DataFrame) -> DataFrame:
+    """Audit rows of added suppliers ``(SupplierID, Name, …)``. The texts."""
+    return _audit(
+        rows, "SUPPLIERS", "INSERT", "SupplierID", F.lit(None), text("Name=", F.col("Name")),
+        F.lit("New supplier added via PKG_ADMIN_OPS.Add_Supplier"),
+    )
+
+
+def product_code(rows: DataFrame) -> Column:
+    """The constraint that a new product breaks: those of its own row, then those of its first stock row."""
+    price = F.when(F.col("Unit_Price").isNull(), "CHK_PRICE")
+    stock = constraint_code(rows.select("Quantity", "Restock_Level"), "stock_management", nulls=False)
+    return F.coalesce(price, constraint_code(rows.select("Name", "Unit_Price"), "products"), stock)
 
 
 def add_products(rows: DataFrame, t: Tables) -> Added:
@@ -131,9 +173,7 @@ def add_products(rows: DataFrame, t: Tables) -> Added:
     code = (
         F.when(F.col("_cat").isNull(), "-20020").when(F.col("_flag") == 0, "-20021")
         .when(F.col("_sup").isNull(), "-20022")
-        .when(F.col("Unit_Price").isNull() | (F.col("Unit_Price") <= 0), "CHK_PRICE")
-        .when((F.col("Quantity") < 0) | (F.col("Restock_Level") < 0), "CHK_QTY")
-        .when(F.col("Name").isNull(), "NOT_NULL")
+        .otherwise(product_code(facts))
     )
     # The error texts
     message = (
@@ -156,12 +196,7 @@ def add_products(rows: DataFrame, t: Tables) -> Added:
     ).withColumn("StockID", F.col("_n") + next_key(t["stock_management"], "StockID"))
     products = apply_defaults(keyed.withColumn("Created_At", F.col("event_ts")), "products")
     stock = apply_defaults(keyed.withColumn("Last_Updated", F.col("event_ts")), "stock_management")
-    audit = _audit(
-        keyed, "PRODUCTS", "INSERT", "ProductID", F.lit(None),
-        text("Name=", F.col("Name"), " Price=", number_text("Unit_Price")),
-        F.lit("New product added via PKG_ADMIN_OPS.Add_Product"),
-    )
-    return Added(products, rejected, audit, stock)
+    return Added(products, rejected, product_audit(keyed), stock)
 
 
 def first_holders(rows: DataFrame, existing: DataFrame, unique: Sequence[str], order: str) -> DataFrame:
@@ -210,7 +245,7 @@ def add_suppliers(rows: DataFrame, suppliers: DataFrame) -> Added:
     ``rows``: (row_id, event_ts, Name, Contact, Email, Address, actor). The
     stored e-mail is unique too; those clashes get UNIQUE_EMAIL.
     """
-    complete = rows.filter(F.col("Name").isNotNull() & F.col("Contact").isNotNull())
+    complete = rows.filter(constraint_code(rows, "suppliers").isNull())
     taken = first_holders(complete, suppliers, ("Name", "Email"), "row_id")
     keyed = assign_keys(taken, "SupplierID", next_key(suppliers, "SupplierID"), ["row_id"])
     stored = suppliers.select(F.col("Name").alias("_held"), F.lit(None).cast("long").alias("_by")).distinct()
@@ -221,7 +256,7 @@ def add_suppliers(rows: DataFrame, suppliers: DataFrame) -> Added:
     earlier = F.col("_held").isNotNull() & nvl(F.col("_by") < F.col("row_id"), True)
     code = (
         F.when(earlier, "-20023")
-        .when(F.col("Name").isNull() | F.col("Contact").isNull(), "NOT_NULL").otherwise("UNIQUE_EMAIL")
+        .otherwise(F.coalesce(constraint_code(rows, "suppliers"), F.lit("UNIQUE_EMAIL")))
     )
     rejected = refused.withColumn("code", code).withColumn(
         "message",
@@ -229,32 +264,48 @@ def add_suppliers(rows: DataFrame, suppliers: DataFrame) -> Added:
             "table constraint violated"
         ),
     ).drop("_held", "_by")
-    audit = _audit(
-        keyed, "SUPPLIERS", "INSERT", "SupplierID", F.lit(None), text("Name=", F.col("Name")),
-        F.lit("New supplier added via PKG_ADMIN_OPS.Add_Supplier"),
-    )
-    return Added(apply_defaults(keyed.withColumn("Created_At", F.col("event_ts")), "suppliers"), rejected, audit)
+    return Added(apply_defaults(keyed.withColumn("Created_At", F.col("event_ts")), "suppliers"), rejected, supplier_audit(keyed))
 
 
 def add_dimension_rows(rows: DataFrame, existing: DataFrame, table: str) -> Added:
-    """New categories or users, active from the start; clashes on unique columns are refused. No audit rows."""
+    """New categories or users, active from the start. No audit rows.
+
+    Rows that break a declared constraint are refused with its code; of the others,
+    clashes on unique columns are.
+    """
     key, *unique = RULES[table].unique
     flag = next(f.name for f in SCHEMAS[table] if f.name.upper() == "IS_ACTIVE")
-    taken = first_holders(rows, existing, unique, "row_id")
+    given = {key, flag, "Created_At"}  # set here
+    missing = [c for c in RULES[table].required if c not in rows.columns and c not in given]
+    own = rows.withColumns({c: F.lit(None).cast("string") for c in missing}) if missing else rows
+    judged = own.withColumn("code", constraint_code(own.drop(*given), table)).select(*rows.columns, "code")
+    sound = judged.filter(F.col("code").isNull()).drop("code")
+    taken = first_holders(sound, existing, unique, "row_id")
     keyed = assign_keys(taken, key, next_key(existing, key), ["row_id"]).withColumn(flag, F.lit(1))
-    rejected = rows.join(taken.select("row_id"), "row_id", "left_anti").withColumn(
-        "code", F.lit("UNIQUE_" + "_OR_".join(c.upper() for c in unique))
-    )
+    rejected = judged.join(taken.select("row_id"), "row_id", "left_anti").withColumn(
+        "code", F.coalesce("code", F.lit("UNIQUE_" + "_OR_".join(c.upper() for c in unique)))
+    ).select(*rows.columns, "code")
     return Added(apply_defaults(keyed.withColumn("Created_At", F.col("event_ts")), table), rejected)
 
 
+def screen_updates(changes: DataFrame, table: str, columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(changes the table's constraints allow, refused ones with ``code``); one bad value refuses the whole change."""
+    judged = changes.withColumn("code", constraint_code(changes.select(*columns), table, nulls=False))
+    return judged.filter(F.col("code").isNull()).drop("code"), judged.filter(F.col("code").isNotNull())
+
+
 def apply_updates(
-    df: DataFrame, changes: DataFrame, key: str, columns: Sequence[str], order: Sequence[str] = CHANGE_ORDER
+    df: DataFrame, changes: DataFrame, key: str, columns: Sequence[str], order: Sequence[str] = CHANGE_ORDER,
+    table: str | None = None,
 ) -> DataFrame:
     """Set ``columns`` to their last value in ``changes``; a NULL leaves the column as it was.
 
-    Changes are reduced to one row per key map-side; unknown keys change nothing.
+    With the name of its ``table``, changes that break a declared constraint are
+    left out (``screen_updates`` returns them). Changes are reduced to one row per
+    key map-side; unknown keys change nothing.
     """
+    if table:
+        changes = screen_updates(changes, table, columns)[0]
     position = F.struct(*order)
     latest = changes.groupBy(F.col(key).alias("_key")).agg(
         *[F.max_by(c, F.when(F.col(c).isNotNull(), position)).alias(f"_{c}") for c in columns]

@@ -25,7 +25,7 @@ PROCEDURE = {
     "RETURN": {"product": "-20001", "stock_row": "-20002"},
     "RESTOCK": {"product": "-20005", "category": "-20006", "stock_row": "NO_STOCK_ROW"},
 }
-BAD_TYPE, BAD_QUANTITY, UNKNOWN_USER = "-20004", "CHK_QTY", "FK_USER"
+BAD_TYPE, BAD_QUANTITY, UNKNOWN_USER, TOO_LARGE = "-20004", "CHK_QTY", "FK_USER", "AMOUNT_RANGE"
 RULE_SETS = {"package": PACKAGE, "procedure": PROCEDURE}
 
 
@@ -95,6 +95,13 @@ def attach_facts(cmds: DataFrame, t: Tables) -> DataFrame:
     )
 
 
+def _amount() -> Column:
+    """What a command is worth; NULL where that does not fit the header's column."""
+    restock = F.col("cmd_type") == "RESTOCK"
+    price = F.when(restock, F.lit(0)).otherwise(F.col("Unit_Price")).cast("decimal(10,2)")
+    return (price * F.col("quantity")).try_cast("decimal(12,2)")
+
+
 def judge(facts: DataFrame, rules: str = "package") -> DataFrame:
     """Add ``code`` (checks before the stock check) and ``late_code`` (checks after it).
 
@@ -124,7 +131,7 @@ def judge(facts: DataFrame, rules: str = "package") -> DataFrame:
         untyped = F.lit(BAD_TYPE)
     late = F.when(F.col("quantity").isNull() | (F.col("quantity") <= 0), BAD_QUANTITY).when(
         ~F.col("user_known"), UNKNOWN_USER
-    )
+    ).when((kind != "RESTOCK") & _amount().isNull() & F.col("Unit_Price").isNotNull(), TOO_LARGE)
     return facts.withColumn("code", F.when(known_type, early).otherwise(untyped)).withColumn("late_code", late)
 
 
@@ -159,6 +166,7 @@ def _message(codes: dict[str, dict[str, str]], rules: str) -> Column:
         .when(code == "NO_STOCK_ROW", text("no stock row for product ", pid))
         .when(code == BAD_QUANTITY, "quantity must be above 0")
         .when(code == UNKNOWN_USER, text("unknown user ", F.col("user_id")))
+        .when(code == TOO_LARGE, "amount too large")
     )
 
 
@@ -207,13 +215,12 @@ def ledger_rows(accepted: DataFrame, t: Tables, rules: str = "package") -> tuple
     numbered = assign_keys(used, "_n", 0, ["event_ts", "cmd_id", "product_id", "quantity"])
     restock = F.col("cmd_type") == "RESTOCK"
     price = F.when(restock, F.lit(0)).otherwise(F.col("Unit_Price")).cast("decimal(10,2)")
-    amount = (price * F.col("quantity")).cast("decimal(12,2)")
     rows = (
         numbered.withColumn("TransactionID", F.col("_n") + next_key(t["transactions"], "TransactionID"))
         .withColumn("ItemID", F.col("_n") + next_key(t["transaction_items"], "ItemID"))
         .withColumn("LogID", F.col("_n") + next_key(t["audit_log"], "LogID"))
         .withColumn("price", price)
-        .withColumn("amount", amount)
+        .withColumn("amount", _amount())
         .withColumn("note", _note(rules))
     )
     headers = rows.select(

@@ -22,16 +22,41 @@ def _row_rules(df: DataFrame, rules: Rules) -> list[tuple[str, Column, Column]]:
         if c in df.columns:
             out.append((f"NOT NULL {c}", F.col(c).isNull(), F.lit(None).cast("string")))
     for c, values in rules.allowed.items():
-        out.append((f"VALUE {c}", ~F.col(c).isin(*values), F.col(c).cast("string")))
+        if c in df.columns:
+            out.append((f"VALUE {c}", ~F.col(c).isin(*values), F.col(c).cast("string")))
     for c, bound in rules.above.items():
-        out.append((f"ABOVE {bound} {c}", F.col(c) <= bound, F.col(c).cast("string")))
+        if c in df.columns:
+            out.append((f"ABOVE {bound} {c}", F.col(c) <= bound, F.col(c).cast("string")))
     for c, bound in rules.at_least.items():
-        out.append((f"AT LEAST {bound} {c}", F.col(c) < bound, F.col(c).cast("string")))
+        if c in df.columns:
+            out.append((f"AT LEAST {bound} {c}", F.col(c) < bound, F.col(c).cast("string")))
     for c, size in rules.max_length.items():
-        out.append((f"LENGTH {size} {c}", F.length(c) > size, F.col(c)))
+        if c in df.columns:
+            out.append((f"LENGTH {size} {c}", F.length(c) > size, F.col(c)))
     return out
 
 
+# The names by which a refused write reports its constraint.
+CODES = {"Unit_Price": "CHK_PRICE", "Quantity": "CHK_QTY", "Restock_Level": "CHK_QTY", "Role": "CHK_ROLE"}
+
+
+def constraint_code(df: DataFrame, table: str, nulls: bool = True) -> Column:
+    """The first declared row rule that a row of ``df`` breaks, as a short code; NULL if it breaks none.
+
+    Only columns that ``df`` has are judged. Without ``nulls`` a NULL breaks no
+    rule (updates leave such columns as they are).
+    """
+    code = F.lit(None).cast("string")
+    for name, bad, _ in reversed(_row_rules(df, RULES[table])):
+        kind, column = name.split()[0], name.split()[-1]
+        if kind == "NOT":
+            if nulls:
+                code = F.when(bad, "NOT_NULL").otherwise(code)
+        else:
+            code = F.when(bad, "LENGTH" if kind == "LENGTH" else CODES.get(column, "CHK_FLAG")).otherwise(code)
+    return code
+
+
 def check_rows(df: DataFrame, table: str, rules: Rules | None = None) -> DataFrame:
     """(table_name, record_id, rule, value) for every broken row rule, in one pass over the rows."""
     checks = _row_rules(df, rules or RULES[table])
@@ -90,15 +115,34 @@ def check_all_fks(t: Tables) -> DataFrame:
 def quality_report(t: Tables) -> DataFrame:
     """Violations per table and rule; rules without a violation do not appear.
 
-    Unique rules count the rows in excess of one per value.
+    Unique rules count the rows in excess of one per value. Two passes over each
+    table: one counts all row rules at once, one turns a row into the (rule, value)
+    pairs of its unique and foreign keys, which are counted together before they
+    meet the parents' keys.
     """
-    rows = [
-        check_rows(df, name).groupBy("table_name", "rule").agg(F.count(F.lit(1)).alias("violations"))
-        for name, df in t.items()
-    ]
-    unique = check_all_unique(t).groupBy("table_name", "rule").agg(F.sum(F.col("row_count") - 1).alias("violations"))
-    fks = check_all_fks(t).groupBy("table_name", "rule").agg(F.sum("row_count").alias("violations"))
-    return _union([*rows, unique, fks])
+    name, rule, value = F.col("table_name"), F.col("rule"), F.col("value")
+    rows, pairs = [], []
+    for table, df in t.items():
+        checks = _row_rules(df, RULES[table])
+        counts = df.agg(*[F.count_if(bad).alias(f"c{k}") for k, (_, bad, _) in enumerate(checks)])
+        listed = F.array(*[F.struct(F.lit(of).alias("rule"), F.col(f"c{k}").alias("n")) for k, (of, _, _) in enumerate(checks)])
+        rows.append(
+            counts.select(F.explode(listed).alias("v"))
+            .select(F.lit(table).alias("table_name"), "v.rule", F.col("v.n").alias("violations")).filter("violations > 0")
+        )
+        keyed = [(f"UNIQUE {c}", c) for c in RULES[table].unique]
+        keyed += [(f"FOREIGN KEY {c}", c) for child, c, _, _ in FOREIGN_KEYS if child == table]
+        held = F.array(*[F.struct(F.lit(of).alias("rule"), F.col(c).cast("string").alias("value")) for of, c in keyed])
+        pairs.append(df.select(F.explode(held).alias("v")).select(F.lit(table).alias("table_name"), "v.rule", "v.value"))
+    held = _union(pairs).filter(value.isNotNull()).groupBy("table_name", "rule", "value").agg(F.count(F.lit(1)).alias("n"))
+    parents = _union(
+        [t[parent].select(F.lit(child).alias("table_name"), F.lit(f"FOREIGN KEY {c}").alias("rule"),
+                          F.col(key).cast("string").alias("value"), F.lit(1).alias("found"))
+         for child, c, parent, key in FOREIGN_KEYS]
+    ).distinct()
+    broken = F.when(rule.startswith("UNIQUE"), F.col("n") - 1).when(F.col("found").isNull(), F.col("n")).otherwise(0)
+    keys = held.join(parents, ["table_name", "rule", "value"], "left").groupBy(name, rule).agg(F.sum(broken).alias("violations"))
+    return _union([*rows, keys.filter("violations > 0")])
 
 
 def row_counts(t: Tables) -> DataFrame:

@@ -6,18 +6,22 @@ sees the category status, the price and the products as of its own position.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from functools import cached_property
+from collections.abc import Callable
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from shelfwise.functions.dialect import nvl
-from shelfwise.functions.scan import as_of
+from shelfwise.functions.scan import as_of, running_sum
 from shelfwise.model import INT, LONG, PRICE, TEXT, TIME
-from shelfwise.operators.changes import first_holders, long_ago
+from shelfwise.operators.audit import audit_product_images
+from shelfwise.operators.changes import (
+    first_holders, long_ago, product_audit, product_code, soft_delete_audit, supplier_audit, with_log_ids,
+)
 from shelfwise.operators.ledger import Ledger, attach_facts, decide, judge
+from shelfwise.operators.quality import constraint_code
 from shelfwise.session import cut_lineage
-from shelfwise.sources.tables import Tables, apply_defaults
+from shelfwise.sources.tables import Tables, apply_defaults, assign_keys, next_key
 
 # One row per command; a command leaves the columns it does not use NULL. New
 # categories, suppliers and products carry the id they are to get.
@@ -33,26 +37,36 @@ LOG_SCHEMA = T.StructType(
     ]
 )
 AT = ("event_ts", "cmd_id")
+# what a command gives of a new row, and the code of a name that is taken
+OWN = {"category": ("CategoryID", "Name", "Description"), "suppliers": ("SupplierID", "Name", "Contact", "Email", "Address")}
+NAME_TAKEN = {"category": "UNIQUE_NAME", "suppliers": "-20023"}
+
+
+ADMIN = ("ADD_CATEGORY", "ADD_SUPPLIER", "ADD_PRODUCT", "CATEGORY_OFF", "CATEGORY_ON", "SET_PRICE")
 
 
-@dataclass(frozen=True)
 class Replay:
-    """``outcomes``: (cmd_id, event_ts, cmd_type, status, code) of every command."""
+    """``outcomes``: (cmd_id, event_ts, cmd_type, status, code), one row for every command."""
 
-    outcomes: DataFrame
-    ledger: Ledger
-    dimensions: Tables
+    def __init__(self, outcomes: DataFrame, ledger: Ledger, dimensions: Tables, admin: Callable[[], list[DataFrame]]):
+        self.outcomes, self.ledger, self.dimensions, self._admin = outcomes, ledger, dimensions, admin
+
+    @cached_property
+    def admin_audit(self) -> DataFrame:
+        """Audit rows, without LogID, of what administrators changed."""
+        return reduce(DataFrame.unionByName, self._admin())
 
     @cached_property
     def tables(self) -> Tables:
         """All tables as they stand after the log."""
         old = self.dimensions
+        audit = self.ledger.audit.drop("LogID").unionByName(self.admin_audit)
         return {
             **old,
             "stock_management": self.ledger.stock,
             "transactions": old["transactions"].unionByName(self.ledger.transactions),
             "transaction_items": old["transaction_items"].unionByName(self.ledger.items),
-            "audit_log": old["audit_log"].unionByName(self.ledger.audit),
+            "audit_log": old["audit_log"].unionByName(with_log_ids(audit, old["audit_log"])),
         }
 
 
@@ -75,9 +89,36 @@ def replay(log: DataFrame, t: Tables, rules: str = "package", blocks: int | None
     def of(*types: str) -> DataFrame:
         return log.filter(F.col("cmd_type").isin(*types))
 
+    asked = {r[0] for r in of(*ADMIN).select("cmd_type").distinct().collect()}  # at most len(ADMIN) rows
+
+    def holders(rows: DataFrame, kind: str, table: str, unique: list[str]) -> DataFrame:
+        """Rows with ``code``: what a command breaks, a constraint of its row or a value held before it."""
+        judged = rows.withColumn("_at", F.struct(*AT)).withColumn("code", constraint_code(rows.select(*OWN[table]), table))
+        if kind not in asked:
+            return judged
+        judged = cut_lineage(judged)
+        taken = first_holders(judged.filter(F.col("code").isNull()), t[table], unique, "_at").select(F.col("_at").alias("_in"))
+        named = t[table].select(F.col("Name").alias("_held")).distinct() if "Name" in unique else None
+        marked = judged.join(taken, F.col("_at") == F.col("_in"), "left")
+        clash = F.lit("UNIQUE_ID")
+        if named is not None:
+            earlier = judged.filter(F.col("code").isNull()).groupBy(F.col("Name").alias("_own")).agg(F.min("_at").alias("_first"))
+            marked = marked.join(named, F.col("Name") == F.col("_held"), "left").join(earlier, F.col("Name") == F.col("_own"), "left")
+            same_name = F.col("_held").isNotNull() | (F.col("_first") < F.col("_at"))
+            clash = F.when(same_name, NAME_TAKEN[table]).otherwise(clash)
+        return cut_lineage(
+            marked.withColumn("code", F.coalesce("code", F.when(F.col("_in").isNull(), clash)))
+            .drop("_in", "_held", "_own", "_first")
+        )
+
     # categories: new ones first, then status changes against those known at the time
-    new_cats = of("ADD_CATEGORY")
-    cats_in = first_holders(new_cats.withColumn("Name", F.col("name")), t["category"], ["Name"], "cmd_id")
+    new_cats = holders(
+        of("ADD_CATEGORY").select(
+            *AT, "cmd_type", "actor", "category_id", F.col("category_id").alias("CategoryID"), F.col("name").alias("Name"),
+            F.col("description").alias("Description"),
+        ), "ADD_CATEGORY", "category", ["Name", "CategoryID"],
+    )
+    cats_in = new_cats.filter(F.col("code").isNull())
     known_cats = _initially(t["category"], F.col("CategoryID").alias("category_id"), F.col("IS_ACTIVE").alias("flag"))
     added_cats = cats_in.select(*AT, "category_id", F.lit(1).alias("flag"))
     known_from = known_cats.unionByName(added_cats).select(
@@ -101,8 +142,13 @@ def replay(log: DataFrame, t: Tables, rules: str = "package", blocks: int | None
     )
 
     # suppliers
-    new_sups = of("ADD_SUPPLIER").withColumn("Name", F.col("name"))
-    sups_in = first_holders(new_sups, t["suppliers"], ["Name"], "cmd_id")
+    new_sups = holders(
+        of("ADD_SUPPLIER").select(
+            *AT, "cmd_type", "actor", "supplier_id", F.col("supplier_id").alias("SupplierID"), F.col("name").alias("Name"),
+            F.col("contact").alias("Contact"), F.col("email").alias("Email"), F.col("address").alias("Address"),
+        ), "ADD_SUPPLIER", "suppliers", ["Name", "Email", "SupplierID"],
+    )
+    sups_in = new_sups.filter(F.col("code").isNull())
     usable_sups = _initially(t["suppliers"].filter("Is_Active = 1"), F.col("SupplierID").alias("_sup")).unionByName(
         sups_in.select(*AT, F.col("supplier_id").alias("_sup"))
     ).select("_sup", F.struct(*AT).alias("_sup_since"))
@@ -112,19 +158,27 @@ def replay(log: DataFrame, t: Tables, rules: str = "package", blocks: int | None
         usable_sups, F.col("supplier_id") == F.col("_sup"), "left"
     )
     has_supplier = nvl(F.col("_sup_since") < F.struct(*AT), False)
-    new_prods = cut_lineage(
-        new_prods.withColumn(
-            "code",
-            F.when(F.col("flag").isNull(), "-20020").when(F.col("flag") == 0, "-20021")
-            .when(~has_supplier, "-20022")
-            .when(nvl(F.col("unit_price") <= 0, True), "CHK_PRICE"),
-        ).drop("_sup", "_sup_since", "flag")
+    new_prods = new_prods.select(
+        *AT, "cmd_type", "actor", "product_id", F.col("product_id").alias("ProductID"), F.col("name").alias("Name"),
+        F.col("category_id").alias("CategoryID"), F.col("supplier_id").alias("SupplierID"),
+        F.col("unit_price").alias("Unit_Price"), F.col("quantity").alias("Quantity"),
+        F.col("restock_level").alias("Restock_Level"),
+        F.when(F.col("flag").isNull(), "-20020").when(F.col("flag") == 0, "-20021").when(~has_supplier, "-20022").alias("_refused"),
     )
+    new_prods = new_prods.withColumn("code", F.coalesce("_refused", product_code(new_prods), F.when(F.col("ProductID").isNull(), "NOT_NULL")))
+    new_prods = new_prods.withColumn("_at", F.struct(*AT)).drop("_refused")
+    if "ADD_PRODUCT" in asked:
+        new_prods = cut_lineage(new_prods)
+        first = first_holders(new_prods.filter(F.col("code").isNull()), t["products"], ["ProductID"], "_at")
+        new_prods = cut_lineage(
+            new_prods.join(first.select(F.col("_at").alias("_in")), F.col("_at") == F.col("_in"), "left")
+            .withColumn("code", F.coalesce("code", F.when(F.col("_in").isNull(), "UNIQUE_ID"))).drop("_in")
+        )
     prods_in = new_prods.filter(F.col("code").isNull())
 
     # prices
     since = _initially(t["products"], F.col("ProductID").alias("product_id"), F.col("Unit_Price").alias("unit_price"))
-    since = since.unionByName(prods_in.select(*AT, "product_id", "unit_price"))
+    since = since.unionByName(prods_in.select(*AT, "product_id", F.col("Unit_Price").alias("unit_price")))
     first_seen = since.select(F.col("product_id").alias("_prod"), F.struct(*AT).alias("_since"))
     repriced = of("SET_PRICE").join(first_seen, F.col("product_id") == F.col("_prod"), "left")
     repriced = repriced.withColumn("_valid", nvl(F.col("_since") < F.struct(*AT), False))
@@ -145,10 +199,7 @@ def replay(log: DataFrame, t: Tables, rules: str = "package", blocks: int | None
     )
     category = t["category"].unionByName(
         apply_defaults(
-            cats_in.select(
-                F.col("category_id").alias("CategoryID"), F.col("name").alias("Name"),
-                F.col("description").alias("Description"), F.col("event_ts").alias("Created_At"),
-            ),
+            cats_in.select("CategoryID", "Name", "Description", F.col("event_ts").alias("Created_At")),
             "category",
         )
     ).join(final_flag, F.col("CategoryID") == F.col("_c")).select(
@@ -156,20 +207,14 @@ def replay(log: DataFrame, t: Tables, rules: str = "package", blocks: int | None
     )
     suppliers = t["suppliers"].unionByName(
         apply_defaults(
-            sups_in.select(
-                F.col("supplier_id").alias("SupplierID"), F.col("name").alias("Name"),
-                F.col("contact").alias("Contact"), F.col("email").alias("Email"), F.col("address").alias("Address"),
-                F.col("event_ts").alias("Created_At"),
-            ),
+            sups_in.select("SupplierID", "Name", "Contact", "Email", "Address", F.col("event_ts").alias("Created_At")),
             "suppliers",
         )
     )
     all_products = t["products"].unionByName(
         apply_defaults(
             prods_in.select(
-                F.col("product_id").alias("ProductID"), F.col("name").alias("Name"),
-                F.col("category_id").alias("CategoryID"), F.col("supplier_id").alias("SupplierID"),
-                F.col("unit_price").alias("Unit_Price"), F.col("event_ts").alias("Created_At"),
+                "ProductID", "Name", "CategoryID", "SupplierID", "Unit_Price", F.col("event_ts").alias("Created_At")
             ),
             "products",
         )
@@ -180,47 +225,65 @@ def replay(log: DataFrame, t: Tables, rules: str = "package", blocks: int | None
     products = all_products.join(final_price, F.col("ProductID") == F.col("_p")).select(
         *[F.col("_price").cast(PRICE).alias(c) if c == "Unit_Price" else c for c in all_products.columns]
     )
-    opening = t["stock_management"].unionByName(
-        apply_defaults(
-            prods_in.select(
-                F.col("product_id").alias("StockID"), F.col("product_id").alias("ProductID"),
-                F.col("quantity").alias("Quantity"), F.col("restock_level").alias("Restock_Level"),
-                F.col("event_ts").alias("Last_Updated"),
-            ),
-            "stock_management",
-        )
-    )
+    first_stock = prods_in.select("ProductID", "Quantity", "Restock_Level", F.col("event_ts").alias("Last_Updated"), "cmd_id")
+    if "ADD_PRODUCT" in asked:
+        old_stock = t["stock_management"]
+        first_stock = assign_keys(first_stock, "StockID", next_key(old_stock, "StockID"), ["Last_Updated", "cmd_id"])
+    opening = t["stock_management"].unionByName(apply_defaults(first_stock, "stock_management"))
 
     # ledger commands, each with price and category status as of its position
-    admin = ("ADD_CATEGORY", "ADD_SUPPLIER", "ADD_PRODUCT", "CATEGORY_OFF", "CATEGORY_ON", "SET_PRICE")
-    cmds = log.filter(nvl(~F.col("cmd_type").isin(*admin), True)).select(
+    cmds = log.filter(nvl(~F.col("cmd_type").isin(*ADMIN), True)).select(
         "cmd_id", "event_ts", "user_id", "product_id", "quantity", "cmd_type", "notes", "actor"
     )
     known = {**t, "category": category, "products": all_products, "stock_management": opening}
+    # only restocking asks for the category, so only those commands go through its history
+    restock = nvl(F.col("cmd_type") == "RESTOCK", False)
     cat_of = all_products.select(F.col("ProductID").alias("_prod"), F.col("CategoryID").alias("category_id"))
-    facts = attach_facts(cmds, known).join(cat_of, F.col("product_id") == F.col("_prod"), "left").drop("_prod")
-    facts = as_of(facts.drop("category_active"), cat_states, "category_id", AT, ["flag"], blocks=blocks)
+    restocks = attach_facts(cmds.filter(restock), known).join(cat_of, F.col("product_id") == F.col("_prod"), "left")
+    restocks = as_of(restocks.drop("_prod", "category_active"), cat_states, "category_id", AT, ["flag"], blocks=blocks)
+    restocks = restocks.withColumn("category_active", F.col("flag").cast(INT)).drop("flag", "category_id")
+    facts = attach_facts(cmds.filter(~restock), known).unionByName(restocks)
     facts = as_of(facts.drop("Unit_Price"), price_states, "product_id", AT, ["unit_price"], blocks=blocks)
     # a product that is not added yet has no price and counts as missing
-    facts = facts.withColumns(
-        {"product_active": F.when(F.col("unit_price").isNotNull(), F.col("product_active")),
-         "category_active": F.col("flag").cast(INT)}
-    ).withColumnRenamed("unit_price", "Unit_Price").drop("flag", "category_id")
+    facts = facts.withColumn(
+        "product_active", F.when(F.col("unit_price").isNotNull(), F.col("product_active"))
+    ).withColumnRenamed("unit_price", "Unit_Price")
     decided = decide(judge(facts, rules), rules, blocks)
 
     tables = {**t, "category": category, "suppliers": suppliers, "products": products}
     ledger = Ledger(decided, {**tables, "stock_management": opening}, rules)
 
-    def refused(all_rows: DataFrame, kept: DataFrame, code: str) -> DataFrame:
-        marked = all_rows.join(kept.select(F.col("cmd_id").alias("_in")), F.col("cmd_id") == F.col("_in"), "left")
-        return _outcome(marked, F.when(F.col("_in").isNull(), code))
+    def admin_audit() -> list[DataFrame]:
+        ids = F.col("CategoryID")
+        off = turned.filter(F.col("_valid") & (F.col("cmd_type") == "CATEGORY_OFF") & ~nvl(idle, False))
+        events = off.select(*AT, "category_id", "actor", F.lit(0).cast("long").alias("_more")).unionByName(
+            prods_in.select(*AT, F.col("CategoryID").alias("category_id"), F.lit(None).cast("string").alias("actor"), F.lit(1).cast("long").alias("_more"))
+        )
+        counted = running_sum(events, "category_id", AT, "_more", "_added", blocks).filter("_more = 0")
+        stored = t["products"].filter("Is_Active = 1").groupBy(ids.alias("_c")).agg(F.count(F.lit(1)).alias("_stored"))
+        names = category.select(ids.alias("_n"), F.col("Name").alias("category_name"))
+        deleted = counted.join(stored, F.col("category_id") == F.col("_c"), "left").join(
+            names, F.col("category_id") == F.col("_n"), "left"
+        ).select(*AT, "actor", F.col("category_id").alias("CategoryID"), "category_name",
+                 (nvl("_stored", 0) + F.col("_added")).alias("affected"))
+        good = repriced.filter(good_price).select(*AT, "product_id", "actor", F.col("unit_price").alias("_price"))
+        priced = as_of(good, price_states, "product_id", AT, ["unit_price"], strict=True, blocks=blocks)
+        about = all_products.select(F.col("ProductID").alias("_p"), "Name", "CategoryID", "Is_Active")
+        images = priced.join(about, F.col("product_id") == F.col("_p")).select(
+            *AT, "actor",
+            *[F.struct(F.col("_p").alias("ProductID"), "Name", F.col(price).cast(PRICE).alias("Unit_Price"), "CategoryID", "Is_Active").alias(side)
+              for side, price in (("o", "unit_price"), ("n", "_price"))],
+        )
+        changed = audit_product_images(images, "actor", "event_ts").withColumnsRenamed({"event_ts": "Change_Date"})
+        changed = changed.withColumn("Changed_By", nvl("actor", "system")).drop("actor")
+        return [soft_delete_audit(deleted), supplier_audit(sups_in), product_audit(prods_in), changed]
 
     outcomes = (
         _outcome(decided, F.col("code"))
-        .unionByName(refused(new_cats, cats_in, "UNIQUE_NAME"))
-        .unionByName(refused(new_sups, sups_in, "-20023"))
+        .unionByName(_outcome(new_cats, F.col("code")))
+        .unionByName(_outcome(new_sups, F.col("code")))
         .unionByName(_outcome(new_prods, F.col("code")))
         .unionByName(turn_outcomes)
         .unionByName(price_outcomes)
     )
-    return Replay(outcomes, ledger, tables)
+    return Replay(outcomes, ledger, tables, admin_audit)

@@ -49,11 +49,14 @@ def load_tables(
 def load_jdbc(spark: SparkSession, url: str, properties: dict[str, str], split: dict[str, tuple[int, int, int]]) -> Tables:
     """Read the tables from a database, each split on its key into parallel ranges.
 
-    ``split`` maps a table to (lowest key, highest key, number of reads).
+    ``split`` maps every table to (lowest key, highest key, number of reads), so no
+    table is read by one task unasked.
     """
+    if missing := set(SCHEMAS) - set(split):
+        raise ValueError(f"no split for {', '.join(sorted(missing))}")
     tables = {}
     for name, schema in SCHEMAS.items():
-        low, high, parts = split.get(name, (0, 1, 1))
+        low, high, parts = split[name]
         df = spark.read.jdbc(
             url, name, column=schema[0].name, lowerBound=low, upperBound=high, numPartitions=parts,
             properties=properties,
@@ -74,7 +77,8 @@ def _blanks_to_null(df: DataFrame) -> DataFrame:
 
 
 def with_subtotal(items: DataFrame) -> DataFrame:
-    return items.withColumn("Subtotal", (F.col("Quantity") * F.col("Unit_Price")).cast("decimal(12,2)"))
+    """Quantity times price; NULL where that does not fit the column."""
+    return items.withColumn("Subtotal", (F.col("Quantity") * F.col("Unit_Price")).try_cast("decimal(12,2)"))
 
 
 def apply_defaults(
