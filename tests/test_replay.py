@@ -289,3 +289,67 @@ def test_unique_columns_follow_the_order_of_inserts(spark):
     assert {r.row_id: r.code for r in out.rejected.collect()} == {
         2: "UNIQUE_EMAIL", 6: "-20023", 7: "-20023", 9: "UNIQUE_EMAIL"
     }
+
+
+def test_ids_and_values_of_added_rows_are_checked(spark, monkeypatch):
+    add = dict(cmd_type="ADD_PRODUCT", category_id=7, supplier_id=9, unit_price=D("5.00"), quantity=10)
+    events = {
+        1: dict(cmd_type="ADD_CATEGORY", category_id=7, name="Toys"),
+        2: dict(cmd_type="ADD_CATEGORY", category_id=7, name="Games"),
+        3: dict(cmd_type="ADD_CATEGORY", category_id=8),
+        4: dict(cmd_type="ADD_SUPPLIER", supplier_id=9, name="ToyHouse", contact="1", email="a@b"),
+        5: dict(cmd_type="ADD_SUPPLIER", supplier_id=10, name="Other", contact="1", email="a@b"),
+        6: dict(cmd_type="ADD_SUPPLIER", supplier_id=11, name="Third"),
+        7: dict(add, product_id=50, name="Ball"),
+        8: dict(add, product_id=50, name="Ball again"),
+        9: dict(add, product_id=MOUSE, name="Mouse"),
+        10: dict(add, product_id=51),
+        11: dict(add, product_id=52, name="Top", quantity=-1),
+        12: dict(cmd_type="SALE", user_id=ARJUN, product_id=50, quantity=2),
+        13: dict(cmd_type="SALE", user_id=ARJUN, product_id=50, quantity=10**11),
+        14: dict(cmd_type="RETURN", user_id=ARJUN, product_id=50, quantity=10**11),
+        15: dict(cmd_type="SET_PRICE", product_id=50, unit_price=D("6.00")),
+        16: dict(cmd_type="CATEGORY_OFF", category_id=7),
+    }
+    monkeypatch.setattr(seed, "EVENTS", events)
+    out = replay(seed.event_log(spark, events), seed.seed_tables(spark), blocks=3)
+    rows = out.outcomes.collect()
+    assert len(rows) == len(events)
+    assert {r.cmd_id: r.code for r in rows if r.code} == {
+        2: "UNIQUE_ID", 3: "NOT_NULL", 5: "UNIQUE_ID", 6: "NOT_NULL", 8: "UNIQUE_ID", 9: "UNIQUE_ID", 10: "NOT_NULL",
+        11: "CHK_QTY", 13: "-20031", 14: "AMOUNT_RANGE",
+    }
+    stock = out.tables["stock_management"].collect()
+    assert len({r.StockID for r in stock}) == len(stock) and seed.stock_of(out.tables)[50] == 8
+    audit = out.tables["audit_log"].collect()
+    assert len({r.LogID for r in audit}) == len(audit)
+    new = [(r.Operation, r.Record_ID, r.Old_Value, r.New_Value) for r in out.admin_audit.collect()]
+    assert sorted(new, key=str) == sorted([
+        ("INSERT", 9, None, "Name=ToyHouse"), ("INSERT", 50, None, "Name=Ball Price=5"),
+        ("UPDATE", 50, "Name=Ball Price=5 Active=1", "Name=Ball Price=6 Active=1"), ("UPDATE", 7, "IS_ACTIVE=1", "IS_ACTIVE=0"),
+    ], key=str)
+    assert any("1 product(s) affected" in (r.Description or "") for r in out.admin_audit.collect())
+
+
+def test_constraints_on_new_and_changed_rows(spark):
+    t = seed.seed_tables(spark)
+    people = spark.createDataFrame(
+        [(1, NOW, "a", "a@x", "STAFF"), (2, NOW, None, "b@x", "STAFF"), (3, NOW, "c", "c@x", "BOSS"), (4, NOW, "d", None, "STAFF"),
+         (5, NOW, "e", "a@x", "ADMIN"), (6, NOW, "f" * 51, "f@x", "ADMIN")],
+        "row_id long, event_ts timestamp_ntz, Username string, Email string, Role string",
+    )
+    added = changes.add_dimension_rows(people, t["users"], "users")
+    assert [r.Username for r in added.rows.collect()] == ["a"]
+    assert {r.row_id: r.code for r in added.rejected.collect()} == {
+        2: "NOT_NULL", 3: "CHK_ROLE", 4: "NOT_NULL", 5: "UNIQUE_EMAIL", 6: "LENGTH"
+    }
+    wanted = spark.createDataFrame(
+        [(MOUSE, NOW, 1, D("0.00"), None), (HUB, NOW, 2, D("9.00"), 7), (PENS, NOW, 3, D("8.00"), None), (PENS, NOW, 4, None, 0)],
+        "ProductID long, event_ts timestamp_ntz, change_id long, Unit_Price decimal(10,2), Is_Active int",
+    )
+    columns = ["Unit_Price", "Is_Active"]
+    after = {r.ProductID: (r.Unit_Price, r.Is_Active) for r in changes.apply_updates(t["products"], wanted, "ProductID", columns, table="products").collect()}
+    before = {r.ProductID: (r.Unit_Price, r.Is_Active) for r in t["products"].collect()}
+    assert after == {**before, PENS: (D("8.00"), 0)}
+    refused = changes.screen_updates(wanted, "products", columns)[1].collect()
+    assert {r.change_id: r.code for r in refused} == {1: "CHK_PRICE", 2: "CHK_FLAG"}
