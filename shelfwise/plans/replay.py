@@ -7,7 +7,7 @@ sees the category status, the price and the products as of its own position.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cached_property, reduce
+from functools import cache, cached_property, reduce
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -46,10 +46,17 @@ ADMIN = ("ADD_CATEGORY", "ADD_SUPPLIER", "ADD_PRODUCT", "CATEGORY_OFF", "CATEGOR
 
 
 class Replay:
-    """``outcomes``: (cmd_id, event_ts, cmd_type, status, code), one row for every command."""
+    """Outcomes and audit rows are only computed when they are asked for."""
 
-    def __init__(self, outcomes: DataFrame, ledger: Ledger, dimensions: Tables, admin: Callable[[], list[DataFrame]]):
-        self.outcomes, self.ledger, self.dimensions, self._admin = outcomes, ledger, dimensions, admin
+    def __init__(
+        self, ledger: Ledger, dimensions: Tables, outcomes: Callable[[], list[DataFrame]], admin: Callable[[], list[DataFrame]]
+    ):
+        self.ledger, self.dimensions, self._outcomes, self._admin = ledger, dimensions, outcomes, admin
+
+    @cached_property
+    def outcomes(self) -> DataFrame:
+        """(cmd_id, event_ts, cmd_type, status, code), one row for every command."""
+        return reduce(DataFrame.unionByName, self._outcomes())
 
     @cached_property
     def admin_audit(self) -> DataFrame:
@@ -131,15 +138,15 @@ def replay(log: DataFrame, t: Tables, rules: str = "package", blocks: int | None
         "_valid", nvl(F.col("_since") < F.struct(*AT), False)
     )
     changes = turns.filter("_valid").select(*AT, "category_id", "flag")
-    cat_states = cut_lineage(known_cats.unionByName(added_cats).unionByName(changes))
-    turned = as_of(
-        turns.drop("flag", "_cat", "_since"), cat_states, "category_id", AT, ["flag"], strict=True, blocks=blocks
-    )
+    cat_states = known_cats.unionByName(added_cats).unionByName(changes)
+
+    @cache
+    def turned() -> DataFrame:
+        """Status changes with the flag before them."""
+        own = turns.drop("flag", "_cat", "_since")
+        return as_of(own, cat_states, "category_id", AT, ["flag"], strict=True, blocks=blocks)
+
     idle = (F.col("cmd_type") == "CATEGORY_OFF") & (F.col("flag") == 0)
-    unknown = F.when(~F.col("_valid"), "-20026")
-    turn_outcomes = _outcome(
-        turned, unknown, F.when(~F.col("_valid"), "rejected").when(idle, "no-op").otherwise("applied")
-    )
 
     # suppliers
     new_sups = holders(
@@ -154,7 +161,12 @@ def replay(log: DataFrame, t: Tables, rules: str = "package", blocks: int | None
     ).select("_sup", F.struct(*AT).alias("_sup_since"))
 
     # products
-    new_prods = as_of(of("ADD_PRODUCT"), cat_states, "category_id", AT, ["flag"], blocks=blocks).join(
+    asked_prods = of("ADD_PRODUCT")
+    if "ADD_PRODUCT" in asked:
+        asked_prods = as_of(asked_prods, cat_states, "category_id", AT, ["flag"], blocks=blocks)
+    else:
+        asked_prods = asked_prods.withColumn("flag", F.lit(None).cast(INT))
+    new_prods = asked_prods.join(
         usable_sups, F.col("supplier_id") == F.col("_sup"), "left"
     )
     has_supplier = nvl(F.col("_sup_since") < F.struct(*AT), False)
@@ -183,9 +195,7 @@ def replay(log: DataFrame, t: Tables, rules: str = "package", blocks: int | None
     repriced = of("SET_PRICE").join(first_seen, F.col("product_id") == F.col("_prod"), "left")
     repriced = repriced.withColumn("_valid", nvl(F.col("_since") < F.struct(*AT), False))
     good_price = F.col("_valid") & nvl(F.col("unit_price") > 0, False)
-    price_states = cut_lineage(
-        since.unionByName(repriced.filter(good_price).select(*AT, "product_id", "unit_price"))
-    )
+    price_states = since.unionByName(repriced.filter(good_price).select(*AT, "product_id", "unit_price"))
     # an update of an unknown product touches no row
     price_outcomes = _outcome(
         repriced,
@@ -255,7 +265,7 @@ def replay(log: DataFrame, t: Tables, rules: str = "package", blocks: int | None
 
     def admin_audit() -> list[DataFrame]:
         ids = F.col("CategoryID")
-        off = turned.filter(F.col("_valid") & (F.col("cmd_type") == "CATEGORY_OFF") & ~nvl(idle, False))
+        off = turned().filter(F.col("_valid") & (F.col("cmd_type") == "CATEGORY_OFF") & ~nvl(idle, False))
         events = off.select(*AT, "category_id", "actor", F.lit(0).cast("long").alias("_more")).unionByName(
             prods_in.select(*AT, F.col("CategoryID").alias("category_id"), F.lit(None).cast("string").alias("actor"), F.lit(1).cast("long").alias("_more"))
         )
@@ -278,12 +288,10 @@ def replay(log: DataFrame, t: Tables, rules: str = "package", blocks: int | None
         changed = changed.withColumn("Changed_By", nvl("actor", "system")).drop("actor")
         return [soft_delete_audit(deleted), supplier_audit(sups_in), product_audit(prods_in), changed]
 
-    outcomes = (
-        _outcome(decided, F.col("code"))
-        .unionByName(_outcome(new_cats, F.col("code")))
-        .unionByName(_outcome(new_sups, F.col("code")))
-        .unionByName(_outcome(new_prods, F.col("code")))
-        .unionByName(turn_outcomes)
-        .unionByName(price_outcomes)
-    )
-    return Replay(outcomes, ledger, tables, admin_audit)
+    def outcomes() -> list[DataFrame]:
+        unknown = F.when(~F.col("_valid"), "-20026")
+        status = F.when(~F.col("_valid"), "rejected").when(idle, "no-op").otherwise("applied")
+        added = [_outcome(rows, F.col("code")) for rows in (decided, new_cats, new_sups, new_prods)]
+        return [*added, _outcome(turned(), unknown, status), price_outcomes]
+
+    return Replay(ledger, tables, outcomes, admin_audit)
