@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from shelfwise.functions.dialect import number_text, text
+from shelfwise.functions.dialect import number_text, nvl, text
 
 
 def _sides(old: DataFrame, new: DataFrame, key: str, how: str) -> DataFrame:
@@ -121,24 +121,25 @@ def block_restock(
         category.select("CategoryID", F.col("Name").alias("category_name"), F.col("IS_ACTIVE").alias("_flag")),
         "CategoryID",
     ).select(F.col("ProductID").alias("_product"), "product_name", "category_name", "_flag")
-    facts = items.join(headers, F.col("TransactionID") == F.col("_header"), "left").join(
-        parents, F.col("ProductID") == F.col("_product"), "left"
-    )
+    of = F.col("TransactionID") == F.col("_header")
     restock = F.col("Trans_Type") == "RESTOCK"
-    code = (
-        F.when(F.col("_header").isNull() | (restock & F.col("_product").isNull()), "-20051")
-        .when(restock & (F.col("_flag") == 0), "-20050")
-    )
+    # products are only looked up for the items of restocks
+    orphans = items.join(headers, of, "left_anti")
+    others = items.join(headers.filter(nvl(~restock, True)), of, "left_semi")
+    restocked = items.join(headers.filter(restock), of).join(parents, F.col("ProductID") == F.col("_product"), "left")
+    code = F.when(F.col("_product").isNull(), "-20051").when(F.col("_flag") == 0, "-20050")
     # The error texts
+    missing = F.lit("TRG_BLOCK_RESTOCK: Product or Transaction not found.")
     message = F.when(
         F.col("code") == "-20050",
         text(
             'TRIGGER BLOCKED: Cannot restock "', F.col("product_name"), '". Category "', F.col("category_name"),
             '" is inactive (IS_ACTIVE=0). This is enforced at database trigger level.',
         ),
-    ).otherwise("TRG_BLOCK_RESTOCK: Product or Transaction not found.")
-    judged = facts.withColumn("code", code)
+    ).otherwise(missing)
+    judged = restocked.withColumn("code", code)
+    blocked = judged.filter(F.col("code").isNotNull()).withColumn("message", message).select(*items.columns, "code", "message")
+    lost = orphans.withColumns({"code": F.lit("-20051"), "message": missing})
     return Screened(
-        judged.filter(F.col("code").isNull()).select(*items.columns),
-        judged.filter(F.col("code").isNotNull()).withColumn("message", message).select(*items.columns, "code", "message"),
+        others.unionByName(judged.filter(F.col("code").isNull()).select(*items.columns)), lost.unionByName(blocked)
     )
