@@ -122,7 +122,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     copies costs one row.
     """
     rows = _linked(docs, shingle).drop("h")
-    named = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    # a table of its own, so a component with many rows is a join that can be split
+    named = settle(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")), "simhash-named")
     return rows.join(named, "root").select("doc_id", "fp", "component_id")
 
 
