@@ -25,12 +25,14 @@ class Resolved:
     ambiguous: DataFrame
 
 
-def ingest_by_lookup(df: DataFrame, lookups: list[Lookup]) -> Resolved:
+def ingest_by_lookup(df: DataFrame, lookups: list[Lookup], keep_ambiguous: bool = True) -> Resolved:
     """Resolve every lookup.
 
     ``rows`` keeps the rows whose parents were all found. A name with several
-    parents yields one row per parent, as an insert from a join would; those
-    names are listed in ``ambiguous`` and the rows without a parent in ``unmatched``.
+    parents yields one row per parent, as an insert from a join would; without
+    ``keep_ambiguous`` rows with such a name are left out, so a row yields one row
+    at most. Those names are listed in ``ambiguous`` and the rows without a parent
+    in ``unmatched``.
     """
     spark = df.sparkSession
     rows = df
@@ -50,6 +52,9 @@ def ingest_by_lookup(df: DataFrame, lookups: list[Lookup]) -> Resolved:
         )
         unmatched = missing if unmatched is None else unmatched.unionByName(missing)
         ambiguous = several if ambiguous is None else ambiguous.unionByName(several)
+        if not keep_ambiguous:
+            only = named.groupBy(f"_name{i}").agg(F.max(look.into).alias(look.into), F.count(F.lit(1)).alias("_parents"))
+            named = only.filter("_parents = 1").drop("_parents")
         rows = rows.join(named, rows[look.column] == named[f"_name{i}"]).drop(f"_name{i}", look.column)
     if unmatched is None:
         unmatched = spark.createDataFrame([], "lookup string, name string, row_count long")

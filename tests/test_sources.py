@@ -74,12 +74,15 @@ def test_lookup(spark):
          ("Pad", "Stationery", "PaperWorld Co.")],
         "Name string, cat string, sup string",
     )
-    out = ingest_by_lookup(rows, [
+    lookups = [
         Lookup(t["category"], "CategoryID", "Name", "cat", "CategoryID"), Lookup(twice, "SupplierID", "Name", "sup", "SupplierID"),
-    ])
+    ]
+    out = ingest_by_lookup(rows, lookups)
     assert sorted((r.Name, r.CategoryID, r.SupplierID) for r in out.rows.collect()) == [("Lamp", 1, 1), ("Lamp", 1, 9), ("Pad", 2, 2)]
     assert sorted((r.lookup, r.name) for r in out.unmatched.collect()) == [("cat", "Kitchen"), ("sup", "Nobody")]
     assert [(r.name, r.parents) for r in out.ambiguous.collect()] == [("TechSource Pvt Ltd", 2)]
+    clear = ingest_by_lookup(rows, lookups, keep_ambiguous=False)
+    assert [(r.Name, r.SupplierID) for r in clear.rows.collect()] == [("Pad", 2)]
 
 
 def test_headers_and_items_by_name(spark):
