@@ -68,8 +68,10 @@ def ledger_batch(
     spark = cmds.sparkSession
     tune(spark)  # a stream runs in a session of its own
     state = current_stock(spark, base, t["stock_management"], batch, compact)
-    facts = attach_facts(cmds, {**t, "stock_management": state})
-    last = state.select(F.col("ProductID").alias("_seen"), "last_ts")
+    asked = cmds.select(F.col("product_id").alias("_asked")).distinct()
+    near = state.join(asked, F.col("ProductID") == F.col("_asked"), "left_semi")  # what the batch can touch
+    facts = attach_facts(cmds, {**t, "stock_management": near})
+    last = near.select(F.col("ProductID").alias("_seen"), "last_ts")
     facts = facts.join(last, F.col("product_id") == F.col("_seen"), "left")
     # no rule refuses late events: they are applied on arrival and marked
     marked = facts.withColumn("late", nvl(F.col("event_ts") < F.col("last_ts"), False)).drop("_seen", "last_ts")
@@ -79,11 +81,12 @@ def ledger_batch(
     moved = done.filter("accepted AND effect <> 0").groupBy(F.col("product_id").alias("_moved")).agg(
         F.sum("effect").alias("_net"), F.max("event_ts").alias("_at")
     )
-    merged = state.join(moved, F.col("ProductID") == F.col("_moved"), "left").select(
+    full = batch % compact == 0
+    merged = (state if full else near).join(moved, F.col("ProductID") == F.col("_moved"), "left").select(
         "ProductID", (F.col("Quantity") + nvl("_net", 0)).alias("Quantity"),
         F.greatest("last_ts", "_at").alias("last_ts"), F.col("_moved").isNotNull().alias("_now"),
     )
-    keep = F.col("last_ts").isNotNull() if batch % compact == 0 else F.col("_now")
+    keep = F.col("last_ts").isNotNull() if full else F.col("_now")
     merged.filter(keep).drop("_now").write.mode("overwrite").parquet(_folder(f"{base}/state", batch))
 
 
