@@ -101,7 +101,7 @@ def _groups(docs: DataFrame, capacity: int, max_depth: int) -> tuple[DataFrame,
         F.when((F.col("texts") == 1) & (F.col("copies") == F.col("n")), F.col("n"))
         .otherwise(F.raise_error(F.lit("different texts under one digest"))).alias("group_size"),
     )
-    return rows, chains
+    return rows, settle(chains, "exact-chains")  # a table of its own, so a text with many copies is a join that can be split
 
 
 def duplicates(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
