@@ -106,8 +106,11 @@ def links(fps: DataFrame, paired: int = PAIRED) -> DataFrame:
 
 def _linked(docs: DataFrame, shingle: int) -> DataFrame:
     """``(doc_id, h, fp, root)``, one row for each row of ``docs``; rows with one root are one component."""
-    prints = settle(fingerprints(docs, shingle), "simhash")
-    roots = settle(components(links(prints.select("fp").distinct())), "simhash-roots").withColumnRenamed("node", "fp")
+    spark, prints = docs.sparkSession, settle(fingerprints(docs, shingle), "simhash")
+    # narrow rows, but each becomes 64: a number of tasks of its own, which adaptive execution doesn't merge
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    distinct = prints.select("fp").distinct().repartition(tasks)
+    roots = settle(components(links(distinct)), "simhash-roots").withColumnRenamed("node", "fp")
     return prints.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
