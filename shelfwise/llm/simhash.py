@@ -130,14 +130,19 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return rows.join(named, "root").select("doc_id", "fp", "component_id")
 
 
+def first_of_each(docs: DataFrame, linked: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, with the smallest doc_id of each root of ``linked (doc_id, h, root)``; ids before null."""
+    seen = linked.groupBy("root", "doc_id", "h").agg(F.count("*").alias("n"))
+    first = seen.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h", "n")).alias("first"))
+    return pick_rows(docs, settle(first.select("first.doc_id", "first.h", "first.n"), "simhash-kept"), F.xxhash64("text"))
+
+
 def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """The rows of ``docs``, all columns, with the smallest doc_id of their component: one for each component.
 
     Rows without an id stay only where no row of the component has one.
     """
-    seen = _linked(docs, shingle).groupBy("root", "doc_id", "h").agg(F.count("*").alias("n"))
-    first = seen.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h", "n")).alias("first"))
-    return pick_rows(docs, settle(first.select("first.doc_id", "first.h", "first.n"), "simhash-kept"), F.xxhash64("text"))
+    return first_of_each(docs, _linked(docs, shingle))
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,0 +1,90 @@
+"""The pipeline's near-duplicate stage: 5-word Jaccard similarity of 0.8 or more, against brute force."""
+
+import random
+
+import pytest
+
+import corpus_pipeline
+from shelfwise.llm import similar, simhash
+
+
+def plain_shingles(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[k:k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
+def plain_pairs(texts):
+    sets = [plain_shingles(t) for t in texts]
+    near = lambda a, b: 5 * len(a & b) >= 4 * len(a | b)
+    return {(j, i) for i in range(len(texts)) for j in range(i) if near(sets[i], sets[j])}
+
+
+def firsts(texts):
+    """Of each component of ``plain_pairs`` the first place."""
+    root = list(range(len(texts)))
+    for a, b in sorted(plain_pairs(texts), key=lambda p: p[::-1]):
+        x, y = root[a], root[b]
+        root = [min(x, y) if r in (x, y) else r for r in root]
+    return sorted(set(root))
+
+
+def edited(rng, words, share):
+    out = list(words)
+    for at in rng.sample(range(len(out)), int(share * len(out))):
+        out[at] = f"new{rng.randrange(10**6)}"
+    return " ".join(out)
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rng = random.Random(4)
+    out = [None, "", " \n", "One two", "one  TWO", "one two three", "a b c d e", "a b c d e f", "a b c d e g"]
+    for size in (9, 12, 20, 60, 200, 700):
+        for _ in range(6):
+            words = [f"w{rng.randrange(3000)}" for _ in range(size)]
+            out.append(" ".join(words))
+            out += [edited(rng, words, share) for share in (0.005, 0.015, 0.02, 0.025, 0.03, 0.05)]
+            out += [" ".join(words[: int(size * cut)]) for cut in (0.97, 0.85, 0.79, 0.7)]
+    passage = " ".join(f"common{k}" for k in range(60))
+    out += [f"{passage} " + " ".join(f"w{rng.randrange(3000)}" for _ in range(rng.choice((5, 10, 40)))) for _ in range(60)]
+    return out
+
+
+def test_texts_at_the_limit_and_below(spark, make_docs, texts):
+    docs = make_docs(list(enumerate(texts)))
+    left = corpus_pipeline.drop_near(spark, docs, "")
+    assert left.columns == docs.columns
+    assert sorted(r["doc_id"] for r in left.collect()) == firsts(texts)
+
+
+def test_links_are_all_pairs(spark, make_docs, texts, monkeypatch):
+    monkeypatch.setattr(similar, "FREQUENT", 0.0)
+    docs = make_docs(list(enumerate(texts)))
+    node = {similar.node_of(t): k for k, t in reversed(list(enumerate(texts)))}
+    got = {tuple(sorted((node[r["a"]], node[r["b"]]))) for r in similar.links(docs, similar.nodes_of(docs), paired=1000).collect()}
+    assert got == {(a, b) for a, b in plain_pairs(texts) if {a, b} <= set(node.values()) and texts[a]}
+
+
+def test_large_group_of_near_copies_is_one(spark, make_docs):
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(300)]
+    copies = [" ".join(words)] + [edited(rng, words, rng.choice((0.004, 0.012, 0.02))) for _ in range(250)]
+    docs = make_docs(list(enumerate(copies)))
+    assert firsts(copies) == [0]
+    assert [r["doc_id"] for r in similar.drop_similar(docs, paired=8).collect()] == [0]
+
+
+def test_rows_without_id_and_empty_tables(make_docs):
+    long = " ".join(f"w{k}" for k in range(50))
+    docs = make_docs([(None, long), (4, long + " end"), (3, long), (None, "alone"), (None, "alone")])
+    assert sorted((str(r["doc_id"]) for r in similar.drop_similar(docs).collect())) == ["3", "None"]
+    assert similar.drop_similar(make_docs([])).count() == 0
+
+
+def test_pairs_on_the_test_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = [r["text"] for r in docs.orderBy("doc_id").collect()]
+    ids = [r["doc_id"] for r in docs.orderBy("doc_id").collect()]
+    got = sorted(r["doc_id"] for r in corpus_pipeline.drop_near(spark, docs, "").collect())
+    assert got == [ids[k] for k in firsts(texts)]
+    assert len(got) < simhash.drop_near_duplicates(docs).count()
