@@ -29,7 +29,7 @@ PASSAGE = 128
 COMMON = 0.1
 #: Passages whose vectors are made and sent together, and in one scan of the documents.
 TOGETHER, IN_SCAN = 256, 4096
-#: Words of a document that are looked at together.
+#: Words of a document that are looked at together, besides what reaches into the next ones; more where an item is longer.
 SEGMENT = 1 << 15
 REMEMBERED = 500_000
 
@@ -176,6 +176,11 @@ class Searcher:
         spans = np.array([-(-(len(ids) + len(ids) // 4 - 1) // BLOCK) + 1 for _, ids in passages])
         self.spans = [(int(w), np.flatnonzero(spans == w)) for w in np.unique(spans)]
 
+    @property
+    def reach(self) -> int:
+        """Words around a place that a search there may look at."""
+        return max((max(w * BLOCK, s + s // 4 + BLOCK) for w, which in self.spans for s in (self.items[k].size for k in which)), default=0)
+
     def search(self, ids: np.ndarray, positions: np.ndarray, found: dict[int, float]) -> None:
         """Put the items that ``ids`` holds into ``found``, by place in ``items``; ``positions`` are those of weighted terms.
 
@@ -264,16 +269,18 @@ def with_items(docs: DataFrame, benchmark: DataFrame, items: str = "item_ids", s
     scans = [groups[at:at + IN_SCAN // TOGETHER] for at in range(0, len(groups), IN_SCAN // TOGETHER)] or [[]]
     for k, scan in enumerate(scans):
         sent = spark.sparkContext.broadcast(({w: k for k, w in enumerate(vocabulary)}, weights, scan))
+        # segments overlap by the longest item's reach, so one of them holds it whole
+        overlap = max((max(group.reach, 2 * BLOCK * max(w for w, _ in group.spans)) for group in scan), default=0) + BLOCK
+        step = max(SEGMENT, overlap)
 
-        def work(part: pa.RecordBatch, sent=sent, state: dict = {}) -> list:  # noqa: B006 one for each task
+        def work(part: pa.RecordBatch, sent=sent, overlap=overlap, step=step, state: dict = {}) -> list:  # noqa: B006 one for each task
             terms, weights, scan = sent.value
             ids_of = state.setdefault("ids", TermIds(terms))
             rows = []
             for text in part.column("text").to_pylist():
                 ids, hits = ids_of.text(text) if scan else np.zeros(0, np.int32), {}
-                overlap = max((w for group in scan for w, _ in group.spans), default=0) * BLOCK * 2
-                for at in range(0, len(ids), SEGMENT):
-                    own = ids[at:at + SEGMENT + overlap]
+                for at in range(0, len(ids), step):
+                    own = ids[at:at + step + overlap]
                     positions = np.flatnonzero((own >= 0) & (weights[np.maximum(own, 0)] > 0))
                     for group in scan if len(positions) else ():
                         found: dict[int, float] = {}

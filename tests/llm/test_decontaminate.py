@@ -80,6 +80,17 @@ def test_items_are_found_and_clean_documents_left(tables, monkeypatch, together,
     assert got == want
 
 
+@pytest.mark.parametrize("size, before", [(2000, 850), (2000, 1000), (2000, 1200), (4000, 1500)])
+def test_long_items_across_segments(spark, make_docs, size, before):
+    rng = random.Random(size + before)
+    other = lambda n: [rng.choice(WORDS) for _ in range(n)]
+    item = [f"{rng.choice(WORDS)}{rng.randrange(50)}" for _ in range(size)]
+    rows = [(1, " ".join(other(d.SEGMENT - before) + item + other(30_000))), (2, " ".join(other(70_000)))]
+    benchmark = spark.createDataFrame([(5, " ".join(item))], "item_id bigint, text string")
+    got = {r["doc_id"]: (r["item_ids"], r["similarity"]) for r in d.find(make_docs(rows), benchmark).collect()}
+    assert got == {1: ([5], 1.0), 2: ([], 0.0)}
+
+
 def test_stage_keeps_columns(tables, make_docs, spark):
     docs, benchmark, want = tables
     left = d.drop_contaminated(docs, benchmark)
