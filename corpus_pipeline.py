@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import decontaminate, exact_dedup, language_id, packing, similar
+from shelfwise.llm import decontaminate, exact_dedup, language_id, packing, simhash
 from shelfwise.llm.common import settle, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -23,8 +23,8 @@ def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts at a 5-word Jaccard similarity of 0.8 or more one row stays."""
-    return similar.drop_similar(docs)
+    """Of each group of texts whose SimHash fingerprints link one row stays."""
+    return simhash.drop_near_duplicates(docs, simhash.SHINGLE)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
