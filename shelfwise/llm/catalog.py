@@ -1,7 +1,8 @@
 """The registered queries of this folder and their SQL for DuckDB, where SQL can say it."""
 
 from shelfwise.llm import (
-    decontaminate, exact_dedup, html_text, language_id, packing, quality, sharding, simhash, url_filter, warc,
+    decontaminate, exact_dedup, html_text, language_id, packing, quality, sharding, simhash, spelling, token_counts, url_filter,
+    warc, whitening,
 )
 
 QUERIES = {
@@ -15,6 +16,9 @@ QUERIES = {
     "op8_html_text": html_text.op8_html_text,
     "op9_language_id": language_id.op9_language_id,
     "op10_packing": packing.op10_packing,
+    "op11_token_counts": token_counts.op11_token_counts,
+    "op12_whitening": whitening.op12_whitening,
+    "op13_spelling": spelling.op13_spelling,
 }
 
 ORACLE = {

@@ -19,7 +19,7 @@ pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no test data")
 
 def test_all_are_registered():
     assert {*catalog.QUERIES, "pipeline"} <= set(entry.queries())
-    assert {name.split("_")[0] for name in catalog.QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {name.split("_")[0] for name in catalog.QUERIES} == {f"op{n}" for n in range(1, 14)}
 
 
 @pytest.mark.parametrize("name", list(catalog.ORACLE))
