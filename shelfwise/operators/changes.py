@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -16,6 +16,7 @@ from shelfwise.session import cut_lineage
 from shelfwise.sources.tables import Tables, apply_defaults, assign_keys, next_key
 
 CHANGE_ORDER = ("event_ts", "change_id")
+PLAIN = 2  # rounds of first rows before chains of clashes are looked for
 
 
 def long_ago() -> Column:
@@ -199,36 +200,88 @@ def add_products(rows: DataFrame, t: Tables) -> Added:
     return Added(products, rejected, product_audit(keyed), stock)
 
 
-def first_holders(rows: DataFrame, existing: DataFrame, unique: Sequence[str], order: str) -> DataFrame:
+def first_holders(
+    rows: DataFrame, existing: DataFrame, unique: Sequence[str], order: str, rounds: list[str] | None = None
+) -> DataFrame:
     """Rows that sequential inserts under UNIQUE columns would accept.
 
     A row is refused when an earlier accepted row, or a stored one, holds one of
     its values; NULLs never clash. With one unique column that is the first row
     per new value. With several, a refused row frees its other values, so the
     first rows are taken, what clashes with them is dropped, and the rest repeats.
+    Rows that are still open after PLAIN such rounds may hang in chains, each on the
+    one before: there a row that a single open row can refuse is accepted exactly
+    if that one isn't, so it points at it, and doubling the pointers settles a
+    chain of n rows in log2(n) steps. ``rounds`` gets a word for each checkpointed step.
     """
+    steps = [] if rounds is None else rounds
+
+    def cut(df: DataFrame, step: str) -> DataFrame:
+        steps.append(step)
+        return cut_lineage(df)
+
     open_rows = rows
     for c in unique:
         held = existing.select(F.col(c).alias("_held")).filter(F.col("_held").isNotNull()).distinct()
         open_rows = open_rows.join(held, F.col(c) == F.col("_held"), "left_anti")
     if len(unique) == 1:
         return _first_per_value(open_rows, unique[0], order)
-    accepted = None
-    open_rows = cut_lineage(open_rows)
+    accepted, turn = None, 0
+    open_rows = cut(open_rows, "open")
     while not open_rows.isEmpty():
-        heads = open_rows
-        for c in unique:
-            heads = heads.join(_first_per_value(open_rows, c, order).select(order), order, "left_semi")
-        heads = cut_lineage(heads)
+        turn += 1
+        if turn > PLAIN:
+            heads = open_rows.join(_chain_heads(open_rows, unique, order, cut), order, "left_semi")
+        else:
+            heads = open_rows
+            for c in unique:
+                heads = heads.join(_first_per_value(open_rows, c, order).select(order), order, "left_semi")
+        heads = cut(heads, "heads")
         accepted = heads if accepted is None else accepted.unionByName(heads)
         rest = open_rows.join(heads.select(order), order, "left_anti")
         for c in unique:
             held = heads.select(F.col(c).alias("_held")).filter(F.col("_held").isNotNull())
             rest = rest.join(held, F.col(c) == F.col("_held"), "left_anti")
-        open_rows = cut_lineage(rest)
+        open_rows = cut(rest, "rest")
     return accepted if accepted is not None else open_rows
 
 
+def _chain_heads(rows: DataFrame, unique: Sequence[str], order: str, cut) -> DataFrame:
+    """The ``order`` of rows that must be accepted: those without an earlier clash, and every second row of a chain.
+
+    Only the two lowest rows of a value are told apart, so a value that many rows
+    hold is two aggregates, no window. A row that is neither waits for another round.
+    """
+    own = rows.select(F.col(order).alias("_row"), *unique)
+    blockers = []
+    for c in unique:
+        named = own.filter(F.col(c).isNotNull()).select(F.col(c).alias("_held"), "_row")
+        first = named.groupBy("_held").agg(F.min("_row").alias("_first"))
+        later = named.join(first, "_held").filter(F.col("_row") > F.col("_first"))
+        second = later.groupBy("_held").agg(F.min("_row").alias("_second"))
+        # the lowest row of a value hangs on none, the second on the lowest, others on more than one
+        blockers.append(later.join(second, "_held").select("_row", F.col("_first").alias("_on"), (F.col("_row") > F.col("_second")).alias("_many")))
+    hung = reduce(DataFrame.unionByName, blockers).groupBy("_row").agg(
+        F.min("_on").alias("_on"), (F.max("_many") | (F.min("_on") < F.max("_on"))).alias("_many")
+    )
+    joined = own.select("_row").join(hung, "_row", "left")
+    free, waits = F.col("_on").isNull(), nvl(F.col("_many"), False)
+    # _up: the row it hangs on (itself at the end of a chain); _odd: whether an odd number of steps lies between
+    links = joined.select(
+        "_row", F.when(free | waits, F.col("_row")).otherwise(F.col("_on")).alias("_up"), (~free & ~waits).alias("_odd"), waits.alias("_waits")
+    )
+    links = cut(links, "links")
+    ends = links.filter("_row = _up").select(F.col("_row").alias("_end"), F.col("_waits").alias("_open"))
+    while True:
+        up = links.select(F.col("_row").alias("_at"), F.col("_up").alias("_next"), F.col("_odd").alias("_more"))
+        jumped = links.join(up, F.col("_up") == F.col("_at"))
+        moved = F.col("_next") != F.col("_up")
+        links = cut(jumped.select("_row", F.col("_next").alias("_up"), (F.col("_odd") != F.col("_more")).alias("_odd"), moved.alias("_moved")), "jump")
+        if links.filter("_moved").isEmpty():
+            break
+    return links.join(ends, F.col("_up") == F.col("_end")).filter("NOT _open AND NOT _odd").select(F.col("_row").alias(order))
+
+
 def _first_per_value(rows: DataFrame, column: str, order: str) -> DataFrame:
     """The lowest row per value, found map-side first; rows without a value all stay."""
     whole = F.struct(order, *[c for c in rows.columns if c != order])

@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
+from functools import cached_property, reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from shelfwise.model import FOREIGN_KEYS, KEYS, RULES, Rules
+from shelfwise.session import cut_lineage
 from shelfwise.sources.tables import Tables
 
+#: Words of values without a parent that are broadcast (16 bytes each); more are joined by a shuffle.
+BROADCAST_WORDS = 1 << 20
+FOUND = "table_name string, rule string, value string, row_count bigint"
+
 
 def _union(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
@@ -108,20 +113,99 @@ def check_fk(child: DataFrame, table: str, column: str, parent: DataFrame, paren
     )
 
 
+def _is_integer(df: DataFrame, column: str) -> bool:
+    return isinstance(df.schema[column].dataType, T.IntegralType)
+
+
+def _word(column: str) -> Column:
+    """The number of the 64 neighbouring values a key lies among."""
+    return F.shiftright(F.col(column).cast("long"), 6)
+
+
+def _bit(column: str) -> Column:
+    """The key's place among them, as a word with one bit set."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.col(column).cast("long").bitwiseAND(63).cast("int"))
+
+
+def key_words(t: Tables, keys: Sequence[tuple[str, str]]) -> DataFrame:
+    """``(key, word, bits, n)`` for the integer columns ``keys`` (table, column), numbered in that order.
+
+    A bitmap in words of 64 bits: which of 64 neighbouring values occur, and in how
+    many rows. Tasks merge their rows before they move, so dense keys cost a
+    64th of their rows, scattered ones no more than their distinct values.
+    """
+    parts = [
+        t[table].filter(F.col(c).isNotNull()).select(F.lit(k).alias("key"), _word(c).alias("word"), _bit(c).alias("bit"))
+        for k, (table, c) in enumerate(keys)
+    ]
+    return _union(parts).groupBy("key", "word").agg(F.bit_or("bit").alias("bits"), F.count(F.lit(1)).alias("n"))
+
+
+class _KeyCheck:
+    """Bitmaps of key columns, and what they say about values without a parent.
+
+    The rows of a child are only looked at again where some value of it has no
+    parent, and only those with such a value are shuffled.
+    """
+
+    def __init__(self, t: Tables, unique: Sequence[tuple[str, str]] = ()):
+        self.tables = t
+        self.fks = [fk for fk in FOREIGN_KEYS if _is_integer(t[fk[0]], fk[1]) and _is_integer(t[fk[2]], fk[3])]
+        self.keys = list(dict.fromkeys([*unique, *[fk[:2] for fk in self.fks], *[fk[2:] for fk in self.fks]]))
+        self.words = cut_lineage(key_words(t, self.keys))
+
+    @cached_property
+    def missing(self) -> DataFrame:
+        """``(fk, word, bits)``: values of a child that its parent doesn't have."""
+        at = {key: k for k, key in enumerate(self.keys)}
+        asked = F.array(*[F.struct(F.lit(k).alias("fk"), F.lit(at[fk[:2]]).alias("child"), F.lit(at[fk[2:]]).alias("parent")) for k, fk in enumerate(self.fks)])
+        wanted = F.filter(asked, lambda x: x["child"] == F.col("key"))
+        children = self.words.withColumn("a", F.explode(wanted)).select("a.fk", F.col("a.parent").alias("key"), "word", "bits")
+        held = self.words.select("key", "word", F.col("bits").alias("held"))
+        bits = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("held", F.lit(0).cast("long"))))
+        return cut_lineage(children.join(held, ["key", "word"], "left").select("fk", "word", bits.alias("bits")).filter("bits <> 0"))
+
+    def orphans(self) -> list[DataFrame]:
+        """``(table_name, rule, value, row_count)``, one frame for each foreign key that is broken."""
+        sizes = {r["fk"]: r["count"] for r in self.missing.groupBy("fk").count().collect()}  # one row for each foreign key at most
+        out = []
+        for k, (child, column, _, _) in enumerate(self.fks):
+            if k not in sizes:
+                continue
+            value = F.col(column).alias("_value")
+            lost = self.missing.filter(F.col("fk") == k).select(F.col("word").alias("_word"), "bits")
+            values = self.tables[child].filter(F.col(column).isNotNull()).select(value)
+            small = sizes[k] <= BROADCAST_WORDS
+            if not small:  # values are counted before they meet the words
+                values = values.groupBy("_value").agg(F.count(F.lit(1)).alias("row_count"))
+            met = values.join(F.broadcast(lost) if small else lost, _word("_value") == F.col("_word"))
+            met = met.filter(F.col("bits").bitwiseAND(_bit("_value")) != 0)
+            if small:
+                met = met.groupBy("_value").agg(F.count(F.lit(1)).alias("row_count"))
+            out.append(met.select(
+                F.lit(child).alias("table_name"), F.lit(f"FOREIGN KEY {column}").alias("rule"),
+                F.col("_value").cast("string").alias("value"), "row_count",
+            ))
+        return out
+
+
 def check_all_fks(t: Tables) -> DataFrame:
-    return _union([check_fk(t[c], c, col, t[p], pcol) for c, col, p, pcol in FOREIGN_KEYS])
+    """All declared foreign keys: integer ones by bitmaps of both sides, so only values without a parent are shuffled."""
+    checked = _KeyCheck(t)
+    others = [check_fk(t[c], c, col, t[p], pcol) for c, col, p, pcol in FOREIGN_KEYS if (c, col, p, pcol) not in checked.fks]
+    found = [*checked.orphans(), *others]
+    return _union(found) if found else next(iter(t.values())).sparkSession.createDataFrame([], FOUND)
 
 
 def quality_report(t: Tables) -> DataFrame:
     """Violations per table and rule; rules without a violation do not appear.
 
-    Unique rules count the rows in excess of one per value. Two passes over each
-    table: one counts all row rules at once, one turns a row into the (rule, value)
-    pairs of its unique and foreign keys, which are counted together before they
-    meet the parents' keys.
+    Unique rules count the rows in excess of one per value. One pass over each
+    table counts all its row rules. Integer keys are read once more, column by
+    column, into bitmaps: rows less set bits are in excess, and a child's bits that
+    the parent lacks are orphans. Keys of other types are grouped as they are.
     """
-    name, rule, value = F.col("table_name"), F.col("rule"), F.col("value")
-    rows, pairs = [], []
+    rows = []
     for table, df in t.items():
         checks = _row_rules(df, RULES[table])
         counts = df.agg(*[F.count_if(bad).alias(f"c{k}") for k, (_, bad, _) in enumerate(checks)])
@@ -130,19 +214,24 @@ def quality_report(t: Tables) -> DataFrame:
             counts.select(F.explode(listed).alias("v"))
             .select(F.lit(table).alias("table_name"), "v.rule", F.col("v.n").alias("violations")).filter("violations > 0")
         )
-        keyed = [(f"UNIQUE {c}", c) for c in RULES[table].unique]
-        keyed += [(f"FOREIGN KEY {c}", c) for child, c, _, _ in FOREIGN_KEYS if child == table]
-        held = F.array(*[F.struct(F.lit(of).alias("rule"), F.col(c).cast("string").alias("value")) for of, c in keyed])
-        pairs.append(df.select(F.explode(held).alias("v")).select(F.lit(table).alias("table_name"), "v.rule", "v.value"))
-    held = _union(pairs).filter(value.isNotNull()).groupBy("table_name", "rule", "value").agg(F.count(F.lit(1)).alias("n"))
-    parents = _union(
-        [t[parent].select(F.lit(child).alias("table_name"), F.lit(f"FOREIGN KEY {c}").alias("rule"),
-                          F.col(key).cast("string").alias("value"), F.lit(1).alias("found"))
-         for child, c, parent, key in FOREIGN_KEYS]
-    ).distinct()
-    broken = F.when(rule.startswith("UNIQUE"), F.col("n") - 1).when(F.col("found").isNull(), F.col("n")).otherwise(0)
-    keys = held.join(parents, ["table_name", "rule", "value"], "left").groupBy(name, rule).agg(F.sum(broken).alias("violations"))
-    return _union([*rows, keys.filter("violations > 0")])
+    unique = [(table, c) for table in t for c in RULES[table].unique]
+    by_bits = [key for key in unique if _is_integer(t[key[0]], key[1])]
+    checked = _KeyCheck(t, by_bits)
+    named = F.array(*[F.struct(F.lit(table).alias("table_name"), F.lit(f"UNIQUE {c}").alias("rule")) for table, c in by_bits])
+    excess = (
+        checked.words.filter(F.col("key") < len(by_bits))
+        .groupBy("key").agg((F.sum("n") - F.sum(F.bit_count("bits"))).alias("violations"))
+        .select(named[F.col("key")].alias("of"), "violations").select("of.table_name", "of.rule", "violations")
+    )
+    others = [
+        t[table].filter(F.col(c).isNotNull()).select(F.lit(table).alias("table_name"), F.lit(f"UNIQUE {c}").alias("rule"), F.col(c).cast("string").alias("value"))
+        for table, c in unique if (table, c) not in by_bits
+    ]
+    others = _union(others).groupBy("table_name", "rule", "value").agg((F.count(F.lit(1)) - 1).alias("more")).filter("more > 0")
+    orphans = [*checked.orphans(), *[check_fk(t[c], c, col, t[p], pcol) for c, col, p, pcol in FOREIGN_KEYS if (c, col, p, pcol) not in checked.fks]]
+    counted = [others.withColumnRenamed("more", "violations").drop("value"), *[o.select("table_name", "rule", F.col("row_count").alias("violations")) for o in orphans]]
+    summed = _union(counted).groupBy("table_name", "rule").agg(F.sum("violations").alias("violations"))
+    return _union([*rows, excess.filter("violations > 0"), summed])
 
 
 def row_counts(t: Tables) -> DataFrame:
