@@ -24,8 +24,8 @@ from shelfwise.sources.retail import EPOCH, _file_schema, _read, retail_commands
 from shelfwise.sources.tables import (
     Tables, append_rows, apply_defaults, assign_keys, load_tables, save_tables, with_subtotal,
 )
-from shelfwise.streaming.audit import stream_audit
-from shelfwise.streaming.ledger import stream_ledger, stream_stock
+from shelfwise.streaming.audit import stream_audit, stream_audit_rows
+from shelfwise.streaming.ledger import stream_decided, stream_ledger, stream_stock
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1608,6 +1608,9 @@ def _run_to_end(writer) -> None:
     writer.trigger(availableNow=True).start().awaitTermination()
 
 
+COMPACT = 2  # so few that a run of four batches merges some
+
+
 def _streamed(spark: SparkSession, sf_dir: str, parts: int = 4) -> tuple[Tables, str]:
     """The commands as a feed that grows by one slice of time after the other; each slice is a micro-batch."""
     t, base = retail_tables(spark, sf_dir), _fresh_folder(spark)
@@ -1621,17 +1624,17 @@ def _streamed(spark: SparkSession, sf_dir: str, parts: int = 4) -> tuple[Tables,
     for k in range(parts):
         spark.read.schema(cmds.schema).parquet(f"{base}/slices/slice={k}").write.mode("append").parquet(f"{base}/feed")
         feed = spark.readStream.schema(cmds.schema).parquet(f"{base}/feed")
-        _run_to_end(stream_ledger(feed, t, base))
+        _run_to_end(stream_ledger(feed, t, base, compact=COMPACT))
     return t, base
 
 
 def _stream_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
     t, base = _streamed(spark, sf_dir)
-    return stream_stock(spark, base, t["stock_management"])
+    return stream_stock(spark, base, t["stock_management"], COMPACT)
 
 
 def _stream_decided(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{_streamed(spark, sf_dir)[1]}/decided").select(*DECIDED)
+    return stream_decided(spark, _streamed(spark, sf_dir)[1], COMPACT).select(*DECIDED)
 
 
 _add("x1_stream_ledger", _stream_decided, ORACLE["m1_stock_ledger"])
@@ -1654,7 +1657,7 @@ def _stream_product_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     base = _fresh_folder(spark)
     _run_to_end(stream_audit(feed, "products", base))
-    return spark.read.parquet(f"{base}/products").select(
+    return stream_audit_rows(spark, "products", base).select(
         "seq", "Table_Name", "Operation", "Record_ID", "Old_Value", "New_Value", "Description"
     )
 
@@ -1686,7 +1689,7 @@ def _stream_stock_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     feed = rows.select(F.col("ProductID").alias("seq"), before.alias("before"), after.alias("after"))
     base = _fresh_folder(spark)
     _run_to_end(stream_audit(feed, "stock", base, retail_tables(spark, sf_dir)["products"]))
-    return spark.read.parquet(f"{base}/stock").select("seq", "Record_ID", "Old_Value", "New_Value", "Description")
+    return stream_audit_rows(spark, "stock", base).select("seq", "Record_ID", "Old_Value", "New_Value", "Description")
 
 
 _add(

@@ -2,45 +2,47 @@
 
 Both use ``foreachBatch``: a micro-batch runs through the batch operators, so a
 product with a third of a batch is spread over tasks exactly as in a batch run.
-State and results lie in folders named after the batch, which a retried batch
-overwrites: no row is applied or written twice.
+State and results lie in folders that follow from the batch's number, which a
+retried batch overwrites: no row is applied or written twice, and no folder listed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import DataStreamWriter
 
 from shelfwise.functions.dialect import nvl
+from shelfwise.model import COMMAND_SCHEMA, LONG, PRICE, TEXT
 from shelfwise.operators.ledger import attach_facts, decide, judge
 from shelfwise.session import tune
 from shelfwise.sources.tables import Tables
+from shelfwise.streaming.batches import Batches, read_folders
 
 STATE = "ProductID bigint, Quantity bigint, last_ts timestamp_ntz, batch bigint"
+DECIDED = T.StructType(
+    [*COMMAND_SCHEMA.fields] + [
+        T.StructField(name, kind) for name, kind in {
+            "product_name": TEXT, "Unit_Price": PRICE, "category_name": TEXT, "stock_start": LONG, "effect": LONG,
+            "stock_before": LONG, "stock_after": LONG, "accepted": T.BooleanType(), "code": TEXT, "message": TEXT,
+            "warning": TEXT, "late": T.BooleanType(),
+        }.items()
+    ]
+)
 
 
-def _folder(base: str, batch: int) -> str:
-    return f"{base}/batch={batch}"
+def _decided(spark: SparkSession, base: str, compact: int) -> Batches:
+    return Batches(spark, base, "decided", DECIDED, compact)
 
 
-def _batches(spark: SparkSession, base: str) -> list[int]:
-    """The batches that have a folder below ``base``."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(base)
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(path):
-        return []
-    names = [entry.getPath().getName() for entry in files.listStatus(path)]
-    return sorted(int(name.removeprefix("batch=")) for name in names if name.startswith("batch="))
+def _states(spark: SparkSession, base: str, compact: int) -> Batches:
+    return Batches(spark, base, "state", STATE, compact)
 
 
 def _state(spark: SparkSession, base: str, before: int, compact: int) -> DataFrame:
-    """Saved state since the last full one, as of the batches before ``before``."""
-    done = [b for b in _batches(spark, f"{base}/state") if b < before]
-    if not done:
-        return spark.createDataFrame([], STATE)
-    full = max((b for b in done if b % compact == 0), default=done[0])
-    paths = [_folder(f"{base}/state", b) for b in done if b >= full]
-    return spark.read.schema(STATE).option("basePath", f"{base}/state").parquet(*paths)
+    """Saved state as of the batches before ``before``: the last full one and what came after it."""
+    states = _states(spark, base, compact)
+    full = max(before - 1, 0) // compact * compact
+    return read_folders(spark, STATE, states.slots(full, before - 1))
 
 
 def _latest(state: DataFrame) -> DataFrame:
@@ -75,9 +77,10 @@ def ledger_batch(
     facts = facts.join(last, F.col("product_id") == F.col("_seen"), "left")
     # no rule refuses late events: they are applied on arrival and marked
     marked = facts.withColumn("late", nvl(F.col("event_ts") < F.col("last_ts"), False)).drop("_seen", "last_ts")
-    decided = decide(judge(marked, rules), rules)
-    decided.write.mode("overwrite").parquet(_folder(f"{base}/decided", batch))
-    done = spark.read.parquet(_folder(f"{base}/decided", batch))
+    decided = decide(judge(marked, rules), rules).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in DECIDED])
+    store, states = _decided(spark, base, compact), _states(spark, base, compact)
+    store.write(decided, batch)
+    done = read_folders(spark, DECIDED, [store.slot(batch)])
     moved = done.filter("accepted AND effect <> 0").groupBy(F.col("product_id").alias("_moved")).agg(
         F.sum("effect").alias("_net"), F.max("event_ts").alias("_at")
     )
@@ -87,7 +90,8 @@ def ledger_batch(
         F.greatest("last_ts", "_at").alias("last_ts"), F.col("_moved").isNotNull().alias("_now"),
     )
     keep = F.col("last_ts").isNotNull() if full else F.col("_now")
-    merged.filter(keep).drop("_now").write.mode("overwrite").parquet(_folder(f"{base}/state", batch))
+    states.write(merged.filter(keep).drop("_now").withColumn("batch", F.lit(batch).cast("long")), batch)
+    store.close(batch)
 
 
 def stream_ledger(
@@ -95,8 +99,9 @@ def stream_ledger(
 ) -> DataStreamWriter:
     """A writer that applies a command stream; start it with a trigger of your choice.
 
-    ``base`` is a shared folder: ``decided/`` collects every command with its
-    verdict, ``state/`` the stock, ``progress/`` the stream's own position.
+    ``base`` is a shared folder: ``decided/`` and ``decided_spans/`` collect every
+    command with its verdict (``stream_decided`` reads them), ``state/`` the stock,
+    ``progress/`` the stream's own position. ``compact`` must stay the same for a folder.
     """
     return (
         commands.writeStream.option("checkpointLocation", f"{base}/progress")
@@ -104,9 +109,15 @@ def stream_ledger(
     )
 
 
+def stream_decided(spark: SparkSession, base: str, compact: int = 20) -> DataFrame:
+    """Every command the stream has decided so far, once."""
+    return _decided(spark, base, compact).read()
+
+
 def stream_stock(spark: SparkSession, base: str, stock: DataFrame, compact: int = 20) -> DataFrame:
     """The stock after everything the stream has applied so far."""
-    latest = _latest(_state(spark, base, 2**62, compact))
+    last = _decided(spark, base, compact).last()
+    latest = _latest(_state(spark, base, 0 if last is None else last + 1, compact))
     return stock.join(latest, F.col("ProductID") == F.col("_moved"), "left").select(
         "StockID", "ProductID", nvl("_now", F.col("Quantity")).alias("Quantity"), "Restock_Level",
         F.coalesce("_at", "Last_Updated").alias("Last_Updated"),

@@ -14,8 +14,8 @@ from seed import (
 from shelfwise.model import COMMAND_SCHEMA
 from shelfwise.operators import audit, changes, ledger, report_lines, reports
 from shelfwise.plans.replay import replay
-from shelfwise.streaming.audit import stream_audit
-from shelfwise.streaming.ledger import ledger_batch, stream_ledger, stream_stock
+from shelfwise.streaming.audit import stream_audit, stream_audit_rows
+from shelfwise.streaming.ledger import ledger_batch, stream_decided, stream_ledger, stream_stock
 
 AFTER = {
     7: {MOUSE: 23, HUB: 20, HEADPHONES: 8, NOTEBOOK: 51, PENS: 3, RICE: 30, OIL: 12, CRT: 2},
@@ -193,13 +193,13 @@ def test_stream_equals_batch(spark, tmp_path):
         stream_ledger(feed, t, base, compact=2).trigger(availableNow=True).start().awaitTermination()
     got = stream_stock(spark, base, t["stock_management"], compact=2)
     assert seed.stock_of({"stock_management": got}) == plain_loop(rows)
-    decided = spark.read.parquet(f"{base}/decided")
+    decided = stream_decided(spark, base, 2)
     assert decided.count() == 180 and decided.filter("late").count() == 0
     late = commands(spark, [(3, ARJUN, MOUSE, 1, "RETURN")]).withColumn("cmd_id", F.lit(500).cast("long"))
     late.write.mode("append").parquet(source)
     feed = spark.readStream.schema(COMMAND_SCHEMA).parquet(source)
     stream_ledger(feed, t, base, compact=2).trigger(availableNow=True).start().awaitTermination()
-    assert [r.accepted for r in spark.read.parquet(f"{base}/decided").filter("late").collect()] == [True]
+    assert [r.accepted for r in stream_decided(spark, base, 2).filter("late").collect()] == [True]
 
 
 def test_retried_batch_changes_nothing(spark, tmp_path):
@@ -212,7 +212,7 @@ def test_retried_batch_changes_nothing(spark, tmp_path):
     twice = ledger.apply_stock_commands(second, {**t, "stock_management": once.stock})
     got = stream_stock(spark, base, t["stock_management"])
     assert seed.stock_of({"stock_management": got}) == seed.stock_of({"stock_management": twice.stock})
-    assert spark.read.parquet(f"{base}/decided").count() == 120
+    assert stream_decided(spark, base).count() == 120
 
 
 def test_stream_audit(spark, tmp_path):
@@ -226,14 +226,14 @@ def test_stream_audit(spark, tmp_path):
     feed = spark.readStream.schema(moved.schema).parquet(str(tmp_path / "stock"))
     out = str(tmp_path / "audit")
     stream_audit(feed, "stock", out, t["products"]).trigger(availableNow=True).start().awaitTermination()
-    got = {r.Record_ID: (r.Old_Value, r.New_Value, r.Description) for r in spark.read.parquet(f"{out}/stock").collect()}
+    got = {r.Record_ID: (r.Old_Value, r.New_Value, r.Description) for r in stream_audit_rows(spark, "stock", out).collect()}
     assert got[RICE] == ("Qty=30", "Qty=28", 'Stock change for "Basmati Rice 5kg" | Delta: -2') and len(got) == 8
     row = F.struct(*t["products"].columns)
     born = t["products"].select(F.col("ProductID").alias("seq"), F.lit(None).cast(t["products"].schema).alias("before"), row.alias("after"))
     born.write.parquet(str(tmp_path / "products"))
     feed = spark.readStream.schema(born.schema).parquet(str(tmp_path / "products"))
     stream_audit(feed, "products", out).trigger(availableNow=True).start().awaitTermination()
-    got = {r.Record_ID: (r.Operation, r.New_Value) for r in spark.read.parquet(f"{out}/products").collect()}
+    got = {r.Record_ID: (r.Operation, r.New_Value) for r in stream_audit_rows(spark, "products", out).collect()}
     assert got[PENS] == ("INSERT", "Name=Ballpoint Pen Pack Price=45 CatID=2 Active=1")
 
 
