@@ -22,22 +22,31 @@ in many blocks. Those blocks run in parallel too:
   constant memory, while other keys go on beside it. So there are at most
   GUESSED + log2(blocks) + 1 rounds, and galloping visits each event about once.
 
+Rounds don't read the placed rows again. Keys that span blocks are written once as
+narrow Parquet, a folder for each block, and a task streams the folders it needs in
+order: no shuffle, no sort, constant memory. Where the shared folder is on a file
+system that only Spark can open, rounds filter the placed rows instead.
+
 The driver handles one row per block and tried entry, never events.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import partial
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from shelfwise.functions.scan import BLOCK
+from shelfwise.session import shared_dir
 
 TRIAL = "block int, key long, start long, entry long, left long, need long, net long"
 MISSING = -(2**63)  # stands for NULL in the loops; rows with it have no effect
@@ -62,10 +71,23 @@ def _columns(batch: pa.RecordBatch, names: list[str]) -> list[np.ndarray]:
     return out
 
 
-def _events(batch: pa.RecordBatch, names: list[str]) -> tuple[int, zip]:
-    """The batch's block and its (key, effect, start)."""
-    block, *columns = _columns(batch, names)
-    return int(block[0]), zip(*[c.tolist() for c in columns])
+Arrays = Iterator[tuple[np.ndarray, ...]]
+
+
+def _arrays(names: list[str], batches: Iterable[pa.RecordBatch]) -> Arrays:
+    """Block, key, effect and start of the rows of each batch."""
+    return (tuple(_columns(batch, names)) for batch in batches if batch.num_rows)
+
+
+def _stored_arrays(folder: str, names: list[str], blocks: Iterable[int]) -> Arrays:
+    """The same of the stored events of ``blocks``, one block after the other."""
+    files, base = pafs.FileSystem.from_uri(folder)
+    for block in blocks:
+        found = files.get_file_info(pafs.FileSelector(f"{base}/{names[0]}={block}", allow_not_found=True))
+        for path in sorted(f.path for f in found if f.path.endswith(".parquet")):
+            with files.open_input_file(path) as file:
+                for batch in pq.ParquetFile(file).iter_batches(columns=names[1:]):
+                    yield np.full(batch.num_rows, block), *_columns(batch, names[1:])
 
 
 def balances(effects: np.ndarray, balance: int) -> tuple[np.ndarray, int]:
@@ -147,32 +169,32 @@ class _Trial:
         ]
 
 
-def _try(names: list[str], wanted: dict[tuple[int, int], list[int]], batches: Iterator[pa.RecordBatch]):
+def _told(rows: list[tuple], layout: str) -> Iterator[pa.RecordBatch]:
+    if rows:
+        kinds = [pa.int32()] + [pa.int64()] * (len(rows[0]) - 1)
+        arrays = [pa.array(column, kind) for column, kind in zip(zip(*rows), kinds)]
+        yield pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in layout.split(", ")])
+
+
+def _try(wanted: dict[tuple[int, int], list[int]], parts: Arrays) -> Iterator[pa.RecordBatch]:
     trial, rows = None, []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        block, events = _events(batch, names)
-        for key, effect, start in events:
+    for block, *columns in parts:
+        for key, effect, start in zip(*[c.tolist() for c in columns]):
             if trial is None or trial.key != key:
                 rows += trial.rows() if trial else []
-                trial = _Trial(block, key, start, wanted.get((block, key), ()))
+                trial = _Trial(int(block[0]), key, start, wanted.get((int(block[0]), key), ()))
             trial.take(effect)
         if trial:
             trial.merge()
     rows += trial.rows() if trial else []
-    if rows:
-        kinds = [pa.int32()] + [pa.int64()] * 6
-        arrays = [pa.array(column, kind) for column, kind in zip(zip(*rows), kinds)]
-        yield pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in TRIAL.split(", ")])
+    yield from _told(rows, TRIAL)
 
 
-def _gallop(names: list[str], runs: dict[int, tuple[int, int, int]], batches: Iterator[pa.RecordBatch]):
-    """Walk several blocks of a key from an exact entry; rows come sorted by key and position."""
+def _gallop(runs: dict[int, tuple[int, int, int]], parts: Arrays) -> Iterator[pa.RecordBatch]:
+    """Walk several blocks of a key from an exact entry; rows come in the order of key and position."""
     state: dict[int, int] = {}
     reached: dict[tuple[int, int], list[int]] = {}
-    for batch in batches:
-        block, keys, effects = _columns(batch, names[:3])
+    for block, keys, effects, *_ in parts:
         ends = [*(np.flatnonzero((np.diff(keys) != 0) | (np.diff(block) != 0)) + 1).tolist(), len(keys)]
         at = 0
         for end in ends if len(keys) else ():
@@ -182,11 +204,7 @@ def _gallop(names: list[str], runs: dict[int, tuple[int, int, int]], batches: It
                 state[key] = balances(effects[at:end], entry)[1]
                 reached.setdefault((here, key), [entry, 0])[1] = state[key]
             at = end
-    if reached:
-        rows = [(block, key, entry, left) for (block, key), (entry, left) in reached.items()]
-        kinds = [pa.int32()] + [pa.int64()] * 3
-        arrays = [pa.array(column, kind) for column, kind in zip(zip(*rows), kinds)]
-        yield pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in LEFT.split(", ")])
+    yield from _told([(block, key, entry, left) for (block, key), (entry, left) in reached.items()], LEFT)
 
 
 def _chains(placed: DataFrame, key: str) -> dict[int, list[int]]:
@@ -272,28 +290,68 @@ class _Walk:
         return {at: sorted(entries) for at, entries in wanted.items() if entries}, runs
 
 
-def _entries(placed: DataFrame, names: list[str], rounds: list[int] | None = None) -> dict[int, tuple[int, int]]:
-    """The exact entry of each block that a key enters from an earlier one; ``rounds`` gets a number a round."""
-    block, key, effect, _ = names
-    walk = _Walk(_chains(placed, key))
-    moving = placed.select(*names, F.monotonically_increasing_id().alias(POSITION)).filter(F.col(effect) != 0)
+class _Events:
+    """The events of keys that span blocks, and the two ways to run a round over them."""
+
+    def __init__(self, placed: DataFrame, names: list[str], keys: list[int]):
+        self.spark, self.names, self.placed = placed.sparkSession, names, placed
+        block, key, effect, _ = names
+        self.folder = f"{shared_dir(self.spark).rstrip('/')}/fold-{uuid.uuid4().hex}"
+        try:
+            pafs.FileSystem.from_uri(self.folder)
+        except (pa.ArrowException, OSError, ValueError):  # only Spark can open it
+            self.folder = None
+            return
+        moving = placed.select(*names, F.monotonically_increasing_id().alias(POSITION)).filter((F.col(effect) != 0) & F.col(key).isin(keys))
+        # a task holds one block; the sort says so to the writer, which would otherwise sort by block alone
+        moving.sortWithinPartitions(block, POSITION).write.partitionBy(block).parquet(self.folder)
+
+    def _tasks(self, count: int, work: Callable[[int], Iterator[pa.RecordBatch]], layout: str) -> DataFrame:
+        """``count`` tasks, each told its number."""
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in batch.column(0).to_pylist():
+                    yield from work(k)
+
+        return self.spark.range(0, count, 1, max(1, count)).mapInArrow(run, layout)
+
+    def tried(self, wanted: dict[tuple[int, int], list[int]]) -> DataFrame:
+        names, folder = self.names, self.folder
+        blocks, keys = sorted({b for b, _ in wanted}), sorted({k for _, k in wanted})
+        if folder is None:
+            part = self.placed.select(*names).filter((F.col(names[2]) != 0) & F.col(names[0]).isin(blocks) & F.col(names[1]).isin(keys))
+            return part.mapInArrow(lambda batches: _try(wanted, _arrays(names, batches)), TRIAL)
+        of = {b: {at: e for at, e in wanted.items() if at[0] == b} for b in blocks} if len(blocks) < 64 else dict.fromkeys(blocks, wanted)
+        return self._tasks(len(blocks), lambda k: _try(of[blocks[k]], _stored_arrays(folder, names, blocks[k:k + 1])), TRIAL)
+
+    def walked(self, runs: dict[int, tuple[int, int, int]], chains: dict[int, list[int]]) -> DataFrame:
+        names, folder = self.names, self.folder
+        ahead = {k: [b for b in chains[k] if a <= b <= z] for k, (a, z, _) in runs.items()}
+        if folder is None:
+            moving = self.placed.select(*names, F.monotonically_increasing_id().alias(POSITION)).filter(F.col(names[2]) != 0)
+            part = moving.filter(F.col(names[0]).isin(sorted({b for bs in ahead.values() for b in bs})) & F.col(names[1]).isin(sorted(runs)))
+            one_task_a_key = part.repartition(len(runs), names[1]).sortWithinPartitions(names[1], POSITION).select(*names)
+            return one_task_a_key.mapInArrow(lambda batches: _gallop(runs, _arrays(names, batches)), LEFT)
+        keys = sorted(runs)
+        return self._tasks(len(keys), lambda k: _gallop({keys[k]: runs[keys[k]]}, _stored_arrays(folder, names, ahead[keys[k]])), LEFT)
+
+
+def _entries(placed: DataFrame, names: list[str], rounds: list[list[DataFrame]] | None = None) -> dict[int, tuple[int, int]]:
+    """The exact entry of each block that a key enters from an earlier one; ``rounds`` gets each round's frames."""
+    walk = _Walk(_chains(placed, names[1]))
+    if not walk.chains:
+        return {}
+    events = _Events(placed, names, sorted(walk.chains))
     wanted, runs = {(b, k): [0] for k, blocks in walk.chains.items() for b in blocks}, {}
     while wanted or runs:
+        asked = [events.tried(wanted)] if wanted else []
+        asked += [events.walked(runs, walk.chains)] if runs else []
         if rounds is not None:
-            rounds.append(len(wanted) + len(runs))
-        if wanted:
-            part = moving.filter(
-                F.col(block).isin(sorted({b for b, _ in wanted})) & F.col(key).isin(sorted({k for _, k in wanted}))
-            ).select(*names)
-            for row in part.mapInArrow(partial(_try, names, wanted), TRIAL).collect():
-                if (row["block"], row["key"]) in wanted:
+            rounds.append(asked)
+        for frame in asked:
+            for row in frame.collect():  # a row for each block, key and tried entry
+                if "need" not in row or (row["block"], row["key"]) in wanted:
                     walk.learn(row)
-        if runs:
-            ahead = sorted({b for k, (a, z, _) in runs.items() for b in walk.chains[k] if a <= b <= z})
-            part = moving.filter(F.col(block).isin(ahead) & F.col(key).isin(sorted(runs)))
-            one_task_a_key = part.repartition(len(runs), key).sortWithinPartitions(key, POSITION).select(*names)
-            for row in one_task_a_key.mapInArrow(partial(_gallop, names, runs), LEFT).collect():
-                walk.learn(row)
         wanted, runs = walk.missing()
     return walk.entries
 

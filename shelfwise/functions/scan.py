@@ -120,7 +120,7 @@ def _pass(kind: type, names: list[str], carry: dict[int, tuple] | None, batches:
             yield pa.RecordBatch.from_arrays(list(end), names=["block", "key", "value"])
 
 
-def _running(placed: DataFrame, kind: type, key: str, value: str, out: str) -> DataFrame:
+def _running(placed: DataFrame, kind: type, key: str, value: str, out: str, keep: bool = False) -> DataFrame:
     """``placed`` (by ``range_blocks``) with the running ``value`` of each key, without another shuffle.
 
     Only the first key of a block can have begun in an earlier one, so blocks tell
@@ -142,7 +142,8 @@ def _running(placed: DataFrame, kind: type, key: str, value: str, out: str) -> D
         else:
             known = (row["key"], row["value"], row["block"])
     schema = T.StructType([*placed.schema.fields, T.StructField("_run", made)])
-    return placed.mapInArrow(partial(_pass, kind, names, carry), schema).drop(BLOCK).withColumnRenamed("_run", out)
+    filled = placed.mapInArrow(partial(_pass, kind, names, carry), schema).withColumnRenamed("_run", out)
+    return filled if keep else filled.drop(BLOCK)
 
 
 def running_sum(
@@ -167,18 +168,22 @@ def as_of(
     values: Sequence[str],
     strict: bool = False,
     blocks: int | None = None,
+    within: Sequence[str] | None = None,
 ) -> DataFrame:
     """Give each probe the ``values`` of its key's latest change not after it.
 
     Both sides carry ``key`` and the ``order`` columns. At an equal position the
     change counts as earlier, with ``strict`` as later. Probes without an earlier
-    change get NULLs.
+    change get NULLs. With ``within``, columns that order the probes of one
+    position, the result stays placed on (key, order, within), block number included,
+    so that what needs the same order goes on without another shuffle.
     """
     state = F.struct(*[F.col(v) for v in values])
     rank, probe, change = "_rank", 1, 2 if strict else 0
     marked = changes.select(key, *order, F.lit(change).alias(rank), state.alias("_state"))
     merged = probes.withColumn(rank, F.lit(probe)).unionByName(marked, allowMissingColumns=True)
-    filled = last_known(merged, key, [*order, rank], "_state", "_seen", blocks)
+    placed = range_blocks(merged, [key], [*order, rank, *(within or ())], blocks)
+    filled = _running(placed, _Last, key, "_state", "_seen", keep=within is not None)
     return (
         filled.filter(F.col(rank) == probe)
         .select("*", *[F.col(f"_seen.{v}").alias(v) for v in values])
@@ -186,6 +191,61 @@ def as_of(
     )
 
 
+def _sortable(columns: Sequence[pa.Array]) -> np.ndarray:
+    """Rows of whole numbers and times as bytes that compare in the same order; NULLs last."""
+    out = np.empty((len(columns[0]), len(columns)), ">u8")
+    for k, column in enumerate(columns):
+        whole = pc.fill_null(column.cast(pa.int64()), 2**63 - 1).to_numpy(zero_copy_only=False)
+        out[:, k] = whole.view(np.uint64) ^ np.uint64(1 << 63)
+    return out.view(f"S{8 * len(columns)}").ravel()
+
+
+class _History:
+    """A short list of changes, looked up by key and position."""
+
+    def __init__(self, changes: pa.Table, key: str, order: Sequence[str], value: str):
+        changes = changes.filter(pc.is_valid(changes.column(key))).combine_chunks()
+        ids = changes.column(key).to_numpy()
+        at = _sortable([changes.column(c).combine_chunks() for c in order])
+        self.keys, self.places = np.unique(ids), np.unique(at)
+        own = np.searchsorted(self.keys, ids) * (len(self.places) + 1) + np.searchsorted(self.places, at) + 1
+        turn = np.argsort(own, kind="stable")
+        self.own, self.values = own[turn], changes.column(value).combine_chunks().take(pa.array(turn))
+
+    def seen(self, ids: pa.Array, order: Sequence[pa.Array]) -> pa.Array:
+        known = pc.is_valid(ids).to_numpy(zero_copy_only=False)
+        whole = pc.fill_null(ids, 0).to_numpy(zero_copy_only=False)
+        if not len(self.keys):
+            return pa.nulls(len(ids), self.values.type)
+        place = np.minimum(np.searchsorted(self.keys, whole), len(self.keys) - 1)
+        known = known & (self.keys[place] == whole)
+        base = place * (len(self.places) + 1)
+        at = np.searchsorted(self.own, base + np.searchsorted(self.places, _sortable(order), "right"), "right") - 1
+        known &= (at >= 0) & (self.own[np.maximum(at, 0)] > base)
+        return self.values.take(pa.array(np.maximum(at, 0), mask=~known))
+
+
+def as_of_short(
+    probes: DataFrame, changes: DataFrame, key: str, order: Sequence[str], value: str, most: int
+) -> DataFrame | None:
+    """Like ``as_of`` for one value, without moving the probes; None where ``changes`` has more than ``most`` rows.
+
+    ``key`` and ``order`` are whole numbers or times. The changes go to every task.
+    """
+    found = changes.select(key, *order, value).limit(most + 1).toArrow()
+    if found.num_rows > most:
+        return None
+    sent = probes.sparkSession.sparkContext.broadcast(_History(found, key, order, value))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = sent.value.seen(batch.column(key), [batch.column(c) for c in order])
+            yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, value])
+
+    kind = changes.schema[value].dataType
+    return probes.mapInArrow(run, T.StructType([*probes.schema.fields, T.StructField(value, kind)]))
+
+
 def number_rows(
     df: DataFrame, column: str, start: Column | int, order: Sequence[str], blocks: int | None = None
 ) -> DataFrame:

@@ -53,11 +53,34 @@ def audit_product_images(images: DataFrame, *keep: str) -> DataFrame:
     )
 
 
+def _digest(columns: list[str]) -> Column:
+    """128 bits that tell two rows apart: two hashes with different beginnings, over the values and which are NULL."""
+    parts = [part for c in columns for part in (F.col(c).isNull(), F.col(c))]
+    return F.struct(F.xxhash64(F.lit("a"), *parts).alias("a"), F.xxhash64(F.lit("b"), *parts).alias("b"))
+
+
+def changed_keys(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """``(_k)``: keys whose rows differ between two snapshots, or that only one of them has.
+
+    Only keys and digests of rows are joined.
+    """
+    watched = [c for c in old.columns if c != key]
+    before = old.select(F.col(key).alias("_k"), _digest(watched).alias("_was"))
+    after = new.select(F.col(key).alias("_k"), _digest(watched).alias("_is"))
+    return before.join(after, "_k", "full_outer").filter(~F.col("_was").eqNullSafe(F.col("_is"))).select("_k")
+
+
 def audit_products(old: DataFrame, new: DataFrame) -> DataFrame:
-    """INSERT, UPDATE and DELETE rows between two product snapshots."""
-    watched = [c for c in old.columns if c != "ProductID"]
-    changed = F.col("o").isNull() | F.col("n").isNull() | _differs(watched)
-    return audit_product_images(_sides(old, new, "ProductID", "full_outer").filter(changed))
+    """INSERT, UPDATE and DELETE rows between two product snapshots.
+
+    Rows are compared by digest; only the images of changed keys are brought together.
+    """
+    kinds = {f.name: f.dataType for f in old.schema}
+    new = new.select(*[F.col(f.name).cast(kinds[f.name]).alias(f.name) if f.dataType != kinds[f.name] else f.name for f in new.schema])
+    images = changed_keys(old, new, "ProductID")
+    for side, df in (("o", old), ("n", new)):
+        images = images.join(df.select(F.col("ProductID").alias("_k"), F.struct(*df.columns).alias(side)), "_k", "left")
+    return audit_product_images(images)
 
 
 def audit_category(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -71,8 +71,8 @@ class Ledger:
         return self._rows[2]
 
 
-def attach_facts(cmds: DataFrame, t: Tables) -> DataFrame:
-    """Join what the checks need: product, category, stock row and user of each command."""
+def attach_facts(cmds: DataFrame, t: Tables, category_id: bool = False) -> DataFrame:
+    """Join what the checks need: product, category, stock row and user of each command; on demand its category's id."""
     products = t["products"].select(
         F.col("ProductID").alias("_product"), F.col("Name").alias("product_name"), "Unit_Price",
         F.col("Is_Active").alias("product_active"), "CategoryID",
@@ -91,6 +91,7 @@ def attach_facts(cmds: DataFrame, t: Tables) -> DataFrame:
         cmds.join(catalogue, F.col("product_id") == F.col("_product"), "left")
         .join(people, F.col("user_id") == F.col("_user"), "left")
         .withColumn("user_known", F.col("_user").isNotNull())
+        .withColumnsRenamed({"CategoryID": "category_id"} if category_id else {})
         .drop("_product", "_category", "_stocked", "_user", "CategoryID")
     )
 
@@ -170,12 +171,13 @@ def _message(codes: dict[str, dict[str, str]], rules: str) -> Column:
     )
 
 
-def decide(judged: DataFrame, rules: str = "package", blocks: int | None = None) -> DataFrame:
+def decide(judged: DataFrame, rules: str = "package", blocks: int | None = None, placed: bool = False) -> DataFrame:
     """Run the judged commands through the running stock.
 
     Every command comes out once, with ``accepted``, ``code``, ``message``,
-    ``stock_before`` and ``stock_after``. One range shuffle; commands refused
-    before the stock check travel along without effect.
+    ``stock_before`` and ``stock_after``. One range shuffle, none if the commands
+    are ``placed`` already; commands refused before the stock check travel along
+    without effect.
     """
     codes = RULE_SETS[rules]
     signed = F.when(F.col("cmd_type") == "SALE", -F.col("quantity")).otherwise(F.col("quantity"))
@@ -183,8 +185,8 @@ def decide(judged: DataFrame, rules: str = "package", blocks: int | None = None)
     moves = judged.withColumn("effect", F.when(live, signed).otherwise(0)).drop(
         "product_active", "category_active", "user_known"  # settled; not worth shuffling
     )
-    placed = range_blocks(moves, ["product_id"], ORDER, blocks)
-    folded = balance_before(placed, "product_id", "effect", "stock_start").withColumnRenamed(
+    in_blocks = moves if placed else range_blocks(moves, ["product_id"], ORDER, blocks)
+    folded = balance_before(in_blocks, "product_id", "effect", "stock_start").withColumnRenamed(
         "balance_before", "stock_before"
     )
     short = (F.col("cmd_type") == "SALE") & (F.col("stock_before") < F.col("quantity"))

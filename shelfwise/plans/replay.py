@@ -12,7 +12,7 @@ from functools import cache, cached_property, reduce
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from shelfwise.functions.dialect import nvl
-from shelfwise.functions.scan import as_of, running_sum
+from shelfwise.functions.scan import as_of, as_of_short, running_sum
 from shelfwise.model import INT, LONG, PRICE, TEXT, TIME
 from shelfwise.operators.audit import audit_product_images
 from shelfwise.operators.changes import (
@@ -37,6 +37,7 @@ LOG_SCHEMA = T.StructType(
     ]
 )
 AT = ("event_ts", "cmd_id")
+SHORT = 1 << 17  # category states that are sent to every task (some 4 MB); more are placed with the commands
 # what a command gives of a new row, and the code of a name that is taken
 OWN = {"category": ("CategoryID", "Name", "Description"), "suppliers": ("SupplierID", "Name", "Contact", "Email", "Address")}
 NAME_TAKEN = {"category": "UNIQUE_NAME", "suppliers": "-20023"}
@@ -49,9 +50,15 @@ class Replay:
     """Outcomes and audit rows are only computed when they are asked for."""
 
     def __init__(
-        self, ledger: Ledger, dimensions: Tables, outcomes: Callable[[], list[DataFrame]], admin: Callable[[], list[DataFrame]]
+        self, ledger: Ledger, dimensions: Callable[[], Tables], outcomes: Callable[[], list[DataFrame]],
+        admin: Callable[[], list[DataFrame]],
     ):
-        self.ledger, self.dimensions, self._outcomes, self._admin = ledger, dimensions, outcomes, admin
+        self.ledger, self._dimensions, self._outcomes, self._admin = ledger, dimensions, outcomes, admin
+
+    @cached_property
+    def dimensions(self) -> Tables:
+        """The tables with categories, suppliers, products and prices as they stand after the log."""
+        return self._dimensions()
 
     @cached_property
     def outcomes(self) -> DataFrame:
@@ -98,11 +105,13 @@ def replay(log: DataFrame, t: Tables, rules: str = "package", blocks: int | None
 
     asked = {r[0] for r in of(*ADMIN).select("cmd_type").distinct().collect()}  # at most len(ADMIN) rows
 
-    def holders(rows: DataFrame, kind: str, table: str, unique: list[str]) -> DataFrame:
+    def with_new(kind: str, stored: DataFrame, added: Callable[[], DataFrame]) -> DataFrame:
+        """``stored`` and what commands of ``kind`` add; without such commands the plan is spared their branch."""
+        return stored.unionByName(added()) if kind in asked else stored
+
+    def holders(rows: DataFrame, table: str, unique: list[str]) -> DataFrame:
         """Rows with ``code``: what a command breaks, a constraint of its row or a value held before it."""
         judged = rows.withColumn("_at", F.struct(*AT)).withColumn("code", constraint_code(rows.select(*OWN[table]), table))
-        if kind not in asked:
-            return judged
         judged = cut_lineage(judged)
         taken = first_holders(judged.filter(F.col("code").isNull()), t[table], unique, "_at").select(F.col("_at").alias("_in"))
         named = t[table].select(F.col("Name").alias("_held")).distinct() if "Name" in unique else None
@@ -119,164 +128,176 @@ def replay(log: DataFrame, t: Tables, rules: str = "package", blocks: int | None
         )
 
     # categories: new ones first, then status changes against those known at the time
-    new_cats = holders(
-        of("ADD_CATEGORY").select(
-            *AT, "cmd_type", "actor", "category_id", F.col("category_id").alias("CategoryID"), F.col("name").alias("Name"),
-            F.col("description").alias("Description"),
-        ), "ADD_CATEGORY", "category", ["Name", "CategoryID"],
-    )
-    cats_in = new_cats.filter(F.col("code").isNull())
-    known_cats = _initially(t["category"], F.col("CategoryID").alias("category_id"), F.col("IS_ACTIVE").alias("flag"))
-    added_cats = cats_in.select(*AT, "category_id", F.lit(1).alias("flag"))
-    known_from = known_cats.unionByName(added_cats).select(
-        F.col("category_id").alias("_cat"), F.struct(*AT).alias("_since")
-    )
-    turns = of("CATEGORY_OFF", "CATEGORY_ON").withColumn(
-        "flag", F.when(F.col("cmd_type") == "CATEGORY_ON", 1).otherwise(0)
-    )
-    turns = turns.join(known_from, F.col("category_id") == F.col("_cat"), "left").withColumn(
-        "_valid", nvl(F.col("_since") < F.struct(*AT), False)
+    @cache
+    def new_cats() -> DataFrame:
+        return holders(
+            of("ADD_CATEGORY").select(
+                *AT, "cmd_type", "actor", "category_id", F.col("category_id").alias("CategoryID"), F.col("name").alias("Name"),
+                F.col("description").alias("Description"),
+            ), "category", ["Name", "CategoryID"],
+        )
+
+    def cats_in() -> DataFrame:
+        return new_cats().filter(F.col("code").isNull())
+
+    cat_states = with_new(
+        "ADD_CATEGORY", _initially(t["category"], F.col("CategoryID").alias("category_id"), F.col("IS_ACTIVE").alias("flag")),
+        lambda: cats_in().select(*AT, "category_id", F.lit(1).alias("flag")),
     )
-    changes = turns.filter("_valid").select(*AT, "category_id", "flag")
-    cat_states = known_cats.unionByName(added_cats).unionByName(changes)
+    known_from = cat_states.select(F.col("category_id").alias("_cat"), F.struct(*AT).alias("_since"))
+
+    @cache
+    def turns() -> DataFrame:
+        flagged = of("CATEGORY_OFF", "CATEGORY_ON").withColumn("flag", F.when(F.col("cmd_type") == "CATEGORY_ON", 1).otherwise(0))
+        return flagged.join(known_from, F.col("category_id") == F.col("_cat"), "left").withColumn(
+            "_valid", nvl(F.col("_since") < F.struct(*AT), False)
+        )
+
+    if asked & {"CATEGORY_OFF", "CATEGORY_ON"}:
+        cat_states = cat_states.unionByName(turns().filter("_valid").select(*AT, "category_id", "flag"))
 
     @cache
     def turned() -> DataFrame:
         """Status changes with the flag before them."""
-        own = turns.drop("flag", "_cat", "_since")
+        own = turns().drop("flag", "_cat", "_since")
         return as_of(own, cat_states, "category_id", AT, ["flag"], strict=True, blocks=blocks)
 
     idle = (F.col("cmd_type") == "CATEGORY_OFF") & (F.col("flag") == 0)
 
     # suppliers
-    new_sups = holders(
-        of("ADD_SUPPLIER").select(
-            *AT, "cmd_type", "actor", "supplier_id", F.col("supplier_id").alias("SupplierID"), F.col("name").alias("Name"),
-            F.col("contact").alias("Contact"), F.col("email").alias("Email"), F.col("address").alias("Address"),
-        ), "ADD_SUPPLIER", "suppliers", ["Name", "Email", "SupplierID"],
-    )
-    sups_in = new_sups.filter(F.col("code").isNull())
-    usable_sups = _initially(t["suppliers"].filter("Is_Active = 1"), F.col("SupplierID").alias("_sup")).unionByName(
-        sups_in.select(*AT, F.col("supplier_id").alias("_sup"))
-    ).select("_sup", F.struct(*AT).alias("_sup_since"))
+    @cache
+    def new_sups() -> DataFrame:
+        return holders(
+            of("ADD_SUPPLIER").select(
+                *AT, "cmd_type", "actor", "supplier_id", F.col("supplier_id").alias("SupplierID"), F.col("name").alias("Name"),
+                F.col("contact").alias("Contact"), F.col("email").alias("Email"), F.col("address").alias("Address"),
+            ), "suppliers", ["Name", "Email", "SupplierID"],
+        )
+
+    def sups_in() -> DataFrame:
+        return new_sups().filter(F.col("code").isNull())
 
     # products
-    asked_prods = of("ADD_PRODUCT")
-    if "ADD_PRODUCT" in asked:
-        asked_prods = as_of(asked_prods, cat_states, "category_id", AT, ["flag"], blocks=blocks)
-    else:
-        asked_prods = asked_prods.withColumn("flag", F.lit(None).cast(INT))
-    new_prods = asked_prods.join(
-        usable_sups, F.col("supplier_id") == F.col("_sup"), "left"
-    )
-    has_supplier = nvl(F.col("_sup_since") < F.struct(*AT), False)
-    new_prods = new_prods.select(
-        *AT, "cmd_type", "actor", "product_id", F.col("product_id").alias("ProductID"), F.col("name").alias("Name"),
-        F.col("category_id").alias("CategoryID"), F.col("supplier_id").alias("SupplierID"),
-        F.col("unit_price").alias("Unit_Price"), F.col("quantity").alias("Quantity"),
-        F.col("restock_level").alias("Restock_Level"),
-        F.when(F.col("flag").isNull(), "-20020").when(F.col("flag") == 0, "-20021").when(~has_supplier, "-20022").alias("_refused"),
-    )
-    new_prods = new_prods.withColumn("code", F.coalesce("_refused", product_code(new_prods), F.when(F.col("ProductID").isNull(), "NOT_NULL")))
-    new_prods = new_prods.withColumn("_at", F.struct(*AT)).drop("_refused")
-    if "ADD_PRODUCT" in asked:
-        new_prods = cut_lineage(new_prods)
-        first = first_holders(new_prods.filter(F.col("code").isNull()), t["products"], ["ProductID"], "_at")
-        new_prods = cut_lineage(
-            new_prods.join(first.select(F.col("_at").alias("_in")), F.col("_at") == F.col("_in"), "left")
+    @cache
+    def new_prods() -> DataFrame:
+        usable_sups = with_new(
+            "ADD_SUPPLIER", _initially(t["suppliers"].filter("Is_Active = 1"), F.col("SupplierID").alias("_sup")),
+            lambda: sups_in().select(*AT, F.col("supplier_id").alias("_sup")),
+        ).select("_sup", F.struct(*AT).alias("_sup_since"))
+        rows = as_of(of("ADD_PRODUCT"), cat_states, "category_id", AT, ["flag"], blocks=blocks).join(
+            usable_sups, F.col("supplier_id") == F.col("_sup"), "left"
+        )
+        has_supplier = nvl(F.col("_sup_since") < F.struct(*AT), False)
+        rows = rows.select(
+            *AT, "cmd_type", "actor", "product_id", F.col("product_id").alias("ProductID"), F.col("name").alias("Name"),
+            F.col("category_id").alias("CategoryID"), F.col("supplier_id").alias("SupplierID"),
+            F.col("unit_price").alias("Unit_Price"), F.col("quantity").alias("Quantity"),
+            F.col("restock_level").alias("Restock_Level"),
+            F.when(F.col("flag").isNull(), "-20020").when(F.col("flag") == 0, "-20021").when(~has_supplier, "-20022").alias("_refused"),
+        )
+        code = F.coalesce("_refused", product_code(rows), F.when(F.col("ProductID").isNull(), "NOT_NULL"))
+        rows = cut_lineage(rows.withColumn("code", code).withColumn("_at", F.struct(*AT)).drop("_refused"))
+        first = first_holders(rows.filter(F.col("code").isNull()), t["products"], ["ProductID"], "_at")
+        return cut_lineage(
+            rows.join(first.select(F.col("_at").alias("_in")), F.col("_at") == F.col("_in"), "left")
             .withColumn("code", F.coalesce("code", F.when(F.col("_in").isNull(), "UNIQUE_ID"))).drop("_in")
         )
-    prods_in = new_prods.filter(F.col("code").isNull())
+
+    def prods_in() -> DataFrame:
+        return new_prods().filter(F.col("code").isNull())
 
     # prices
     since = _initially(t["products"], F.col("ProductID").alias("product_id"), F.col("Unit_Price").alias("unit_price"))
-    since = since.unionByName(prods_in.select(*AT, "product_id", F.col("Unit_Price").alias("unit_price")))
+    since = with_new("ADD_PRODUCT", since, lambda: prods_in().select(*AT, "product_id", F.col("Unit_Price").alias("unit_price")))
     first_seen = since.select(F.col("product_id").alias("_prod"), F.struct(*AT).alias("_since"))
-    repriced = of("SET_PRICE").join(first_seen, F.col("product_id") == F.col("_prod"), "left")
-    repriced = repriced.withColumn("_valid", nvl(F.col("_since") < F.struct(*AT), False))
     good_price = F.col("_valid") & nvl(F.col("unit_price") > 0, False)
-    price_states = since.unionByName(repriced.filter(good_price).select(*AT, "product_id", "unit_price"))
-    # an update of an unknown product touches no row
-    price_outcomes = _outcome(
-        repriced,
-        F.when(F.col("_valid") & ~good_price, "CHK_PRICE"),
-        F.when(~F.col("_valid"), "no-op").when(good_price, "applied").otherwise("rejected"),
-    )
 
-    # tables as they stand after the log
-    final_flag = cat_states.groupBy(F.col("category_id").alias("_c")).agg(
-        F.max_by("flag", F.struct(*AT)).alias("_flag")
-    )
-    category = t["category"].unionByName(
-        apply_defaults(
-            cats_in.select("CategoryID", "Name", "Description", F.col("event_ts").alias("Created_At")),
-            "category",
+    @cache
+    def repriced() -> DataFrame:
+        rows = of("SET_PRICE").join(first_seen, F.col("product_id") == F.col("_prod"), "left")
+        return rows.withColumn("_valid", nvl(F.col("_since") < F.struct(*AT), False))
+
+    price_states = with_new("SET_PRICE", since, lambda: repriced().filter(good_price).select(*AT, "product_id", "unit_price"))
+
+    all_cats = with_new("ADD_CATEGORY", t["category"], lambda: apply_defaults(
+        cats_in().select("CategoryID", "Name", "Description", F.col("event_ts").alias("Created_At")), "category"
+    ))
+    all_products = with_new("ADD_PRODUCT", t["products"], lambda: apply_defaults(
+        prods_in().select("ProductID", "Name", "CategoryID", "SupplierID", "Unit_Price", F.col("event_ts").alias("Created_At")),
+        "products",
+    ))
+
+    @cache
+    def category() -> DataFrame:
+        final_flag = cat_states.groupBy(F.col("category_id").alias("_c")).agg(
+            F.max_by("flag", F.struct(*AT)).alias("_flag")
         )
-    ).join(final_flag, F.col("CategoryID") == F.col("_c")).select(
-        "CategoryID", "Name", "Description", F.col("_flag").cast("int").alias("IS_ACTIVE"), "Created_At"
-    )
-    suppliers = t["suppliers"].unionByName(
-        apply_defaults(
-            sups_in.select("SupplierID", "Name", "Contact", "Email", "Address", F.col("event_ts").alias("Created_At")),
+        return all_cats.join(final_flag, F.col("CategoryID") == F.col("_c")).select(
+            "CategoryID", "Name", "Description", F.col("_flag").cast("int").alias("IS_ACTIVE"), "Created_At"
+        )
+
+    def dimensions() -> Tables:
+        """Tables as they stand after the log."""
+        suppliers = with_new("ADD_SUPPLIER", t["suppliers"], lambda: apply_defaults(
+            sups_in().select("SupplierID", "Name", "Contact", "Email", "Address", F.col("event_ts").alias("Created_At")),
             "suppliers",
+        ))
+        final_price = price_states.groupBy(F.col("product_id").alias("_p")).agg(
+            F.max_by("unit_price", F.struct(*AT)).alias("_price")
         )
-    )
-    all_products = t["products"].unionByName(
-        apply_defaults(
-            prods_in.select(
-                "ProductID", "Name", "CategoryID", "SupplierID", "Unit_Price", F.col("event_ts").alias("Created_At")
-            ),
-            "products",
+        products = all_products.join(final_price, F.col("ProductID") == F.col("_p")).select(
+            *[F.col("_price").cast(PRICE).alias(c) if c == "Unit_Price" else c for c in all_products.columns]
         )
-    )
-    final_price = price_states.groupBy(F.col("product_id").alias("_p")).agg(
-        F.max_by("unit_price", F.struct(*AT)).alias("_price")
-    )
-    products = all_products.join(final_price, F.col("ProductID") == F.col("_p")).select(
-        *[F.col("_price").cast(PRICE).alias(c) if c == "Unit_Price" else c for c in all_products.columns]
-    )
-    first_stock = prods_in.select("ProductID", "Quantity", "Restock_Level", F.col("event_ts").alias("Last_Updated"), "cmd_id")
-    if "ADD_PRODUCT" in asked:
-        old_stock = t["stock_management"]
-        first_stock = assign_keys(first_stock, "StockID", next_key(old_stock, "StockID"), ["Last_Updated", "cmd_id"])
-    opening = t["stock_management"].unionByName(apply_defaults(first_stock, "stock_management"))
+        return {**t, "category": category(), "suppliers": suppliers, "products": products}
+
+    def first_stock() -> DataFrame:
+        rows = prods_in().select("ProductID", "Quantity", "Restock_Level", F.col("event_ts").alias("Last_Updated"), "cmd_id")
+        keyed = assign_keys(rows, "StockID", next_key(t["stock_management"], "StockID"), ["Last_Updated", "cmd_id"])
+        return apply_defaults(keyed, "stock_management")
+
+    opening = with_new("ADD_PRODUCT", t["stock_management"], first_stock)
 
     # ledger commands, each with price and category status as of its position
     cmds = log.filter(nvl(~F.col("cmd_type").isin(*ADMIN), True)).select(
         "cmd_id", "event_ts", "user_id", "product_id", "quantity", "cmd_type", "notes", "actor"
     )
-    known = {**t, "category": category, "products": all_products, "stock_management": opening}
-    # only restocking asks for the category, so only those commands go through its history
-    restock = nvl(F.col("cmd_type") == "RESTOCK", False)
-    cat_of = all_products.select(F.col("ProductID").alias("_prod"), F.col("CategoryID").alias("category_id"))
-    restocks = attach_facts(cmds.filter(restock), known).join(cat_of, F.col("product_id") == F.col("_prod"), "left")
-    restocks = as_of(restocks.drop("_prod", "category_active"), cat_states, "category_id", AT, ["flag"], blocks=blocks)
-    restocks = restocks.withColumn("category_active", F.col("flag").cast(INT)).drop("flag", "category_id")
-    facts = attach_facts(cmds.filter(~restock), known).unionByName(restocks)
-    facts = as_of(facts.drop("Unit_Price"), price_states, "product_id", AT, ["unit_price"], blocks=blocks)
+    known = {**t, "category": all_cats, "products": all_products, "stock_management": opening}
+    # a short history of the categories is looked up where the commands lie
+    states = cat_states.withColumn("flag", F.col("flag").cast(INT))
+    facts = as_of_short(
+        attach_facts(cmds, known, category_id=True).drop("category_active"), states, "category_id", AT, "flag", SHORT
+    )
+    if facts is None:
+        # only restocking asks for the category, so only those commands go through its history
+        restock = nvl(F.col("cmd_type") == "RESTOCK", False)
+        restocks = attach_facts(cmds.filter(restock), known, category_id=True).drop("category_active")
+        restocks = as_of(restocks, states, "category_id", AT, ["flag"], blocks=blocks).drop("category_id")
+        facts = attach_facts(cmds.filter(~restock), known).withColumnRenamed("category_active", "flag").unionByName(restocks)
+    facts = facts.withColumnRenamed("flag", "category_active").drop("category_id", "Unit_Price")
+    # one placement by product and time: the price as of each command, then the running stock over the same blocks
+    facts = as_of(facts, price_states, "product_id", AT, ["unit_price"], blocks=blocks, within=["quantity"])
     # a product that is not added yet has no price and counts as missing
     facts = facts.withColumn(
         "product_active", F.when(F.col("unit_price").isNotNull(), F.col("product_active"))
     ).withColumnRenamed("unit_price", "Unit_Price")
-    decided = decide(judge(facts, rules), rules, blocks)
+    decided = decide(judge(facts, rules), rules, placed=True)
 
-    tables = {**t, "category": category, "suppliers": suppliers, "products": products}
-    ledger = Ledger(decided, {**tables, "stock_management": opening}, rules)
+    ledger = Ledger(decided, {**t, "stock_management": opening}, rules)
 
     def admin_audit() -> list[DataFrame]:
         ids = F.col("CategoryID")
         off = turned().filter(F.col("_valid") & (F.col("cmd_type") == "CATEGORY_OFF") & ~nvl(idle, False))
         events = off.select(*AT, "category_id", "actor", F.lit(0).cast("long").alias("_more")).unionByName(
-            prods_in.select(*AT, F.col("CategoryID").alias("category_id"), F.lit(None).cast("string").alias("actor"), F.lit(1).cast("long").alias("_more"))
+            prods_in().select(*AT, F.col("CategoryID").alias("category_id"), F.lit(None).cast("string").alias("actor"), F.lit(1).cast("long").alias("_more"))
         )
         counted = running_sum(events, "category_id", AT, "_more", "_added", blocks).filter("_more = 0")
         stored = t["products"].filter("Is_Active = 1").groupBy(ids.alias("_c")).agg(F.count(F.lit(1)).alias("_stored"))
-        names = category.select(ids.alias("_n"), F.col("Name").alias("category_name"))
+        names = all_cats.select(ids.alias("_n"), F.col("Name").alias("category_name"))
         deleted = counted.join(stored, F.col("category_id") == F.col("_c"), "left").join(
             names, F.col("category_id") == F.col("_n"), "left"
         ).select(*AT, "actor", F.col("category_id").alias("CategoryID"), "category_name",
                  (nvl("_stored", 0) + F.col("_added")).alias("affected"))
-        good = repriced.filter(good_price).select(*AT, "product_id", "actor", F.col("unit_price").alias("_price"))
+        good = repriced().filter(good_price).select(*AT, "product_id", "actor", F.col("unit_price").alias("_price"))
         priced = as_of(good, price_states, "product_id", AT, ["unit_price"], strict=True, blocks=blocks)
         about = all_products.select(F.col("ProductID").alias("_p"), "Name", "CategoryID", "Is_Active")
         images = priced.join(about, F.col("product_id") == F.col("_p")).select(
@@ -286,12 +307,22 @@ def replay(log: DataFrame, t: Tables, rules: str = "package", blocks: int | None
         )
         changed = audit_product_images(images, "actor", "event_ts").withColumnsRenamed({"event_ts": "Change_Date"})
         changed = changed.withColumn("Changed_By", nvl("actor", "system")).drop("actor")
-        return [soft_delete_audit(deleted), supplier_audit(sups_in), product_audit(prods_in), changed]
+        return [soft_delete_audit(deleted), supplier_audit(sups_in()), product_audit(prods_in()), changed]
 
     def outcomes() -> list[DataFrame]:
         unknown = F.when(~F.col("_valid"), "-20026")
         status = F.when(~F.col("_valid"), "rejected").when(idle, "no-op").otherwise("applied")
-        added = [_outcome(rows, F.col("code")) for rows in (decided, new_cats, new_sups, new_prods)]
-        return [*added, _outcome(turned(), unknown, status), price_outcomes]
-
-    return Replay(ledger, tables, outcomes, admin_audit)
+        found = [_outcome(decided, F.col("code"))]
+        for kind, rows in (("ADD_CATEGORY", new_cats), ("ADD_SUPPLIER", new_sups), ("ADD_PRODUCT", new_prods)):
+            if kind in asked:
+                found.append(_outcome(rows(), F.col("code")))
+        if asked & {"CATEGORY_OFF", "CATEGORY_ON"}:
+            found.append(_outcome(turned(), unknown, status))
+        if "SET_PRICE" in asked:  # an update of an unknown product touches no row
+            found.append(_outcome(
+                repriced(), F.when(F.col("_valid") & ~good_price, "CHK_PRICE"),
+                F.when(~F.col("_valid"), "no-op").when(good_price, "applied").otherwise("rejected"),
+            ))
+        return found
+
+    return Replay(ledger, dimensions, outcomes, admin_audit)

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
+import uuid
 from collections.abc import Iterable, Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from shelfwise.functions.dialect import blank_to_null
@@ -116,6 +119,62 @@ def append_rows(df: DataFrame, path: str, fmt: str = "parquet", by: str | None =
     (writer.partitionBy(by) if by else writer).save(path)
 
 
+class BatchLog:
+    """A store that rows are appended to batch by batch, each batch once.
+
+    An attempt writes its rows to a folder of its own, and then a commit that names
+    the folder. Readers take the rows of committed attempts only: what a broken-off
+    attempt left is never seen, and a batch that has its commit is not written again.
+    Two attempts at one batch at the same time may both write rows; the commit
+    written last counts. With ``by``, rows get one folder per value of that column.
+    """
+
+    COMMIT = "batch string, attempt string"
+
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, by: str | None = None):
+        self.spark, self.path, self.schema, self.by = spark, path, schema, by
+
+    def commits(self) -> DataFrame:
+        """``(batch, attempt)``, one row for each committed batch."""
+        try:
+            found = self.spark.read.schema("attempt string, batch string").json(f"{self.path}/commits")
+        except AnalysisException as error:
+            if "PATH_NOT_FOUND" not in str(error):
+                raise
+            return self.spark.createDataFrame([], self.COMMIT)
+        return found.filter(F.col("attempt").isNotNull()).select("batch", "attempt")
+
+    def write(self, df: DataFrame, batch: str, attempt: str) -> None:
+        """The rows of an attempt; no reader sees them yet."""
+        rows = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema])
+        writer = rows.write.mode("overwrite")
+        (writer.partitionBy(self.by) if self.by else writer).parquet(f"{self.path}/rows/batch={batch}/attempt={attempt}")
+
+    def commit(self, batch: str, attempt: str) -> None:
+        named = self.spark.createDataFrame([(attempt,)], "attempt string").coalesce(1)
+        named.write.mode("overwrite").json(f"{self.path}/commits/batch={batch}")
+
+    def append(self, df: DataFrame, batch: str) -> bool:
+        """Append ``df`` as ``batch``; False if that batch is there already."""
+        if not re.fullmatch(r"[\w.-]+", batch):
+            raise ValueError("a batch is named by letters, digits, dots and dashes")
+        if not self.commits().filter(F.col("batch") == batch).isEmpty():
+            return False
+        attempt = uuid.uuid4().hex
+        self.write(df, batch, attempt)
+        self.commit(batch, attempt)
+        return True
+
+    def read(self) -> DataFrame:
+        """The rows of all committed batches; folders of other attempts are pruned."""
+        kinds = T.StructType([*self.schema.fields, T.StructField("batch", T.StringType()), T.StructField("attempt", T.StringType())])
+        commits = self.commits()
+        if commits.isEmpty():
+            return self.spark.createDataFrame([], self.schema)
+        rows = self.spark.read.schema(kinds).parquet(f"{self.path}/rows")
+        return rows.join(commits, ["batch", "attempt"], "left_semi").select(*[f.name for f in self.schema])
+
+
 def save_tables(tables: Tables, path: str, fmt: str = "parquet") -> None:
     """Write the tables as folders below ``path``; ``load_tables`` reads them back.
 
@@ -133,19 +192,22 @@ def save_tables(tables: Tables, path: str, fmt: str = "parquet") -> None:
             (writer.option("header", "true") if fmt == "csv" else writer).save(f"{path}/{name}")
 
 
-def save_bucketed(tables: Tables, database: str, buckets: int) -> None:
+def save_bucketed(tables: Tables, database: str, buckets: int, path: str | None = None) -> None:
     """Catalog tables in which headers and items share buckets on TransactionID.
 
-    Joins of the two then need no shuffle. Other tables are written plainly.
+    Joins of the two then need no shuffle. Other tables are written plainly. Files
+    go below ``path`` where it is given, else to the warehouse. Rows are dealt to the
+    buckets before they are written, so a bucket is one file.
     """
     spark = next(iter(tables.values())).sparkSession
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
     for name, df in tables.items():
-        writer = df.write.mode("overwrite").format("parquet")
-        if name in ("transactions", "transaction_items"):
+        bucketed = name in ("transactions", "transaction_items")
+        writer = (df.repartition(buckets, "TransactionID") if bucketed else df).write.mode("overwrite").format("parquet")
+        if bucketed:
             writer = writer.bucketBy(buckets, "TransactionID").sortBy("TransactionID")
-        writer.saveAsTable(f"{database}.{name}")
+        (writer.option("path", f"{path}/{name}") if path else writer).saveAsTable(f"{database}.{name}")
 
 
-def catalog_tables(spark: SparkSession, database: str) -> Tables:
-    return {name: spark.table(f"{database}.{name}") for name in SCHEMAS}
+def catalog_tables(spark: SparkSession, database: str, names: Iterable[str] = tuple(SCHEMAS)) -> Tables:
+    return {name: spark.table(f"{database}.{name}") for name in names}

@@ -70,6 +70,49 @@ def test_rounds_are_bounded_for_unequal_quantities(spark, kind):
     assert entries == {b: (7, want[7, pos]) for b, pos in firsts.items() if pos}
 
 
+def power_events(n):
+    rng = random.Random(8)
+    return [(7, pos, rng.choice((-1, 1)) * 2 ** rng.randrange(30), 100) for pos in range(n)]
+
+
+def test_gallop_streams_blocks_without_a_shuffle(spark):
+    """Powers of two over 256 blocks: few rounds, and no round has an exchange."""
+    rows = power_events(6000)
+    placed = scan.range_blocks(spark.createDataFrame(rows, "k long, pos long, effect long, start long"), ["k"], ["pos"], 256)
+    blocks, rounds = placed.select(scan.BLOCK).distinct().count(), []
+    assert blocks > 200
+    entries = fold._entries(placed, [scan.BLOCK, "k", "effect", "start"], rounds)
+    assert len(rounds) <= fold.GUESSED + math.log2(blocks) + 2
+    plans = [frame._jdf.queryExecution().executedPlan().toString() for frames in rounds for frame in frames]
+    assert len(plans) > fold.GUESSED and not any("Exchange" in plan or "Sort" in plan for plan in plans)
+    firsts = {r[scan.BLOCK]: r["pos"] for r in placed.groupBy(scan.BLOCK).agg(F.min("pos").alias("pos")).collect()}
+    want = loop(rows)
+    assert entries == {b: (7, want[7, pos]) for b, pos in firsts.items() if pos}
+
+
+def test_folder_that_only_spark_opens(spark, monkeypatch):
+    rows = power_events(800)
+    placed = scan.range_blocks(spark.createDataFrame(rows, "k long, pos long, effect long, start long"), ["k"], ["pos"], 12)
+    monkeypatch.setattr(fold, "shared_dir", lambda spark: "nosuchscheme://bucket/folder")
+    got = {(r.k, r.pos): r.balance_before for r in fold.balance_before(placed, "k", "effect", "start").collect()}
+    assert got == loop(rows)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_short_histories_equal_placed_ones(spark, seed):
+    rng = random.Random(seed)
+    at = lambda: (rng.choice([None, *range(30)]), rng.choice([None, -5, *range(8)]))
+    places = list({at() for _ in range(60)})
+    changes = [(rng.choice([None, -1, 0, 5]), *place, rng.choice([None, 0, 1])) for place in places]
+    probes = [(rng.choice([None, -1, 0, 5, 9]), *at(), n) for n in range(300)]
+    sides = spark.createDataFrame(probes, "k long, a long, b long, n long"), spark.createDataFrame(changes, "k long, a long, b long, v int")
+    known = sides[1].filter("k IS NOT NULL")
+    got = {r.n: r.v for r in scan.as_of_short(*sides, "k", ["a", "b"], "v", 1000).collect()}
+    assert got == {r.n: r.v for r in scan.as_of(sides[0], known, "k", ["a", "b"], ["v"], blocks=3).collect()}
+    assert scan.as_of_short(*sides, "k", ["a", "b"], "v", len(changes) - 1) is None
+    assert {r.v for r in scan.as_of_short(sides[0], sides[1].filter("k > 99"), "k", ["a", "b"], "v", 9).collect()} == {None}
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_balances_equal_the_plain_loop(seed):
     rng = np.random.default_rng(seed)

@@ -248,6 +248,12 @@ def test_snapshot_audit(spark):
         PENS: ("UPDATE", "Name=Ballpoint Pen Pack Price=45 Active=1", "Name=Ballpoint Pen Pack Price=45 Active=1"),
         OIL: ("DELETE", "Name=Sunflower Oil 1L Price=180", None),
     }
+    plan = audit.changed_keys(t["products"], new, "ProductID")._jdf.queryExecution().executedPlan().toString()
+    joined = plan[plan.index("FullOuter"):].splitlines()
+    moved = [line for line in joined if "Exchange" in line or "Sort " in line or "FullOuter" in line]
+    assert moved and not any("Name" in line or "Price" in line for line in moved)  # digests alone are joined
+    null = t["products"].withColumn("CategoryID", F.when(F.col("ProductID") != PENS, F.col("CategoryID")))
+    assert [r.Record_ID for r in audit.audit_products(t["products"], null).collect()] == [PENS]
 
 
 def test_items_move_stock(spark):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import seed
 from shelfwise.model import KEYS, SCHEMAS
-from shelfwise.operators import changes, quality, reports
+from shelfwise.operators import changes, quality, report_lines, reports
 from shelfwise.sources import tables as src
 from shelfwise.sources.lookup import Lookup, ingest_by_lookup
 
@@ -53,6 +53,26 @@ def test_buckets_join_without_shuffle(spark):
         spark.sql("DROP DATABASE shop CASCADE")
 
 
+@pytest.mark.parametrize("report", ["transaction_history", "category_revenue", "sales_and_returns", "view_transactions_total"])
+def test_reports_over_buckets_shuffle_no_items(spark, tmp_path, report):
+    plain = seed.seed_tables(spark)
+    facts = ("transactions", "transaction_items")
+    src.save_bucketed({name: plain[name] for name in facts}, "piles", 4, str(tmp_path))
+    t = {**plain, **src.catalog_tables(spark, "piles", facts)}
+    ask = plain["users"].select(F.col("UserID").alias("user_id"))
+    def run(t):
+        return report_lines.view_transactions_total(t, ask) if report == "view_transactions_total" else getattr(reports, report)(t)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        shuffled, free = (run(x)._jdf.queryExecution().executedPlan().toString() for x in (plain, t))
+        assert "hashpartitioning(TransactionID" in shuffled and "hashpartitioning(TransactionID" not in free
+        assert "Bucketed: true" in free
+        assert sorted(map(str, run(t).collect())) == sorted(map(str, run(plain).collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP DATABASE piles CASCADE")
+
+
 def test_append(spark, tmp_path):
     log = seed.seed_tables(spark)["audit_log"]
     for _ in range(2):
@@ -60,6 +80,32 @@ def test_append(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "log")).count() == 2
 
 
+def test_batches_are_appended_once(spark, tmp_path):
+    """The same batch twice, and an attempt broken off before its commit: each row once."""
+    log = seed.seed_tables(spark)["audit_log"]
+    store = src.BatchLog(spark, str(tmp_path / "log"), SCHEMAS["audit_log"], by="Table_Name")
+    assert store.read().count() == 0
+    store.write(log, "2026-01-02", "broken")  # no commit followed
+    assert store.read().count() == 0
+    assert store.append(log, "2026-01-02") and not store.append(log, "2026-01-02")
+    assert store.append(log.withColumn("LogID", F.col("LogID") + 100), "007") and not store.append(log, "007")
+    store.write(log, "007", "late")
+    got = store.read()
+    assert got.columns == log.columns and got.schema.simpleString() == log.schema.simpleString()
+    assert sorted(r.LogID for r in got.collect()) == sorted(r.LogID + n for r in log.collect() for n in (0, 100))
+    assert sorted(r.batch for r in store.commits().collect()) == ["007", "2026-01-02"]
+    with pytest.raises(ValueError):
+        store.append(log, "a/b")
+
+
+def test_commit_that_was_broken_off(spark, tmp_path):
+    """A commit folder without a row is no commit; the batch is appended by the next attempt."""
+    log = seed.seed_tables(spark)["audit_log"]
+    store = src.BatchLog(spark, str(tmp_path), SCHEMAS["audit_log"])
+    (tmp_path / "commits" / "batch=1" / "_temporary").mkdir(parents=True)
+    assert store.append(log, "1") and store.read().count() == log.count()
+
+
 def test_defaults(spark):
     rows = spark.createDataFrame([(1, "x")], "LogID long, Table_Name string").withColumn("Operation", F.lit("INSERT"))
     got = src.apply_defaults(rows, "audit_log", seed.NOW, "raj").first()
