@@ -33,6 +33,10 @@ BAD = frozenset(
     "copyright legal hidden complementary contentinfo search form tags paywall".split()
 )
 GOOD = frozenset("article content post entry story body text main maintext articlebody".split())
+#: Of an article's own names only these mark boilerplate: each reader comment may be an article.
+COMMENT = frozenset("comment comments commentlist reply replies".split())
+#: What may stand in a head; anything else ends it, as its end tag may be left out.
+HEAD = frozenset("base link meta noscript script style template title".split())
 CLOSES = {
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]),
     "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]),
@@ -54,11 +58,15 @@ class Element:
     def __init__(self, tag: str, attrs: list, parent: Element | None):
         self.tag, self.parent, self.holds = tag, parent, False
         named = dict(attrs)
-        words = {t.lower() for key in ("class", "id", "role") for t in TOKEN.findall(named.get(key) or "")} if tag not in ("html", "body") else set()
+        names = [name for key in ("class", "id", "role") for name in (named.get(key) or "").split()] if tag not in ("html", "body") else []
+        words: set[str] = set()
+        for name in names:
+            own = {t.lower() for t in TOKEN.findall(name)}
+            words |= own - {"header"} if own & GOOD else own  # a post-header has the title
         style = SPACE.sub("", named.get("style") or "").lower()
         self.unseen = tag in UNSEEN or "hidden" in named or named.get("aria-hidden") == "true" or "display:none" in style
         self.good = tag in ARTICLE or bool(words & GOOD)
-        self.bad = tag in FRAME or bool(words & BAD)
+        self.bad = tag in FRAME or bool(words & (COMMENT if tag in ARTICLE else BAD))
 
 
 class Block:
@@ -74,7 +82,7 @@ class Blocks(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack, self.blocks = [Element("#page", [], None)], []
-        self.parts, self.linked, self.links, self.unseen = [], 0, 0, 0
+        self.parts, self.linked, self.links, self.unseen, self.heads = [], 0, 0, 0, 0
 
     def flush(self) -> None:
         text = SPACE.sub(" ", "".join(self.parts)).strip()
@@ -88,12 +96,23 @@ class Blocks(HTMLParser):
     def pop(self, at: int) -> None:
         for element in self.stack[at:]:
             self.links -= element.tag == "a"
+            self.heads -= element.tag == "head"
             self.unseen -= element.unseen
         del self.stack[at:]
 
+    def end_head(self) -> None:
+        """The open head ends, with what is open in it."""
+        if not self.heads:
+            return
+        at = next(k for k, element in enumerate(self.stack) if element.tag == "head")
+        if all(element.tag not in ("title", "script", "style", "template", "noscript") for element in self.stack[at:]):
+            self.pop(at)
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag not in INLINE:
             self.flush()
+        if tag not in HEAD and tag != "head":
+            self.end_head()
         if tag in VOID:
             return
         closes = CLOSES.get(tag) or (frozenset(["p"]) if tag in ENDS_P else None)
@@ -106,10 +125,11 @@ class Blocks(HTMLParser):
                 if own in SCOPES:
                     break
         element = Element(tag, attrs, self.stack[-1])
-        if tag in ARTICLE:
+        if tag in ARTICLE and not element.bad:
             for outer in self.stack:
                 outer.holds = True
         self.links += tag == "a"
+        self.heads += tag == "head"
         self.unseen += element.unseen
         self.stack.append(element)
 
@@ -125,6 +145,8 @@ class Blocks(HTMLParser):
                 break
 
     def handle_data(self, data: str) -> None:
+        if self.stack[-1].tag == "head" and data.strip():
+            self.end_head()
         if not self.unseen:
             self.parts.append(data)
             if self.links:

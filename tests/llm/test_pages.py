@@ -147,6 +147,14 @@ RICH = """<html><head><title>No</title><style>p {}</style></head><body class="ha
     (None, ""), ("", ""), ("<p></p>", ""), ("<nav><a href=x>Menu of the page</a></nav>", ""),
     ("Only a text without any markup, which is long enough.", "Only a text without any markup, which is long enough."),
     ("<p>An open <b>bold and <p>another paragraph, much longer than it.</p>", "An open bold and\nanother paragraph, much longer than it."),
+    # no end of the head; names of an article and of a title's box that sound like boilerplate; comments that are articles
+    ("<html><head><title>No</title><meta charset=utf-8><body><article><h1>Title</h1><p>The whole article stands here.</p></article>", "Title\nThe whole article stands here."),
+    ("<html><head><title>No</title><script>x()</script><p>A page without a body tag, and without an end of its head.</p>", "A page without a body tag, and without an end of its head."),
+    ('<article class="legal-news"><h1>Ruling</h1><p>The court has decided on the matter today.</p></article>', "Ruling\nThe court has decided on the matter today."),
+    ('<main class="search-results"><p>What was found is told in these many words here.</p></main>', "What was found is told in these many words here."),
+    ('<article><div class="post-header"><h1>A title</h1></div><p>And the text of the article below it.</p></article>', "A title\nAnd the text of the article below it."),
+    ('<main><article><p>The article itself, with its own words in it.</p></article><section class="comments"><article class="comment">'
+     '<p>A reader says that this was good to read, and says so at length.</p></article></section></main>', "The article itself, with its own words in it."),
     (RICH, "The & Title\nFirst paragraph with a link and text.\nShort.\none\ntwo\nQuoted words <b>"),
 ])
 def test_main_text(html, text):
