@@ -9,18 +9,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Rows sampled of a label, about, however many labels there are.
+LEAST = 30
 
-def bounded_sample(rows: DataFrame, label: str, per_label: int, max_labels: int) -> DataFrame:
+
+def bounded_sample(rows: DataFrame, label: str, per_label: int, work: int) -> DataFrame:
     """About ``per_label`` rows of each label, chosen by a hash of doc_id and text; the same rows on every run.
 
-    Expected size ``per_label * max_labels`` at most; with more labels the most
-    frequent ones are learned. Counts cover all rows.
+    Every label that is not null is learned. An update costs as much as there are
+    labels, so with many of them each gets fewer rows: ``work`` bounds sampled rows
+    times labels, down to LEAST rows a label. Counts cover all rows; the driver sees
+    one row for each label.
     """
-    counts = rows.groupBy(label).agg(F.count("*").alias("n")).orderBy(F.desc("n"), label).limit(max_labels).collect()
+    counts = rows.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("_label")).agg(F.count("*").alias("_n")).collect()
     if not counts:
         return rows.where("false")
-    rates = F.create_map(*[F.lit(x) for row in counts for x in (row[label], min(1.0, per_label / row["n"]))])
-    return rows.where(_share(F.xxhash64("doc_id", "text")) < rates[F.col(label)])
+    each = min(per_label, max(LEAST, work // len(counts) ** 2))
+    rates = rows.sparkSession.createDataFrame([(r["_label"], min(1.0, each / r["_n"])) for r in counts], rows.select(F.col(label).alias("_label")).schema.add("_rate", "double"))
+    chosen = rows.join(F.broadcast(rates), F.col(label) == F.col("_label"))  # a row for each label
+    return chosen.where(_share(F.xxhash64("doc_id", "text")) < F.col("_rate")).select(*rows.columns)
 
 
 def _share(h: Column) -> Column:

@@ -128,7 +128,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     """
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("label"))
     known = known.where(~held_out() & F.col("label").isin(0, 1)).withColumn("text", F.lit(""))
-    chosen = linear.bounded_sample(known, "label", PER_LABEL, 2).select("doc_id", "label")
+    chosen = linear.bounded_sample(known, "label", PER_LABEL, 4 * PER_LABEL).select("doc_id", "label")
     small = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # twice PER_LABEL rows
     rows = small.join(F.broadcast(chosen), "doc_id").select("label", "text", F.xxhash64("doc_id", "text").alias("order"))
