@@ -5,7 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,13 +75,24 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.lower(rest) == rest, F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
+def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Words between ASCII white space: where each text's words begin and the last ones end, each word's place among the distinct ones, and those.
+
+    A null text has one word, which is empty, as others may be.
+    """
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    ends = lists.offsets.to_numpy()
+    coded = lists.values[ends[0]:ends[-1]].dictionary_encode()
+    return ends - ends[0], coded.indices.to_numpy(), coded.dictionary
+
+
 def arrow_schema(ddl: str) -> pa.Schema:
     kinds = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string())}
     return pa.schema([(name, kinds[kind]) for name, kind in (part.split() for part in ddl.split(", "))])
 
 
-def map_slices(df: DataFrame, work: Callable[[pa.RecordBatch], list], ddl: str, keep: bool = False) -> DataFrame:
-    """``mapInArrow`` in slices: ``work`` gets a record batch and returns the columns named in ``ddl``.
+def map_slices(df: DataFrame, work: Callable[[pa.RecordBatch], list], ddl: str, keep: bool = False, rows: int = SLICE) -> DataFrame:
+    """``mapInArrow`` in slices of ``rows``: ``work`` gets a record batch and returns the columns named in ``ddl``.
 
     With ``keep`` the input columns stay in front (``work`` must then return one value for each row).
     """
@@ -87,8 +100,8 @@ def map_slices(df: DataFrame, work: Callable[[pa.RecordBatch], list], ddl: str,
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
                 made = [pa.array(values, kind) for values, kind in zip(work(part), schema.types)]
                 if keep:
                     yield pa.RecordBatch.from_arrays([*part.columns, *made], [*part.schema.names, *schema.names])

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
 from functools import cache
@@ -13,58 +13,49 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import arrow_schema, map_slices, settle, table
+from shelfwise.llm.common import map_slices, settle, table
+from shelfwise.llm.token_counts import PreTokens, runs
 
 MAX_TOKENS = 4096
 END_ID = 1
-#: Words whose ids a task remembers before it starts anew.
+#: Pre-tokens whose ids a task remembers before it starts anew.
 REMEMBERED = 300_000
-#: How the tokenizer cuts lower-cased ASCII text.
-ASCII_CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+#: Texts whose distinct words are looked up together.
+ROWS = 1024
 
 
-class WordIds(dict):
-    """Token ids of words without blanks, as little-endian unsigned 32-bit bytes, made on first use.
-
-    The tokenizer drops white space and never joins across it, so the ids of a
-    text are those of its words in turn. ASCII words are cut once more, at the
-    same places as the tokenizer cuts them, which leaves fewer distinct pieces.
-    """
+class TokenIds(dict):
+    """Token ids of pre-tokens, as little-endian unsigned 32-bit bytes, made on first use."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.pieces = Tokenizer.from_file(path), {}
+        self.cutter = PreTokens(path)
 
-    def encode(self, piece: str) -> bytes:
-        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __missing__(self, word: str) -> bytes:
+    def __missing__(self, pre_token: str) -> bytes:
         if len(self) > REMEMBERED:
             self.clear()
-        if len(self.pieces) > REMEMBERED:
-            self.pieces.clear()
-        if word.isascii() and "<|" not in word:
-            ids = b""
-            for piece in ASCII_CUT.findall(word.lower()):
-                found = self.pieces.get(piece)
-                if found is None:
-                    found = self.pieces[piece] = self.encode(piece)
-                ids += found
-        else:
-            ids = self.encode(word)
-        if len(word) <= 64:
-            self[word] = ids
+        ids = array("I", self.cutter.token_ids(pre_token)).tobytes()
+        if len(pre_token) <= 64:
+            self[pre_token] = ids
         return ids
 
-    def text(self, text: str | None) -> bytes:
-        words = (text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        return b"".join([self[word] for word in words if word])
+    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and where each text's begin and the last ones end.
+
+        Distinct pre-tokens are looked up once for all the texts, then laid out by position.
+        """
+        cut = self.cutter.cut(texts)
+        found = [self[pre_token] for pre_token in cut.pre_tokens.to_pylist()]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        own = np.diff(cut.begins)[cut.places]
+        order = cut.ids[runs(cut.begins[cut.places], own)]  # pre-tokens in the order of the texts
+        ids = np.frombuffer(b"".join(found), np.uint32)[runs((np.cumsum(sizes) - sizes)[order], sizes[order])]
+        after, before = np.concatenate(([0], np.cumsum(sizes[order]))), np.concatenate(([0], np.cumsum(own)))
+        return ids.astype("<u4", copy=False), after[before[cut.ends]]
 
 
 @cache
-def word_ids(path: str) -> WordIds:
-    return WordIds(path)
+def token_ids(path: str) -> TokenIds:
+    return TokenIds(path)
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKENS, end_id: int = END_ID) -> DataFrame:
@@ -72,17 +63,18 @@ def token_pieces(docs: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKENS,
     end, wide = end_id.to_bytes(4, "little"), 4 * max_tokens
 
     def cut(part: pa.RecordBatch) -> list:
-        rows, ids = [], word_ids(tokenizer)
-        for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-            data = ids.text(text) + end
-            for piece, at in enumerate(range(0, len(data), wide)):
-                own = data[at:at + wide]
-                rows.append((doc_id, piece, at // 4, len(own) // 4, zlib.crc32(own)))
+        rows = []
+        ids, at = token_ids(tokenizer).texts(part.column(1))
+        for doc_id, a, b in zip(part.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist()):
+            data = ids[a:b].tobytes() + end
+            for piece, begin in enumerate(range(0, len(data), wide)):
+                own = data[begin:begin + wide]
+                rows.append((doc_id, piece, begin // 4, len(own) // 4, zlib.crc32(own)))
         return list(zip(*rows)) or [[]] * 5
 
     return map_slices(
         docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")), cut,
-        "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint",
+        "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint", rows=ROWS,
     )
 
 

@@ -4,37 +4,57 @@ from __future__ import annotations
 
 import json
 import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import cache
 from hashlib import sha256
+from itertools import chain
 from pathlib import Path
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import SLICE, arrow_schema, map_slices, settle, table
+from shelfwise.llm.common import map_slices, settle, split_words, table
 
 LIMIT = 2048
 #: Longest pre-token that is its own key; of longer ones the key is a digest, and the text moves once for each task.
 OWN_KEY = 40
 #: Pre-tokens whose counts are sent to all tasks, the most frequent ones: at most so many, each of OWN_KEY characters or a digest.
 COMMON = 1 << 16
-#: Distinct words, and characters of long ones, that a task holds before it passes its counts on.
-HELD, HELD_CHARS = 200_000, 1 << 23
-LONG = 256
-#: How the word tokenizers cut printable lower-cased ASCII.
-ASCII_CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
-ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Distinct pre-tokens, and bytes of them, that a task holds before it passes its counts on.
+HELD, HELD_BYTES = 1_000_000, 1 << 26
+#: Texts whose distinct words are cut together.
+ROWS = 2048
+#: How the word tokenizers cut lower-cased text, and the texts that need nothing else before: letters below U+0250, but
+#: for U+0130, which becomes two, and no white space beyond ASCII's. There composing changes nothing.
+WORD_CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+SIMPLE = r"^[\x00-\x{84}\x{86}-\x{9F}\x{A1}-\x{12F}\x{131}-\x{24F}]*$"
+
+
+class Cut(NamedTuple):
+    """Texts as words, and distinct words as pre-tokens.
+
+    The words of text k are ``places[ends[k]:ends[k + 1]]``; the pre-tokens of word
+    w are ``ids[begins[w]:begins[w + 1]]``, places in ``pre_tokens``.
+    """
+
+    ends: np.ndarray
+    places: np.ndarray
+    begins: np.ndarray
+    ids: np.ndarray
+    pre_tokens: pa.Array
 
 
 class PreTokens:
     """Cuts texts into pre-tokens as a tokenizer file of the ``tokenizers`` library says, and counts their pieces.
 
-    Special strings inside a text are one token each, as is the library's default.
-    Where the tokenizer drops white space and joins nothing across it, a text is
-    first split at blanks, so that each distinct word is cut once.
+    Special strings inside a text are one token each, as is the library's default;
+    among the pre-tokens they stand behind a blank. Where the tokenizer drops white space and joins nothing across it, a text is
+    first split at blanks, so that each distinct word is cut once; simple words are
+    cut all at once by a regular expression, others by the library.
     """
 
     def __init__(self, path: str):
@@ -47,38 +67,72 @@ class PreTokens:
         if any(a["single_word"] or a["lstrip"] or a["rstrip"] for a in added):
             raise ValueError("special strings that depend on what stands beside them are not supported")
         strings = sorted((a["content"] for a in added), key=len, reverse=True)
-        self.special = re.compile("|".join(map(re.escape, strings))) if strings else None
-        self.fast = ASCII_PATTERN in json.dumps(spec["pre_tokenizer"], ensure_ascii=False).replace("\\\\", "\\") and "Lowercase" in json.dumps(spec["normalizer"])
+        self.special = re.compile(f"({'|'.join(map(re.escape, strings))})") if strings else None
+        self.special_ids = {f" {a['content']}": a["id"] for a in added}
         self.by_words = all(self._library(f"a{blank}b") == ["a", "b"] for blank in " \n\t\r")
+        patterns = [str(x.get("pattern", {}).get("Regex")) for x in (spec["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        self.simple = self.by_words and WORD_CUT in patterns and "Lowercase" in json.dumps(spec["normalizer"])
+        self.memo: dict[str, list[str]] = {}
 
     def _library(self, text: str) -> list[str]:
+        """Pre-tokens as they stand in the normalised text."""
         normal, cut = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
         text = normal.normalize_str(text) if normal else text
-        return [piece for piece, _ in cut.pre_tokenize_str(text)] if cut else [text] if text else []
-
-    def units(self, text: str | None) -> list[str]:
-        """What a text is counted in: words where blanks separate, else the text itself."""
-        if not text:
-            return []
-        if not self.by_words:
-            return [text]
-        return [word for word in text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if word]
-
-    def cut(self, unit: str) -> tuple[list[str], int]:
-        """Pre-tokens of a unit, and the number of special strings in it."""
-        parts, found = [unit], 0
-        if self.special and self.special.search(unit):
-            found, parts = len(self.special.findall(unit)), [p for p in self.special.split(unit) if p]
-        out = []
-        for part in parts:
-            if self.fast and part.isascii() and part.isprintable():
-                out += ASCII_CUT.findall(part.lower())
-            else:
-                out += self._library(part)
-        return out, found
-
-    def pieces(self, pre_token: str) -> int:
-        return len(self.tokenizer.model.tokenize(pre_token))
+        return [text[a:b] for _, (a, b) in cut.pre_tokenize_str(text)] if cut else [text] if text else []
+
+    def _cut_one(self, word: str) -> list[str]:
+        found = self.memo.get(word)
+        if found is None:
+            found = []
+            for k, part in enumerate(self.special.split(word) if self.special else [word]):
+                found += [f" {part}"] if k % 2 else self._library(part) if part else []
+            if len(self.memo) > HELD // 4:
+                self.memo.clear()
+            if len(word) <= OWN_KEY:
+                self.memo[word] = found
+        return found
+
+    def cut(self, texts: pa.Array) -> Cut:
+        if self.by_words:
+            ends, places, words = split_words(texts)
+        else:
+            coded = pc.fill_null(texts, "").dictionary_encode()
+            ends, places, words = np.arange(len(texts) + 1), coded.indices.to_numpy(), coded.dictionary
+        simple = np.zeros(len(words), bool)
+        if self.simple and len(words):
+            simple = pc.match_substring_regex(words, SIMPLE).to_numpy(zero_copy_only=False)
+            if self.special:
+                simple = simple & ~pc.match_substring_regex(words, self.special.pattern).to_numpy(zero_copy_only=False)
+        lower = pc.utf8_lower(words)
+        whole = simple & pc.match_substring_regex(lower, r"^\p{Ll}*$").to_numpy(zero_copy_only=False)  # one pre-token
+        mixed, hard = simple & ~whole, ~simple
+        spaced = pc.replace_substring_regex(lower.filter(pa.array(mixed)), f"({WORD_CUT})", r"\1 ")
+        quick = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(spaced))
+        slow = [self._cut_one(word) for word in words.filter(pa.array(hard)).to_pylist()]
+        flat = pa.concat_arrays([lower.filter(pa.array(whole)), quick.flatten(), pa.array(chain.from_iterable(slow), pa.string())])
+        sizes = np.ones(len(words), np.int64)
+        sizes[mixed], sizes[hard] = np.diff(quick.offsets.to_numpy()), [len(own) for own in slow]
+        turn = np.concatenate([np.flatnonzero(kind) for kind in (whole, mixed, hard)])  # the order in which words lie in flat
+        begins = np.concatenate(([0], np.cumsum(sizes)))
+        coded, ids = flat.dictionary_encode(), np.empty(len(flat), np.int64)
+        ids[runs(begins[turn], sizes[turn])] = coded.indices.to_numpy()
+        return Cut(ends, places, begins, ids, coded.dictionary)
+
+    def token_ids(self, pre_token: str) -> list[int]:
+        """The ids of a pre-token, given as it stands in the normalised text."""
+        if pre_token in self.special_ids:
+            return [self.special_ids[pre_token]]
+        cut, model = self.tokenizer.pre_tokenizer, self.tokenizer.model
+        own = [pre_token]
+        if cut and not (pre_token.isascii() and pre_token.isprintable() and " " not in pre_token):  # those are written as other signs
+            own = [piece for piece, _ in cut.pre_tokenize_str(pre_token)]
+        return [token.id for piece in own if piece for token in model.tokenize(piece)]
+
+
+def runs(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each of ``begins`` on, as many as ``sizes`` says, one run after another."""
+    after = np.cumsum(sizes)
+    return np.repeat(begins - (after - sizes), sizes) + np.arange(after[-1] if len(after) else 0)
 
 
 @cache
@@ -86,9 +140,16 @@ def pre_tokens(path: str) -> PreTokens:
     return PreTokens(path)
 
 
-def key_of(pre_token: str) -> str:
-    """The pre-token, or " " and a digest; no pre-token of that length begins with a blank and has so many characters."""
-    return pre_token if len(pre_token) <= OWN_KEY else " " + sha256(pre_token.encode()).hexdigest()
+def keys_of(pre_tokens: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Keys of pre-tokens, and the texts of those that are not their own key (others null).
+
+    A long one's key is " " and a digest; no short pre-token is as long as that.
+    """
+    long = pc.greater(pc.utf8_length(pre_tokens), OWN_KEY)
+    if not pc.any(long).as_py():
+        return pre_tokens, pa.nulls(len(pre_tokens), pa.string())
+    digests = [" " + sha256(p.encode()).hexdigest() for p in pre_tokens.filter(long).to_pylist()]
+    return pc.replace_with_mask(pre_tokens, long, pa.array(digests, pa.string())), pc.if_else(long, pre_tokens, pa.scalar(None, pa.string()))
 
 
 def vocabulary(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -96,43 +157,26 @@ def vocabulary(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     Tasks count before anything moves; each distinct pre-token is encoded once.
     """
-    schema = arrow_schema("key string, pre_token string, n bigint")
 
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter = pre_tokens(tokenizer)
-        units, counts, long_ones, chars = Counter(), Counter(), {}, 0
-
-        def add(unit: str, times: int) -> int:
-            added = 0
-            for pre in cutter.cut(unit)[0]:
-                key = key_of(pre)
-                counts[key] += times
-                if key is not pre and key not in long_ones:
-                    long_ones[key] = pre
-                    added += len(pre)
-            return added
-
-        def passed_on() -> pa.RecordBatch:
-            for unit, times in units.items():
-                add(unit, times)
-            columns = [list(counts), [long_ones.get(key) for key in counts], list(counts.values())]
-            units.clear(), counts.clear(), long_ones.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
+    def merged_counts(parts: list[pa.Table]) -> pa.Table:
+        grouped = pa.concat_tables(parts).group_by("key").aggregate([("pre_token", "max"), ("n", "sum")])
+        return grouped.rename_columns({"pre_token_max": "pre_token", "n_sum": "n"}).select(["key", "pre_token", "n"])
 
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter, parts = pre_tokens(tokenizer), []
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                for text in batch.column(0).slice(at, SLICE):
-                    found = cutter.units(text.as_py())
-                    if cutter.by_words:
-                        units.update(found)
-                    else:
-                        chars += sum(add(unit, 1) for unit in found)
-                for unit in [u for u in units if len(u) > LONG]:
-                    chars += add(unit, units.pop(unit))
-                if len(units) > HELD or len(counts) > HELD or chars > HELD_CHARS:
-                    chars = 0
-                    yield passed_on()
-        yield passed_on()
+            for at in range(0, batch.num_rows, ROWS):
+                cut = cutter.cut(batch.column(0).slice(at, ROWS))
+                words = np.bincount(cut.places, minlength=len(cut.begins) - 1)
+                n = np.bincount(cut.ids, np.repeat(words, np.diff(cut.begins)), len(cut.pre_tokens)).astype(np.int64)
+                keys, texts = keys_of(cut.pre_tokens)
+                parts.append(pa.table({"key": keys, "pre_token": texts, "n": n}).filter(pc.not_equal(keys, "")))
+                if sum(p.num_rows for p in parts) > HELD or sum(p.nbytes for p in parts) > HELD_BYTES:
+                    parts = [merged_counts(parts)]
+                    if parts[0].num_rows > HELD // 2 or parts[0].nbytes > HELD_BYTES // 2:
+                        yield from parts.pop().to_batches()
+        if parts:
+            yield from merged_counts(parts).to_batches()
 
     counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "key string, pre_token string, n bigint")
     merged = counted.groupBy("key").agg(F.sum("n").alias("n"), F.max("pre_token").alias("pre_token"))
@@ -140,7 +184,7 @@ def vocabulary(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     def encode(part: pa.RecordBatch) -> list:
         cutter = pre_tokens(tokenizer)
-        return [part.column(0), part.column(1), [cutter.pieces(p) for p in part.column(2).to_pylist()]]
+        return [part.column(0), part.column(1), [len(cutter.token_ids(p)) for p in part.column(2).to_pylist()]]
 
     return settle(map_slices(merged, encode, "key string, n bigint, pieces bigint"), "pre-tokens")
 
@@ -171,35 +215,37 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = LIMIT, most: int
     small = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     words = vocabulary(small, tokenizer)
     least = common_from(words, most)
-    common = {r["key"]: r["pieces"] for r in words.where(F.col("n") >= least).select("key", "pieces").collect()}  # ``most`` rows
-    sent = small.sparkSession.sparkContext.broadcast(common)
-    memo: dict[str, tuple[int, list[str]]] = {}  # each task has its own
+    common = words.where(F.col("n") >= least).select("key", "pieces").toArrow()  # ``most`` rows at most
+    known = pa.concat_arrays([pa.array([""]), *common.column("key").chunks]), np.concatenate(([0], common.column("pieces").to_numpy(), [0]))
+    sent = small.sparkSession.sparkContext.broadcast(known)
 
     def look_up(part: pa.RecordBatch) -> list:
-        cutter, known = pre_tokens(tokenizer), sent.value
-        sums, keys, times = [], [], []
-        if len(memo) > HELD:
-            memo.clear()
-        for text in part.column("text").to_pylist():
-            total, rest = 0, Counter()
-            for unit, n in Counter(cutter.units(text)).items():
-                found = memo.get(unit)
-                if found is None:
-                    pres, special = cutter.cut(unit)
-                    own = [key_of(p) for p in pres]
-                    found = special + sum(known.get(k, 0) for k in own), [k for k in own if k not in known]
-                    if len(unit) <= LONG:
-                        memo[unit] = found
-                total += n * found[0]
-                for key in found[1]:
-                    rest[key] += n
-            sums.append(total), keys.append(list(rest)), times.append(list(rest.values()))
-        return [part.column("doc_id"), part.column("n_bytes"), sums, keys, times]
+        known, pieces = sent.value
+        cut = pre_tokens(tokenizer).cut(part.column("text"))
+        keys = keys_of(cut.pre_tokens)[0]
+        at = pc.fill_null(pc.index_in(keys, known), len(known)).to_numpy()
+        rare = at == len(known)
+        totals = np.concatenate(([0], np.cumsum(pieces[at[cut.ids]])))
+        own = totals[cut.begins[1:]] - totals[cut.begins[:-1]]
+        totals = np.concatenate(([0], np.cumsum(own[cut.places])))
+        # pre-tokens to be joined: (text, pre-token) for each occurrence, then counted
+        loose = np.concatenate(([0], np.cumsum(rare[cut.ids])))
+        loose = (loose[cut.begins[1:]] > loose[cut.begins[:-1]])[cut.places]
+        spots = np.flatnonzero(loose)
+        held = cut.places[spots]
+        sizes = (cut.begins[1:] - cut.begins[:-1])[held]
+        ids, rows = cut.ids[runs(cut.begins[held], sizes)], np.repeat(np.searchsorted(cut.ends, spots, "right") - 1, sizes)
+        pairs, times = np.unique((rows * len(rare) + ids)[rare[ids]], return_counts=True)
+        ends = pa.array(np.searchsorted(pairs, np.arange(part.num_rows + 1) * len(rare)), pa.int32())
+        return [
+            part.column("doc_id"), part.column("n_bytes"), totals[cut.ends[1:]] - totals[cut.ends[:-1]],
+            pa.ListArray.from_arrays(ends, keys.take(pa.array(pairs % max(1, len(rare))))), pa.ListArray.from_arrays(ends, pa.array(times, pa.int64())),
+        ]
 
     sized = small.withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint"))
     ddl = "doc_id bigint, n_bytes bigint, known bigint, keys array<string>, times array<bigint>"
     # numbered in a table of its own, so that a repeated task can't number rows anew
-    rows = settle(map_slices(sized, look_up, ddl).withColumn("row", F.monotonically_increasing_id()), "token-sums")
+    rows = settle(map_slices(sized, look_up, ddl, rows=ROWS).withColumn("row", F.monotonically_increasing_id()), "token-sums")
     whole = rows.where(F.size("keys") == 0).select("doc_id", "n_bytes", F.col("known").alias("n_tokens"))
     loose = rows.where(F.size("keys") > 0).select("row", "doc_id", "n_bytes", "known", F.explode(F.arrays_zip("keys", "times")).alias("at"))
     rare = words.where(F.col("n") < least).select("key", "pieces")
