@@ -25,9 +25,9 @@ OWN_KEY = 40
 #: Pre-tokens whose counts are sent to all tasks, the most frequent ones: at most so many, each of OWN_KEY characters or a digest.
 COMMON = 1 << 16
 #: Distinct pre-tokens, and bytes of them, that a task holds before it passes its counts on.
-HELD, HELD_BYTES = 1_000_000, 1 << 26
+HELD, HELD_BYTES = 500_000, 1 << 25
 #: Texts whose distinct words are cut together.
-ROWS = 2048
+ROWS = 1024
 #: How the word tokenizers cut lower-cased text, and the texts that need nothing else before: letters below U+0250, but
 #: for U+0130, which becomes two, and no white space beyond ASCII's. There composing changes nothing.
 WORD_CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
