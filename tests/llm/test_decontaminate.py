@@ -65,7 +65,8 @@ def tables(spark, make_docs):
         rows.append((2000 + k, " ".join(other(50) + text[:len(text) // 3] + other(50))))
     rows += [(3000, None), (3001, ""), (3002, items[34][1]), (None, items[0][1]), (3003, "too short here")]
     rows += [(3004, " ".join(other(60_000) + items[7][1].split() + other(60_000)))]
-    want |= {3002: {34}, None: {0}, 3004: {7}}
+    rows += [(3005, "Too, short; HERE!"), (3006, "too short - here"), (3007, "here too short"), (3008, "toot short here"), (3009, "too short there")]
+    want |= {3002: {34}, None: {0}, 3003: {30}, 3004: {7}, 3005: {30}, 3006: {30}}
     return make_docs(rows), spark.createDataFrame(items, "item_id bigint, text string"), want
 
 
@@ -80,6 +81,34 @@ def test_items_are_found_and_clean_documents_left(tables, monkeypatch, together,
     assert got == want
 
 
+def test_scans_are_bounded(tables, monkeypatch, spark):
+    """Vectors hold a group's own terms, and a scan's vectors stay below their limit."""
+    docs, benchmark, want = tables
+    monkeypatch.setattr(d, "TOGETHER", 4)
+    vocabulary, _, groups, _ = d.searchers(spark, docs, benchmark)
+    assert len(groups) > 5 and all(len(g.latent) == len(g.terms) < len(vocabulary) for g in groups)
+    monkeypatch.setattr(d, "SCAN_BYTES", 3 * groups[0].bytes)
+    scans = d.in_scans(groups)
+    assert len(scans) > 1 and sum(scans, []) == groups
+    assert all(sum(g.bytes for g in scan) <= d.SCAN_BYTES or len(scan) == 1 for scan in scans)
+
+
+def test_numbers_are_those_of_the_words():
+    import pyarrow as pa
+
+    texts = [None, "", " x ", "The CAT, the--dog's £5 ½x", "naïve ÉCOLE straße ß", "a\u00a0b c\u3000d\x1ce\x85f", "İstanbul i̇stanbul", "... !! --", "日本 cat", "²x ªb º", "cat\tdog\ncat"]
+    vocabulary = {w: k + 3 for k, w in enumerate(["cat", "thedogs", "école", "a", "b", "d", "e", "½x", "straße", "日本", "i̇stanbul", "ªb", "dog"])}
+    numbers, ends = d.TermIds(vocabulary).texts(pa.array(texts, pa.string()))
+    assert [numbers[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == [[vocabulary.get(w, -1) for w in d.words(t)] for t in texts]
+
+
+def test_only_short_items(spark, make_docs):
+    benchmark = spark.createDataFrame([(1, "yes"), (2, "no no"), (3, "no no"), (None, "a b c d")], "item_id bigint, text string")
+    rows = [(1, "Yes."), (2, "no, yes no"), (3, "no No"), (4, "x a b c d"), (5, "a b c"), (6, None)]
+    got = {r["doc_id"]: r["item_ids"] for r in d.find(make_docs(rows), benchmark).collect()}
+    assert got == {1: [1], 2: [1], 3: [2, 3], 4: [None], 5: [], 6: []}
+
+
 @pytest.mark.parametrize("size, before", [(2000, 850), (2000, 1000), (2000, 1200), (4000, 1500)])
 def test_long_items_across_segments(spark, make_docs, size, before):
     rng = random.Random(size + before)
