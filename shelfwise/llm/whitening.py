@@ -7,6 +7,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +36,7 @@ def blocks_of(vectors: DataFrame) -> DataFrame:
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(1)
-            held = pa.compute.fill_null(pa.compute.list_value_length(lists), -1).to_numpy()
+            held = pc.fill_null(pc.list_value_length(lists), -1).to_numpy()
             flat = lists.flatten().to_numpy(zero_copy_only=False)  # null entries become NaN
             ends = np.cumsum(np.maximum(held, 0))
             ids = batch.column(0)
