@@ -200,7 +200,7 @@ def save_bucketed(tables: Tables, database: str, buckets: int, path: str | None
     buckets before they are written, so a bucket is one file.
     """
     spark = next(iter(tables.values())).sparkSession
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}" + (f" LOCATION '{path}'" if path else ""))
     for name, df in tables.items():
         bucketed = name in ("transactions", "transaction_items")
         writer = (df.repartition(buckets, "TransactionID") if bucketed else df).write.mode("overwrite").format("parquet")
