@@ -1650,15 +1650,16 @@ COMPACT = 2  # so few that a run of four batches merges some
 def _streamed(spark: SparkSession, sf_dir: str, parts: int = 4) -> tuple[Tables, str]:
     """The commands as a feed that grows by one slice of time after the other; each slice is a micro-batch."""
     t, base = retail_tables(spark, sf_dir), _fresh_folder(spark)
-    cmds = retail_commands(spark, sf_dir)
+    kinds = retail_commands(spark, sf_dir).schema
+    retail_commands(spark, sf_dir).write.parquet(f"{base}/commands")  # joined once; the slices only filter
+    cmds = spark.read.schema(kinds).parquet(f"{base}/commands")
     first, last = cmds.agg(F.min("event_ts"), F.max("event_ts")).first()
     cuts = [first + (last - first) * k / parts for k in range(1, parts)]
     at = F.lit(0)
     for cut in cuts:
         at = at + (F.col("event_ts") > F.lit(cut)).cast("int")
-    cmds.withColumn("slice", at).write.partitionBy("slice").parquet(f"{base}/slices")
     for k in range(parts):
-        spark.read.schema(cmds.schema).parquet(f"{base}/slices/slice={k}").write.mode("append").parquet(f"{base}/feed")
+        cmds.filter(at == k).write.mode("append").parquet(f"{base}/feed")
         feed = spark.readStream.schema(cmds.schema).parquet(f"{base}/feed")
         _run_to_end(stream_ledger(feed, t, base, compact=COMPACT))
     return t, base

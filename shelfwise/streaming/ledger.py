@@ -18,6 +18,7 @@ from shelfwise.session import tune
 from shelfwise.sources.tables import Tables
 from shelfwise.streaming.batches import Batches, read_folders
 
+HASHED = "64m"  # shuffled bytes of a partition up to which a join hashes it instead of sorting both sides
 STATE = "ProductID bigint, Quantity bigint, last_ts timestamp_ntz, batch bigint"
 DECIDED = T.StructType(
     [*COMMAND_SCHEMA.fields] + [
@@ -69,6 +70,8 @@ def ledger_batch(
     """Decide one micro-batch and store its results and the stock it leaves."""
     spark = cmds.sparkSession
     tune(spark)  # a stream runs in a session of its own
+    # what commands are joined to is small once shuffled: hashed, it spares sorting them, twice as their ranges are sampled
+    spark.conf.set("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", HASHED)
     state = current_stock(spark, base, t["stock_management"], batch, compact)
     asked = cmds.select(F.col("product_id").alias("_asked")).distinct()
     near = state.join(asked, F.col("ProductID") == F.col("_asked"), "left_semi")  # what the batch can touch
