@@ -13,6 +13,10 @@ from shelfwise.sources.tables import Tables
 
 #: Words of values without a parent that are broadcast (16 bytes each); more are joined by a shuffle.
 BROADCAST_WORDS = 1 << 20
+#: Rows that one task groups by a key at most, some 150 MB; a value held by more of them is merged before it moves.
+PER_TASK = 1 << 20
+SLOTS = 4096  # by which a key's rows are counted
+CROWDED = 8  # times the mean: the slot holds a value of many rows
 FOUND = "table_name string, rule string, value string, row_count bigint"
 
 
@@ -76,23 +80,54 @@ def check_rows(df: DataFrame, table: str, rules: Rules | None = None) -> DataFra
     )
 
 
-def check_unique(df: DataFrame, table: str, columns: Sequence[str]) -> DataFrame:
-    """(table_name, rule, value, row_count) for key values held by several rows; NULLs never clash."""
-    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
+def _known(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return df.filter(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns]))
+
+
+def _slot(columns: Sequence[str]) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(SLOTS)).cast("int")
+
+
+def _spread(keys: Sequence[tuple[DataFrame, Sequence[str]]]) -> dict[int, tuple[int, list[int]]]:
+    """For each of ``keys`` with more than ``PER_TASK`` rows: tasks to group it in, and crowded slots."""
+    slots = _union([_known(df, c).select(F.lit(k).alias("key"), _slot(c).alias("slot")) for k, (df, c) in enumerate(keys)])
+    full = slots.groupBy("key", "slot").agg(F.count(F.lit(1)).alias("n"))
+    sums = full.groupBy("key").agg(F.sum("n").alias("n"), F.collect_list(F.struct("slot", "n")).alias("full"))
+    crowded = F.filter("full", lambda x: x["n"] * SLOTS > F.col("n") * CROWDED)  # SLOTS / CROWDED at most
+    rows = sums.filter(F.col("n") > PER_TASK).select("key", "n", crowded["slot"].alias("crowded")).collect()  # one row a key
+    return {r["key"]: (-(-r["n"] // PER_TASK), r["crowded"]) for r in rows}
+
+
+def _repeated(df: DataFrame, table: str, columns: Sequence[str], spread: tuple[int, list[int]] | None) -> DataFrame:
+    rows, parts = _known(df, columns), []
+    if spread:  # as many tasks as the rows ask for; what is crowded is merged before it moves
+        tasks, crowded = spread
+        slot = _slot(columns)
+        even = rows.filter(~slot.isin(crowded)) if crowded else rows
+        parts = [even.select(*columns).repartition(tasks, *columns)]
+        rows = rows.filter(slot.isin(crowded)) if crowded else None
+    counted = [p.groupBy(*columns).agg(F.count(F.lit(1)).alias("row_count")) for p in [*parts, *([] if rows is None else [rows])]]
     value = F.concat_ws("|", *[F.col(c).cast("string") for c in columns])
-    return (
-        df.filter(known).groupBy(*columns).agg(F.count(F.lit(1)).alias("row_count")).filter("row_count > 1")
-        .select(
-            F.lit(table).alias("table_name"),
-            F.lit("UNIQUE " + ",".join(columns)).alias("rule"),
-            value.alias("value"),
-            "row_count",
-        )
+    return _union(counted).filter("row_count > 1").select(
+        F.lit(table).alias("table_name"),
+        F.lit("UNIQUE " + ",".join(columns)).alias("rule"),
+        value.alias("value"),
+        "row_count",
     )
 
 
+def check_unique(df: DataFrame, table: str, columns: Sequence[str]) -> DataFrame:
+    """(table_name, rule, value, row_count) for key values held by several rows; NULLs never clash.
+
+    The rows are counted first, as the number of tasks follows from it.
+    """
+    return _repeated(df, table, columns, _spread([(df, columns)]).get(0))
+
+
 def check_all_unique(t: Tables) -> DataFrame:
-    return _union([check_unique(df, name, [c]) for name, df in t.items() for c in RULES[name].unique])
+    keys = [(name, [c]) for name in t for c in RULES[name].unique]
+    spread = _spread([(t[name], columns) for name, columns in keys])
+    return _union([_repeated(t[name], name, columns, spread.get(k)) for k, (name, columns) in enumerate(keys)])
 
 
 def check_fk(child: DataFrame, table: str, column: str, parent: DataFrame, parent_column: str) -> DataFrame:

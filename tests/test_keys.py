@@ -92,3 +92,16 @@ def test_no_text_and_no_exploded_keys(spark):
 def test_no_violation(spark):
     t = seed.seed_tables(spark)
     assert quality.check_all_fks(t).collect() == [] and quality.quality_report(t).collect() == []
+
+
+def test_unique_values_are_grouped_by_as_many_tasks_as_their_rows_ask_for(spark, monkeypatch):
+    """Many rows are dealt to more tasks; a value of a third of the rows is not dealt to one."""
+    monkeypatch.setattr(quality, "PER_TASK", 500)
+    rows = [(k,) for k in range(4000)] + [(7,)] * 3000 + [(k,) for k in range(0, 4000, 400)] + [(None,)] * 9
+    found = quality.check_unique(spark.createDataFrame(rows, "UserID long").repartition(3), "users", ["UserID"])
+    plan = found._jdf.queryExecution().toString()
+    assert "REPARTITION_BY_NUM" in plan and "15" in plan  # 7,010 rows
+    expected = {str(k): 2 for k in range(0, 4000, 400)} | {"7": 3001}
+    assert {r.value: r.row_count for r in found.collect()} == expected
+    spread = quality._spread([(spark.createDataFrame(rows, "UserID long"), ["UserID"])])
+    assert spread[0][0] == 15 and len(spread[0][1]) >= 1
