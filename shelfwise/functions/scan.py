@@ -2,9 +2,9 @@
 
 A window over ``partitionBy(key)`` puts all rows of a key in one task. Here the
 rows are range-partitioned on (key, order) first, so a hot key covers many
-partitions ("blocks"). Each block is one pass in order, and what the earlier
-blocks of the same key pass on is one value, as only the first key of a block can
-have begun before it.
+partitions ("blocks"). Each block is one pass in order, made before the blocks are
+stored, and what the earlier blocks of the same key pass on is one value, as only
+the first key of a block can have begun before it: it is added when they are read.
 """
 
 from __future__ import annotations
@@ -20,6 +20,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from shelfwise.session import cut_lineage
 
 BLOCK = "_block"
+RUN = "_run"
+
+
+def _in_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], blocks: int | None) -> DataFrame:
+    columns = [F.col(c).asc_nulls_last() for c in (*keys, *order)]
+    spread = df.repartitionByRange(blocks, *columns) if blocks else df.repartitionByRange(*columns)
+    return spread.sortWithinPartitions(*columns).withColumn(BLOCK, F.spark_partition_id())
 
 
 def range_blocks(
@@ -31,9 +38,7 @@ def range_blocks(
     from sampling and would differ if the shuffle ran again. Without ``blocks``
     AQE picks the partition count from the shuffled size.
     """
-    columns = [F.col(c).asc_nulls_last() for c in (*keys, *order)]
-    spread = df.repartitionByRange(blocks, *columns) if blocks else df.repartitionByRange(*columns)
-    return cut_lineage(spread.sortWithinPartitions(*columns).withColumn(BLOCK, F.spark_partition_id()))
+    return cut_lineage(_in_blocks(df, keys, order, blocks))
 
 
 def _run_starts(keys: pa.Array) -> np.ndarray:
@@ -66,6 +71,10 @@ class _Sum:
     def joined(earlier, later):
         return later if earlier is None else earlier + later
 
+    @staticmethod
+    def entered(run: Column, carried: Column) -> Column:
+        return run + carried
+
 
 class _Last:
     """The latest value that is not NULL, of any type."""
@@ -90,59 +99,66 @@ class _Last:
     def joined(earlier, later):
         return earlier if later is None else later
 
+    @staticmethod
+    def entered(run: Column, carried: Column) -> Column:
+        return F.coalesce(run, carried)
+
 
-def _pass(kind: type, names: list[str], carry: dict[int, tuple] | None, batches: Iterator[pa.RecordBatch]):
-    """One pass over a block: appends the running value, or without ``carry`` yields that of its first and last key."""
-    work, before, runs, first, last = kind(), (), 0, None, None
+def _pass(kind: type, names: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One pass over a block, as if its first key began in it: appends the running value."""
+    work, before = kind(), ()
     for batch in batches:
         if not batch.num_rows:
             continue
-        block, keys, values = (batch.column(batch.schema.get_field_index(n)) for n in names)
-        starts, key = _run_starts(keys), keys[0].as_py()
-        goes_on = before == (key,)
-        if not before and carry is not None:
-            of, value = carry.get(block[0].as_py(), (None, None))
-            if block[0].as_py() in carry and of == key:
-                work.state, goes_on = value, True
-        out = work.over(values, starts, goes_on)
+        keys, values = (batch.column(batch.schema.get_field_index(n)) for n in names)
+        out = work.over(values, _run_starts(keys), before == (keys[0].as_py(),))
         before = (keys[-1].as_py(),)
-        if carry is not None:
-            yield pa.RecordBatch.from_arrays([*batch.columns, out], names=[*batch.schema.names, "_run"])
-            continue
-        if runs == 0 or (runs == 1 and goes_on):
-            end = int(starts[1]) - 1 if len(starts) > 1 else len(keys) - 1
-            first = block.slice(0, 1), keys.slice(0, 1), out.slice(end, 1)
-        runs += len(starts) - goes_on
-        if runs > 1:
-            last = block.slice(0, 1), keys.slice(len(keys) - 1, 1), out.slice(len(keys) - 1, 1)
-    for end in (first, last):
-        if end is not None:
-            yield pa.RecordBatch.from_arrays(list(end), names=["block", "key", "value"])
-
-
-def _running(placed: DataFrame, kind: type, key: str, value: str, out: str, keep: bool = False) -> DataFrame:
-    """``placed`` (by ``range_blocks``) with the running ``value`` of each key, without another shuffle.
-
-    Only the first key of a block can have begun in an earlier one, so blocks tell
-    the driver about their first and last key, two rows each, and get back at
+        yield pa.RecordBatch.from_arrays([*batch.columns, out], names=[*batch.schema.names, RUN])
+
+
+def _carried(placed: DataFrame, kind: type, key: str) -> list[tuple]:
+    """(block, key, value): what the first key of a block brings from the blocks before it."""
+    at = F.monotonically_increasing_id()
+    ends = (
+        placed.select(BLOCK, F.col(key).alias("key"), RUN, at.alias("at")).groupBy(BLOCK)
+        .agg(F.min_by(F.struct("key"), "at").alias("first"), F.max_by(F.struct("key", RUN), "at").alias("last"))
+        .collect()  # one row per partition
+    )
+    carry, known = [], None
+    for row in sorted(ends, key=lambda r: r[BLOCK]):
+        first, (last, value) = row["first"]["key"], row["last"]
+        goes_on = known is not None and known[0] == first
+        if goes_on:
+            carry.append((row[BLOCK], *known))
+        known = (last, kind.joined(known[1], value) if goes_on and last == first else value)
+    return carry
+
+
+def _running(
+    df: DataFrame, kind: type, key: str, order: Sequence[str], value: str, out: str, blocks: int | None, keep: bool = False
+) -> DataFrame:
+    """``df`` in ``range_blocks`` of (key, order), with the running ``value`` of each key.
+
+    The pass over a block runs before the blocks are stored, so it is not repeated
+    when they are read. Only the first key of a block can have begun in an earlier
+    one: blocks tell the driver about their ends, one row each, and get back at
     most one value.
     """
-    fields = {f.name: f.dataType for f in placed.schema.fields}
+    fields = {f.name: f.dataType for f in df.schema.fields}
     made = T.LongType() if kind is _Sum else fields[value]
-    names = [BLOCK, key, value]
-    told = T.StructType([T.StructField("block", fields[BLOCK]), T.StructField("key", fields[key]), T.StructField("value", made)])
-    ends = [r.asDict(recursive=True) for r in placed.select(*names).mapInArrow(partial(_pass, kind, names, None), told).collect()]
-    carry: dict[int, tuple] = {}
-    known: tuple | None = None
-    for row in sorted(ends, key=lambda r: r["block"]):  # stable: the first key of a block comes first
-        if known is not None and known[0] == row["key"]:
-            if known[2] != row["block"]:
-                carry[row["block"]] = known[:2]
-            known = (row["key"], kind.joined(known[1], row["value"]), row["block"])
-        else:
-            known = (row["key"], row["value"], row["block"])
-    schema = T.StructType([*placed.schema.fields, T.StructField("_run", made)])
-    filled = placed.mapInArrow(partial(_pass, kind, names, carry), schema).withColumnRenamed("_run", out)
+    rows = _in_blocks(df, [key], order, blocks)
+    schema = T.StructType([*rows.schema.fields, T.StructField(RUN, made)])
+    placed = cut_lineage(rows.mapInArrow(partial(_pass, kind, [key, value]), schema))
+    run = F.col(RUN)
+    if carry := _carried(placed, kind, key):
+        told = T.StructType([T.StructField("key", fields[key]), T.StructField("value", made)])
+        at = {block: (of, brought) for block, of, brought in carry}
+        row = [at.get(block) for block in range(max(at) + 1)]  # by block number
+        table = df.sparkSession.createDataFrame([(row,)], T.StructType([T.StructField("carry", T.ArrayType(told))]))
+        placed = placed.withColumn("_in", F.get(table.scalar(), F.col(BLOCK)))
+        goes_on = F.col("_in").isNotNull() & F.col(key).eqNullSafe(F.col("_in.key"))
+        run = F.when(goes_on, kind.entered(run, F.col("_in.value"))).otherwise(run)
+    filled = placed.withColumn(out, run).drop("_in", RUN)
     return filled if keep else filled.drop(BLOCK)
 
 
@@ -150,14 +166,14 @@ def running_sum(
     df: DataFrame, key: str, order: Sequence[str], value: str, out: str, blocks: int | None = None
 ) -> DataFrame:
     """``sum(value)``, a whole number, from the key's first row up to the current one."""
-    return _running(range_blocks(df, [key], order, blocks), _Sum, key, value, out)
+    return _running(df, _Sum, key, order, value, out, blocks)
 
 
 def last_known(
     df: DataFrame, key: str, order: Sequence[str], value: str, out: str, blocks: int | None = None
 ) -> DataFrame:
     """The latest non-null ``value`` of the key up to and including the row."""
-    return _running(range_blocks(df, [key], order, blocks), _Last, key, value, out)
+    return _running(df, _Last, key, order, value, out, blocks)
 
 
 def as_of(
@@ -182,8 +198,7 @@ def as_of(
     rank, probe, change = "_rank", 1, 2 if strict else 0
     marked = changes.select(key, *order, F.lit(change).alias(rank), state.alias("_state"))
     merged = probes.withColumn(rank, F.lit(probe)).unionByName(marked, allowMissingColumns=True)
-    placed = range_blocks(merged, [key], [*order, rank, *(within or ())], blocks)
-    filled = _running(placed, _Last, key, "_state", "_seen", keep=within is not None)
+    filled = _running(merged, _Last, key, [*order, rank, *(within or ())], "_state", "_seen", blocks, keep=within is not None)
     return (
         filled.filter(F.col(rank) == probe)
         .select("*", *[F.col(f"_seen.{v}").alias(v) for v in values])
