@@ -53,6 +53,7 @@ MISSING = -(2**63)  # stands for NULL in the loops; rows with it have no effect
 MAX_GUESSES = 8  # extra guesses per round; the entries a walk needs are never cut
 GUESSED = 2  # rounds of guesses before a key gallops
 STRIDE = 4096  # events taken at once while none is refused
+SHORT = 256  # events of a key up to which all keys of a batch advance together
 POSITION = "_position"
 LEFT = "block int, key long, entry long, left long"
 
@@ -117,6 +118,27 @@ def balances(effects: np.ndarray, balance: int) -> tuple[np.ndarray, int]:
     return before, balance
 
 
+def _together(effects: np.ndarray, first: np.ndarray, count: np.ndarray, balance: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Follow many short runs of events at once, one event of each at a time.
+
+    Run k has ``count[k]`` events from ``first[k]`` on and is entered with ``balance[k]``.
+    Fills ``before`` and returns what the runs leave. So Python steps count the events of
+    the longest run, not keys.
+    """
+    turn = np.argsort(-count, kind="stable")
+    first, state = first[turn], balance[turn]
+    going = np.searchsorted(-count[turn], -np.arange(1, count.max() + 1), "right")  # runs with that many events
+    for k, n in enumerate(going.tolist()):
+        at = first[:n] + k
+        part, now = effects[at], state[:n]
+        before[at] = now
+        after = now + part
+        state[:n] = np.where((part < 0) & (after < 0), now, after)
+    left = np.empty_like(state)
+    left[turn] = state
+    return left
+
+
 def _run(names: list[str], entries: dict[int, tuple[int, int]], batches: Iterator[pa.RecordBatch]):
     """Append the balance before each event."""
     current, balance = object(), MISSING
@@ -125,15 +147,20 @@ def _run(names: list[str], entries: dict[int, tuple[int, int]], batches: Iterato
             continue
         block, keys, effects, starts = _columns(batch, names)
         before = np.empty(len(keys), np.int64)
-        ends = [*(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
-        at = 0
-        for end in ends:
-            if keys[at] != current:
-                current = keys[at]
-                carried_key, carried = entries.get(int(block[0]), (None, None))
-                balance = carried if carried_key == current else int(starts[at])
-            before[at:end], balance = balances(effects[at:end], balance)
-            at = end
+        first = np.concatenate(([0], np.flatnonzero(np.diff(keys)) + 1))
+        count = np.diff(first, append=len(keys))
+        entered = starts[first]
+        if keys[0] != current:
+            carried_key, carried = entries.get(int(block[0]), (None, None))
+            balance = carried if carried_key == keys[0] else int(starts[0])
+        entered[0], current = balance, keys[-1]
+        short = np.flatnonzero(count <= SHORT)
+        if len(short):
+            entered[short] = _together(effects, first[short], count[short], entered[short], before)
+        for k in np.flatnonzero(count > SHORT).tolist():
+            end = first[k] + count[k]
+            before[first[k]:end], entered[k] = balances(effects[first[k]:end], int(entered[k]))
+        balance = int(entered[-1])
         column = pa.array(before)
         known = pc.if_else(pc.equal(column, MISSING), pa.scalar(None, pa.int64()), column)
         yield pa.RecordBatch.from_arrays([*batch.columns, known], names=[*batch.schema.names, "balance_before"])

@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -191,3 +192,30 @@ def test_number_rows(spark, blocks):
     df = spark.range(0, 97).withColumnRenamed("id", "x").orderBy("x", ascending=False)
     got = sorted((r.x, r.n) for r in scan.number_rows(df, "n", 10, ["x"], blocks).collect())
     assert got == [(i, i + 11) for i in range(97)]
+
+
+def test_short_runs_are_followed_together(monkeypatch):
+    """A batch of many keys takes no Python step for each key."""
+    rows = events_of(11, 4000, 900, 0.01)
+    columns = [pa.array([0] * len(rows), pa.int32()), *[pa.array([r[k] for r in rows]) for k in (0, 2, 3)]]
+    batch = pa.RecordBatch.from_arrays(columns, names=["block", "k", "effect", "start"])
+    monkeypatch.setattr(fold, "balances", None)
+    cut = [batch.slice(0, 1501), batch.slice(1501, 7), batch.slice(1508)]
+    out = [b for part in fold._run(batch.schema.names, {0: (0, 5)}, iter(cut)) for b in part.column(4).to_pylist()]
+    assert out == list(loop([(k, pos, e, 5 if k == 0 else s) for k, pos, e, s in rows]).values())
+
+
+@pytest.mark.parametrize("blocks", [1, 7])
+def test_passes_run_before_the_blocks_are_stored(spark, blocks):
+    """What reads an as-of or running value later repeats no Python pass."""
+    probes = spark.createDataFrame([(k, pos) for k in (1, 2, None) for pos in range(1, 60)], "k long, pos long")
+    changes = spark.createDataFrame([(1, 0, "a"), (1, 30, None), (2, 5, "b"), (None, 9, "c")], "k long, pos long, v string")
+    seen = scan.as_of(probes, changes, "k", ["pos"], ["v"], blocks=blocks)
+    added = scan.running_sum(probes, "k", ["pos"], "pos", "total", blocks)
+    for df in (seen, added):
+        assert "MapInArrow" not in df._jdf.queryExecution().executedPlan().toString()
+    assert {(r.k, r.pos): r.v for r in seen.collect()} == {
+        (k, p): {1: "a" if p < 30 else None, 2: "b" if p >= 5 else None, None: "c" if p >= 9 else None}[k]
+        for k in (1, 2, None) for p in range(1, 60)
+    }
+    assert {(r.k, r.pos): r.total for r in added.collect()} == {(k, p): p * (p + 1) // 2 for k in (1, 2, None) for p in range(1, 60)}
