@@ -171,13 +171,15 @@ def _message(codes: dict[str, dict[str, str]], rules: str) -> Column:
     )
 
 
-def decide(judged: DataFrame, rules: str = "package", blocks: int | None = None, placed: bool = False) -> DataFrame:
+def decide(
+    judged: DataFrame, rules: str = "package", blocks: int | None = None, placed: bool = False, message: bool = True
+) -> DataFrame:
     """Run the judged commands through the running stock.
 
     Every command comes out once, with ``accepted``, ``code``, ``message``,
     ``stock_before`` and ``stock_after``. One range shuffle, none if the commands
     are ``placed`` already; commands refused before the stock check travel along
-    without effect.
+    without effect. Without ``message`` the names it is made of need not be there.
     """
     codes = RULE_SETS[rules]
     signed = F.when(F.col("cmd_type") == "SALE", -F.col("quantity")).otherwise(F.col("quantity"))
@@ -195,7 +197,7 @@ def decide(judged: DataFrame, rules: str = "package", blocks: int | None = None,
     return (
         folded.withColumn("code", code)
         .withColumn("accepted", F.col("code").isNull())
-        .withColumn("message", _message(codes, rules))
+        .withColumns({"message": _message(codes, rules)} if message else {})
         .withColumn("effect", moved)
         .withColumn("stock_after", F.col("stock_before") + F.col("effect"))
         # a return for a product without a stock row is taken, but moves nothing

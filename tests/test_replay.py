@@ -359,3 +359,13 @@ def test_constraints_on_new_and_changed_rows(spark):
     assert after == {**before, PENS: (D("8.00"), 0)}
     refused = changes.screen_updates(wanted, "products", columns)[1].collect()
     assert {r.change_id: r.code for r in refused} == {1: "CHK_PRICE", 2: "CHK_FLAG"}
+
+
+def test_outcomes_carry_no_texts(spark):
+    """Verdicts alone are asked for: the ledger with its texts is not computed for them."""
+    out = replay(seed.event_log(spark, list(seed.EVENTS)), seed.seed_tables(spark), blocks=3)
+    alone = {(r.cmd_id, r.status, r.code) for r in out.outcomes.collect()}
+    assert "ledger" not in out.__dict__
+    both = replay(seed.event_log(spark, list(seed.EVENTS)), seed.seed_tables(spark), blocks=3)
+    assert both.ledger.decided.count() > 0
+    assert {(r.cmd_id, r.status, r.code) for r in both.outcomes.collect()} == alone and alone
