@@ -81,15 +81,18 @@ def links(fps: DataFrame, paired: int = PAIRED) -> DataFrame:
     grow with the square: there a second bit is deleted, after which fingerprints
     with equal keys are at 2 bits or fewer, so a few edges tie each group. Both
     ways are exact.
+
+    Keys are 64 times as many rows as Spark's estimate from ``fps`` says, so joins of
+    them are told to sort: a size threshold would send them to the driver.
     """
     keys = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i")).select(
         "fp", "i", F.expr(f"shiftleft(cast(i as bigint), 32) | ({_half('i')} & ~shiftleft(1L, i % 32))").alias("key")
     )
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = settle(keys.join(shared, "key"), "simhash-members")
+    members = settle(keys.hint("merge").join(shared.hint("merge"), "key"), "simhash-members")
     few = members.where(F.col("n") <= paired).select("key", "fp", "i")
     other = few.select("key", F.col("fp").alias("fq"))
-    near = few.join(other, "key").where(
+    near = few.hint("merge").join(other.hint("merge"), "key").where(
         f"fp < fq and bit_count(fp ^ fq) <= {DISTANCE} and "  # a pair counts at the bit it differs in, or at the first
         f"({_half('i')} ^ {_half('i', 'fq')}) = if({_half('i')} = {_half('i', 'fq')}, if(i % 32 = 0, 0L, 1L), shiftleft(1L, i % 32))"
     ).select(F.col("fp").alias("a"), F.col("fq").alias("b"))

@@ -4,6 +4,7 @@ import random
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from shelfwise.llm import simhash
 from shelfwise.llm.components import components
@@ -77,6 +78,15 @@ def test_components_of_a_chain_and_a_star(spark):
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_exploded_keys_are_never_broadcast(spark, monkeypatch):
+    """64 rows for each fingerprint, which Spark's size estimate doesn't count."""
+    plans, settle = [], simhash.settle
+    planned = lambda df: plans.append(df._jdf.queryExecution().sparkPlan().toString())
+    monkeypatch.setattr(simhash, "settle", lambda df, name: (planned(df), settle(df, name))[1])
+    planned(simhash.links(spark.range(50).select(F.col("id").alias("fp"))))
+    assert len(plans) == 2 and all("SortMergeJoin" in plan and "BroadcastHashJoin" not in plan for plan in plans)
+
+
 def test_near_duplicates(spark, make_docs):
     long = " ".join(f"word{k}" for k in range(3000))
     docs = make_docs([(7, long), (3, long.upper()), (9, long + " end"), (5, None), (2, ""), (None, "   "), (11, "other text here"), (11, "other text here"), (None, "alone in the world")])
