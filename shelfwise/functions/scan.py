@@ -9,7 +9,7 @@ the first key of a block can have begun before it: it is added when they are rea
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import partial
 
 import numpy as np
@@ -29,6 +29,32 @@ def _in_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], blocks:
     return spread.sortWithinPartitions(*columns).withColumn(BLOCK, F.spark_partition_id())
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each batch as one row of compressed bytes."""
+    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    for batch in batches:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, batch.schema, options=options) as out:
+            out.write_batch(batch)
+        yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["packed"])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for packed in batch.column(0):
+            yield from pa.ipc.open_stream(packed.as_buffer())
+
+
+def _store(rows: DataFrame, schema: T.StructType, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """What ``work`` makes of each partition, ``schema``, stored column by column and compressed: a row has many columns that hardly change along a key."""
+    return cut_lineage(rows.mapInArrow(lambda batches: _packed(work(batches)), "packed binary")).mapInArrow(_unpacked, schema)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df``, computed once and stored, and the shuffles it needed gone: a placement samples its rows before it moves them."""
+    return _store(df, df.schema, iter)
+
+
 def range_blocks(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], blocks: int | None = None
 ) -> DataFrame:
@@ -38,7 +64,7 @@ def range_blocks(
     from sampling and would differ if the shuffle ran again. Without ``blocks``
     AQE picks the partition count from the shuffled size.
     """
-    return cut_lineage(_in_blocks(df, keys, order, blocks))
+    return stored(_in_blocks(df, keys, order, blocks))
 
 
 def _run_starts(keys: pa.Array) -> np.ndarray:
@@ -148,7 +174,9 @@ def _running(
     made = T.LongType() if kind is _Sum else fields[value]
     rows = _in_blocks(df, [key], order, blocks)
     schema = T.StructType([*rows.schema.fields, T.StructField(RUN, made)])
-    placed = cut_lineage(rows.mapInArrow(partial(_pass, kind, [key, value]), schema))
+    over = partial(_pass, kind, [key, value])
+    # rows that stay placed go on to another pass, which can unpack them
+    placed = _store(rows, schema, over) if keep else cut_lineage(rows.mapInArrow(over, schema))
     run = F.col(RUN)
     if carry := _carried(placed, kind, key):
         told = T.StructType([T.StructField("key", fields[key]), T.StructField("value", made)])

@@ -87,13 +87,14 @@ def attach_facts(cmds: DataFrame, t: Tables, category_id: bool = False) -> DataF
     catalogue = products.join(cats, F.col("CategoryID") == F.col("_category"), "left").join(
         stock, F.col("_product") == F.col("_stocked"), "left"
     )
-    return (
-        cmds.join(catalogue, F.col("product_id") == F.col("_product"), "left")
-        .join(people, F.col("user_id") == F.col("_user"), "left")
-        .withColumn("user_known", F.col("_user").isNotNull())
+    # users first: the commands are still narrow when that join moves them
+    known = cmds.join(people, F.col("user_id") == F.col("_user"), "left").withColumn("user_known", F.col("_user").isNotNull())
+    facts = (
+        known.join(catalogue, F.col("product_id") == F.col("_product"), "left")
         .withColumnsRenamed({"CategoryID": "category_id"} if category_id else {})
         .drop("_product", "_category", "_stocked", "_user", "CategoryID")
     )
+    return facts.select(*[c for c in facts.columns if c != "user_known"], "user_known")
 
 
 def _amount() -> Column:

@@ -12,7 +12,7 @@ from functools import cache, cached_property, reduce
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from shelfwise.functions.dialect import nvl
-from shelfwise.functions.scan import as_of, as_of_short, running_sum
+from shelfwise.functions.scan import as_of, as_of_short, running_sum, stored
 from shelfwise.model import INT, LONG, PRICE, TEXT, TIME
 from shelfwise.operators.audit import audit_product_images
 from shelfwise.operators.changes import (
@@ -20,7 +20,7 @@ from shelfwise.operators.changes import (
 )
 from shelfwise.operators.ledger import Ledger, attach_facts, decide, judge
 from shelfwise.operators.quality import constraint_code
-from shelfwise.session import cut_lineage
+from shelfwise.session import cut_lineage, noting, remove
 from shelfwise.sources.tables import Tables, apply_defaults, assign_keys, next_key
 
 # One row per command; a command leaves the columns it does not use NULL. New
@@ -285,8 +285,12 @@ def replay(log: DataFrame, t: Tables, rules: str = "package", blocks: int | None
             others = attach_facts(cmds.filter(~restock), known).withColumnRenamed("category_active", "flag").drop(*unused)
             facts = others.unionByName(restocks)
         facts = facts.withColumnRenamed("flag", "category_active").drop(*unused)
+        # stored before they are placed: the joins run once, and their shuffles are gone when the placement writes its own
+        with noting() as aside:
+            facts = stored(facts)
         # one placement by product and time: the price as of each command, then the running stock over the same blocks
         facts = as_of(facts, price_states, "product_id", AT, ["unit_price"], blocks=blocks, within=["quantity"])
+        remove(log.sparkSession, aside)
         # a product that is not added yet has no price and counts as missing
         facts = facts.withColumn(
             "product_active", F.when(F.col("unit_price").isNotNull(), F.col("product_active"))

@@ -2,6 +2,7 @@
 
 import datetime as dt
 from decimal import Decimal
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -132,3 +133,11 @@ def stock_of(tables):
 
 def active_of(tables):
     return {r.Name: r.IS_ACTIVE for r in tables["category"].select("Name", F.col("IS_ACTIVE")).collect()}
+
+
+def left_on_disk(spark):
+    """Shuffle files of the session and what lies in its shared folders."""
+    found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    names = {found.apply(k).getName() for k in range(found.size())}
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    return {n for n in names if n.startswith("shuffle_")} | {str(p) for at in ("*", "*/rdd-*") for p in shared.glob(at)}

@@ -2,13 +2,16 @@
 
 import math
 import random
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import seed
 from shelfwise.functions import fold, scan
+from shelfwise.session import cut_lineage
 
 
 def loop(events):
@@ -166,6 +169,18 @@ def test_values_cross_blocks_batches_and_null_keys(spark, blocks):
         assert (last[pos].v if last[pos] else None) == latest[k]
 
 
+def test_placed_rows_are_stored_by_column(spark):
+    """What hardly changes along a key costs next to nothing, and no shuffle file stays."""
+    df = spark.range(40_000).selectExpr("id % 5 AS k", "id AS pos", "sha2(cast(id % 5 AS string), 256) AS name")
+    cut_lineage(df.limit(1))  # the folder is made
+    before = seed.left_on_disk(spark)
+    placed = scan.range_blocks(df, ["k"], ["pos"], 4)
+    new = seed.left_on_disk(spark) - before
+    assert len(new) == 1 and "/rdd-" in min(new)
+    assert sum(f.stat().st_size for f in Path(min(new)).iterdir()) < 400_000
+    assert [(r.k, r.pos) for r in placed.collect()] == sorted((k % 5, k) for k in range(40_000))
+
+
 def test_one_shuffle(spark):
     df = spark.range(1000).selectExpr("id % 3 AS k", "id AS pos", "id AS v")
     out = scan.running_sum(df, "k", ["pos"], "v", "s", 4)

@@ -13,7 +13,9 @@ from seed import (
 )
 from shelfwise.model import COMMAND_SCHEMA
 from shelfwise.operators import audit, changes, ledger, report_lines, reports
+from shelfwise.plans import replay as plan_module
 from shelfwise.plans.replay import replay
+from shelfwise.session import cut_lineage
 from shelfwise.streaming.audit import stream_audit, stream_audit_rows
 from shelfwise.streaming.ledger import ledger_batch, stream_decided, stream_ledger, stream_stock
 
@@ -119,6 +121,18 @@ def codes(result):
     return {r.cmd_id: r.code for r in result.decided.collect()}
 
 
+def test_facts_are_stored_before_they_are_placed(spark, monkeypatch):
+    """So the joins' shuffles are gone when the placement writes its own; the stored facts go after it."""
+    plans, as_of = [], plan_module.as_of
+    monkeypatch.setattr(plan_module, "as_of", lambda probes, *a, **k: (plans.append(probes._jdf.queryExecution().toString()), as_of(probes, *a, **k))[1])
+    cmds = seed.event_log(spark, [1, 2, 3])
+    cut_lineage(cmds.limit(1))  # the folder is made
+    before = seed.left_on_disk(spark)
+    assert replay(cmds, seed.seed_tables(spark), blocks=3).ledger.decided.count() == 3
+    assert len(plans) == 1 and "Join" not in plans[0]
+    assert len([p for p in seed.left_on_disk(spark) - before if "/rdd-" in p]) == 1
+
+
 def test_reject_codes(spark):
     t = seed.seed_tables(spark)
     t["products"] = t["products"].withColumn("Is_Active", F.when(F.col("ProductID") == OIL, 0).otherwise(1))
