@@ -46,7 +46,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from shelfwise.functions.scan import BLOCK
-from shelfwise.session import shared_dir
+from shelfwise.session import set_aside, shared_dir
 
 TRIAL = "block int, key long, start long, entry long, left long, need long, net long"
 MISSING = -(2**63)  # stands for NULL in the loops; rows with it have no effect
@@ -331,7 +331,7 @@ class _Events:
             return
         moving = placed.select(*names, F.monotonically_increasing_id().alias(POSITION)).filter((F.col(effect) != 0) & F.col(key).isin(keys))
         # a task holds one block; the sort says so to the writer, which would otherwise sort by block alone
-        moving.sortWithinPartitions(block, POSITION).write.partitionBy(block).parquet(self.folder)
+        moving.sortWithinPartitions(block, POSITION).write.partitionBy(block).parquet(set_aside(self.folder))
 
     def _tasks(self, count: int, work: Callable[[int], Iterator[pa.RecordBatch]], layout: str) -> DataFrame:
         """``count`` tasks, each told its number."""

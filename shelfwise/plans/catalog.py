@@ -18,7 +18,7 @@ from shelfwise.model import KEYS, RULES, SCHEMAS
 from shelfwise.operators import audit, changes, ledger, lookups, quality, report_lines, reports
 from shelfwise.plans.oracle import START, fold, mean, number, sql
 from shelfwise.plans.replay import LOG_SCHEMA, replay
-from shelfwise.session import shared_dir, tune
+from shelfwise.session import releasing, shared_dir, tune
 from shelfwise.sources.lookup import Lookup, ingest_by_lookup
 from shelfwise.sources.retail import EPOCH, _file_schema, _read, retail_commands, retail_tables
 from shelfwise.sources.tables import (
@@ -1649,18 +1649,17 @@ COMPACT = 2  # so few that a run of four batches merges some
 
 def _streamed(spark: SparkSession, sf_dir: str, parts: int = 4) -> tuple[Tables, str]:
     """The commands as a feed that grows by one slice of time after the other; each slice is a micro-batch."""
-    t, base = retail_tables(spark, sf_dir), _fresh_folder(spark)
-    kinds = retail_commands(spark, sf_dir).schema
-    retail_commands(spark, sf_dir).write.parquet(f"{base}/commands")  # joined once; the slices only filter
-    cmds = spark.read.schema(kinds).parquet(f"{base}/commands")
+    t, base, cmds = retail_tables(spark, sf_dir), _fresh_folder(spark), retail_commands(spark, sf_dir)
     first, last = cmds.agg(F.min("event_ts"), F.max("event_ts")).first()
     cuts = [first + (last - first) * k / parts for k in range(1, parts)]
     at = F.lit(0)
     for cut in cuts:
         at = at + (F.col("event_ts") > F.lit(cut)).cast("int")
+    with releasing(spark):  # written once, a folder for each slice, and never copied
+        cmds.withColumn("slice", at).filter("slice IS NOT NULL").write.partitionBy("slice").parquet(f"{base}/feed")
     for k in range(parts):
-        cmds.filter(at == k).write.mode("append").parquet(f"{base}/feed")
-        feed = spark.readStream.schema(cmds.schema).parquet(f"{base}/feed")
+        arrived = ",".join(map(str, range(k + 1)))
+        feed = spark.readStream.schema(cmds.schema).parquet(f"{base}/feed/slice={{{arrived}}}")
         _run_to_end(stream_ledger(feed, t, base, compact=COMPACT))
     return t, base
 

@@ -14,7 +14,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from shelfwise.functions.dialect import nvl
 from shelfwise.model import COMMAND_SCHEMA, LONG, PRICE, TEXT
 from shelfwise.operators.ledger import attach_facts, decide, judge
-from shelfwise.session import tune
+from shelfwise.session import noting, releasing, remove, tune
 from shelfwise.sources.tables import Tables
 from shelfwise.streaming.batches import Batches, read_folders
 
@@ -67,8 +67,16 @@ def current_stock(spark: SparkSession, base: str, stock: DataFrame, before: int,
 def ledger_batch(
     cmds: DataFrame, batch: int, t: Tables, base: str, rules: str = "package", compact: int = 20
 ) -> None:
-    """Decide one micro-batch and store its results and the stock it leaves."""
+    """Decide one micro-batch and store its results and the stock it leaves; what it set aside meanwhile is removed."""
     spark = cmds.sparkSession
+    with noting() as aside, releasing(spark):
+        try:
+            _ledger_batch(spark, cmds, batch, t, base, rules, compact)
+        finally:
+            remove(spark, aside)
+
+
+def _ledger_batch(spark: SparkSession, cmds: DataFrame, batch: int, t: Tables, base: str, rules: str, compact: int) -> None:
     tune(spark)  # a stream runs in a session of its own
     # what commands are joined to is small once shuffled: hashed, it spares sorting them, twice as their ranges are sampled
     spark.conf.set("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", HASHED)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import seed
 from shelfwise.model import COMMAND_SCHEMA
 from shelfwise.operators import ledger
+from shelfwise.session import cut_lineage
 from shelfwise.streaming.audit import audit_batch, stream_audit_rows
 from shelfwise.streaming.batches import Batches
 from shelfwise.streaming.ledger import ledger_batch, stream_decided, stream_stock
@@ -88,3 +89,14 @@ def test_ledger_over_many_batches(spark, tmp_path):
     whole = ledger.apply_stock_commands(spark.createDataFrame(cmds, COMMAND_SCHEMA), t)
     assert seed.stock_of({"stock_management": stream_stock(spark, base, t["stock_management"], 4)}) == seed.stock_of({"stock_management": whole.stock})
     assert sorted(r.cmd_id for r in stream_decided(spark, base, 4).collect()) == list(range(36))
+
+
+def test_a_batch_leaves_only_what_it_stores(spark, tmp_path):
+    t = seed.seed_tables(spark)
+    cmds = spark.createDataFrame([(k, seed.NOW, 1, 1 + k % 3, 1, "SALE", None, None) for k in range(40)], COMMAND_SCHEMA)
+    cut_lineage(cmds.limit(1))  # the folder is made
+    before = seed.left_on_disk(spark)
+    for batch in range(3):
+        ledger_batch(cmds, batch, t, str(tmp_path), compact=2)
+    assert not seed.left_on_disk(spark) - before
+    assert stream_decided(spark, str(tmp_path), 2).count() == 120
